@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, unless the session bounds them lower already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, "0"))
-    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
