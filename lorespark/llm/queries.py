@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_round_trip
 from .common import scratch, table
+from .decontamination import find_contamination
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
 
@@ -16,6 +18,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -27,6 +41,32 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip, op9_token_files)
+    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op9_token_files)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": """
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark),
+bw as (
+  select item_id, least(len(w), 10) as k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: list_slice(w, i, i + 9))) as win
+  from b where len(w) > 0),
+ks as (select distinct k from bw),
+dw as (
+  select doc_id, k, unnest(range(1, len(w) - k + 2)) as i, w from d, ks where len(w) >= k),
+hit as (
+  select dw.doc_id, dw.i, dw.k, bw.item_id
+  from (select doc_id, k, i, list_slice(w, i, i + k - 1) as win from dw) dw join bw on dw.win = bw.win and dw.k = bw.k),
+pos as (select distinct doc_id, unnest(range(i, i + k)) as p from hit),
+nh as (select doc_id, count(*) as n_hit from pos group by doc_id),
+it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(nh.n_hit, 0)::bigint as n_hit, coalesce(it.n_items, 0)::bigint as n_items,
+       sha256(coalesce(it.ids, '')) as items_sha256, coalesce(nh.n_hit, 0) > 0 as contaminated
+from d left join nh using (doc_id) left join it using (doc_id)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
