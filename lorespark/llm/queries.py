@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import scratch, table
 from .decontamination import find_contamination
+from .pii import find_pii
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
 
@@ -40,8 +41,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    shown = lambda spans: F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string")))
+    )
+    counts = [
+        F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")
+    ]
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op9_token_files)
+    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op9_token_files, op10_pii)
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": """
