@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import scratch, table
 from .decontamination import find_contamination
+from .minhash import near_duplicates
 from .pii import find_pii
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
@@ -35,6 +36,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
@@ -47,14 +52,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda spans: F.concat_ws(
         ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string")))
     )
-    counts = [
-        F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")
-    ]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op9_token_files, op10_pii)
+    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op8_minhash, op9_token_files, op10_pii)
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": """
