@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small.
 BATCH_BYTES = 16 << 20
@@ -59,3 +60,12 @@ def by_bytes(rows: Iterable[tuple], size, limit: int) -> Iterator[list[tuple]]:
         total += n
     if group:
         yield group
+
+
+#: Rows of ids (and a label) that may be broadcast, about 16 bytes each.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if a count shows that it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

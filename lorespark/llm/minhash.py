@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, small
 from .components import components
 from .words import word_lists
 
@@ -30,8 +30,6 @@ LEAST = 3
 #: component lacks with all others, in blocks.
 SMALL_BUCKET = 12
 BLOCK = 256
-#: Rows of ids that may be broadcast (8 bytes each).
-BROADCAST_ROWS = 2_000_000
 #: Words that a Python worker keeps the hashes of.
 KEPT_WORDS = 1_000_000
 
@@ -169,8 +167,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _grams_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and its shingles (32-bit hashes) for some ids; of rows with the same id, the first in text order."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    rows = rows.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,10 +268,10 @@ def near_duplicates(
     fame = buckets.groupBy("id").agg(F.sum(F.log("size")).alias("fame"))
     buckets = materialize(buckets.join(fame, "id"), "buckets")
 
-    small, large = buckets.where(F.col("size") <= SMALL_BUCKET), buckets.where(F.col("size") > SMALL_BUCKET)
+    little, large = buckets.where(F.col("size") <= SMALL_BUCKET), buckets.where(F.col("size") > SMALL_BUCKET)
     near_size = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
-    other = small.select("t", "key", F.col("id").alias("b"), F.col("n").alias("m"))
-    close = small.join(other, ["t", "key"]).where((F.col("id") < F.col("b")) & near_size).select(F.col("id").alias("a"), "b")
+    other = little.select("t", "key", F.col("id").alias("b"), F.col("n").alias("m"))
+    close = little.join(other, ["t", "key"]).where((F.col("id") < F.col("b")) & near_size).select(F.col("id").alias("a"), "b")
     close = close.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
     hubs = large.groupBy("t", "key").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("m")), F.struct("fame", -F.col("id"))).alias("h"))
     stars = (

@@ -8,18 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_round_trip
-from .common import scratch, table
+from .common import scratch, small, table
 from .decontamination import find_contamination
+from .embedding_dedup import embedding_duplicates
+from .language_id import fit_language_id, identify_language, is_held_out
 from .minhash import near_duplicates
 from .pii import find_pii
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
+from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import filter_urls
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
+    held_out = is_held_out("doc_id", 3, 1)
+    model = fit_toxicity(documents.where(~held_out).join(small(labels.where(~held_out)), "doc_id"))
+    scored = score_toxicity(documents, model)
+    return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_language_id(documents.where(~is_held_out()))
+    found = identify_language(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,6 +60,21 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+#: Of the contract: verdict, host and path prefix.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +97,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_bpe_round_trip, op8_minhash, op9_token_files, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_toxicity,
+        op3_embedding_dedup,
+        op4_language_id,
+        op5_decontamination,
+        op6_bpe_round_trip,
+        op7_url_filter,
+        op8_minhash,
+        op9_token_files,
+        op10_pii,
+    )
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": """
@@ -85,5 +136,66 @@ it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct it
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(nh.n_hit, 0)::bigint as n_hit, coalesce(it.n_items, 0)::bigint as n_items,
        sha256(coalesce(it.ids, '')) as items_sha256, coalesce(nh.n_hit, 0) > 0 as contaminated
 from d left join nh using (doc_id) left join it using (doc_id)
+""",
+    "op3_embedding_dedup": """
+with recursive e as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+link as (
+  select a.vec_id as a, b.vec_id as b
+  from e a join e b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) as (
+  select a, b from link
+  union
+  select r.a, l.b from reach r join link l on r.b = l.a),
+n as (select a, count(*) as n_links from link group by a),
+c as (select a, min(b) as least from reach group by a)
+select vec_id, coalesce(n.n_links, 0)::bigint as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(c.least, vec_id)) as kept
+from embeddings left join n on vec_id = n.a left join c on vec_id = c.a
+""",
+    "op7_url_filter": """
+with p as (
+  select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as pos from pages),
+h as (
+  select page_id, url, case when pos > 0 then regexp_extract(substr(url, pos + 3), '^[^/?#]*') else '' end as rawhost,
+         case when pos > 0 then substr(url, pos + 3) else '' end as rest from p),
+u as (
+  select page_id, url, translate(rawhost, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(rawhost) + 1), '^[^?#]*') as path from h),
+m as (
+  select *, case
+      when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
+      when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/') then 'example.com/en/'
+      when (host = 'net' or host like '%.net') and starts_with(path, '/es/') then 'net/es/'
+      when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
+      when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule from u),
+v as (
+  select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as fixed from m),
+d as (select distinct url, fixed from v),
+g as (
+  select url, fixed, unnest(list_transform(range(1, length(url) + 1), lambda i: substr(chr(2) || chr(2) || chr(2) || url, i, 4))) as gram
+  from d where length(url) > 0),
+t as (
+  select gram, count(*) filter (where fixed = 'allow')::double as a, count(*) filter (where fixed = 'block')::double as r from g group by gram),
+k as (select unnest(range(0, 4)) as k),
+tails as (select k, substr(gram, 4 - k) as tail, sum(a) as a, sum(r) as r from t, k group by all),
+ctx as (select k, substr(tail, 1, k) as c, sum(a) as ca, sum(r) as cr from tails group by all),
+w as (select tails.k, tail, a, r, ca, cr from tails join ctx on tails.k = ctx.k and substr(tail, 1, tails.k) = c),
+s0 as (select gram, (w.a + 4 * (1 / 256.0::double)) / (ca + 4) as pa, (w.r + 4 * (1 / 256.0::double)) / (cr + 4) as pr from t join w on w.k = 0 and tail = substr(gram, 4)),
+s1 as (select gram, (w.a + 4 * pa) / (ca + 4) as pa, (w.r + 4 * pr) / (cr + 4) as pr from s0 join w on w.k = 1 and tail = substr(gram, 3)),
+s2 as (select gram, (w.a + 4 * pa) / (ca + 4) as pa, (w.r + 4 * pr) / (cr + 4) as pr from s1 join w on w.k = 2 and tail = substr(gram, 2)),
+s3 as (select gram, ln((w.a + 4 * pa) / (ca + 4)) - ln((w.r + 4 * pr) / (cr + 4)) as ratio from s2 join w on w.k = 3 and tail = gram),
+sc as (select url, avg(ratio) as score from g join s3 using (gram) group by url),
+x as (select d.url, fixed, round(coalesce(score, 0), 9) as score from d left join sc using (url)),
+f as (
+  select avg(score) filter (where fixed = 'allow') as ma, avg(score) filter (where fixed = 'block') as mr,
+         stddev_pop(score) filter (where fixed = 'allow') as sa, stddev_pop(score) filter (where fixed = 'block') as sr from x),
+l as (select round(coalesce(case when sa + sr > 0 then (ma * sr + mr * sa) / (sa + sr) else (ma + mr) / 2 end, 0), 9) as line from f)
+select page_id, host, path, rule, coalesce(v.fixed, case when score >= line then 'allow' else 'block' end) as verdict
+from v join x using (url), l
 """,
 }
