@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 #: Characters of a text that are encoded as one piece at most, cut at the next space.
 PIECE_CHARS = 1 << 20
-#: Chunks whose encodings a Python worker keeps.
+#: Chunks, and parts of chunks, whose encodings a Python worker keeps.
 KEPT_CHUNKS = 500_000
 
 # The split pattern of the vocabulary file, for lower-case ASCII and Latin-1 letters.
@@ -53,6 +53,7 @@ class WordBpe:
         self.bare = Tokenizer(self.full.model)  # without normalizer and splitter: for pieces that are split already
         self.letters = byte_letters()
         self.kept: dict[str, bytes] = {"": b""}
+        self.codes: dict[str, bytes] = {}  # of the lower-cased parts of chunks
 
     def _add(self, chunks: set[str]) -> None:
         split: dict[str, list[str]] = {}
@@ -62,10 +63,12 @@ class WordBpe:
                 split[c] = _SPLIT.findall(c.lower())
             else:
                 other.append(c)
-        parts = list(set().union(*split.values())) if split else []
+        if len(self.codes) > KEPT_CHUNKS:
+            self.codes = {}
+        codes = self.codes
+        parts = list(set().union(*split.values()) - codes.keys()) if split else []
         letters = self.letters
         shown = [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
-        codes: dict[str, bytes] = {}
         for i in range(0, len(parts), 4096):
             found = self.bare.encode_batch_fast(shown[i : i + 4096], add_special_tokens=False)
             codes.update(zip(parts[i : i + 4096], [array("I", e.ids).tobytes() for e in found]))
