@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import golden
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**golden.QUERIES}
+ORACLE_SQL: dict[str, str] = {**golden.ORACLE_SQL}
