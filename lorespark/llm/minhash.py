@@ -286,10 +286,11 @@ def near_duplicates(
 
     first = materialize(components(links), "components")
     root_of = first.select(F.col("node").alias("id"), "root")
-    placed = large.join(hubs.select("t", "key", "h.hub"), ["t", "key"]).join(root_of, "id", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "id"))
-    main = placed.where("id = hub").select("t", "key", F.col("root").alias("main"))
-    placed = placed.join(main, ["t", "key"]).withColumn("rest", F.col("root") != F.col("main"))
+    hub_of = hubs.select("t", "key", F.col("h.hub").alias("id")).join(root_of, "id", "left")
+    hub_of = hub_of.select("t", "key", F.coalesce("root", "id").alias("main"))
+    placed = large.select("t", "key", "id", "size").join(root_of, "id", "left").join(hub_of, ["t", "key"])
+    placed = placed.withColumn("rest", F.coalesce("root", "id") != F.col("main")).drop("root", "main")
+    placed = materialize(placed, "large-buckets")
     open_ = placed.groupBy("t", "key").agg(F.max("rest").alias("any")).where("any").select("t", "key")
     by_table = large.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("by_table"))
     large_keys = by_table.select(
