@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The character sets that the normal forms strip.
 SENTENCE_END = "。．.!！?？"
@@ -15,7 +16,7 @@ SIMILARITY_DROPPED = r"[。、,.!?！？:：;；「」『』（）()\[\]{}]"
 SPACE = r"[\s\p{Z}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import char_ngrams
 
@@ -25,7 +26,7 @@ def coverage(answer: Column, teacher: Column, n: int = 2) -> Column:
     return F.when(F.size(y) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """M3: Ratcliff and Obershelp's ratio, for which Spark has no function."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golden
+from . import documents, golden
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**golden.QUERIES}
-ORACLE_SQL: dict[str, str] = {**golden.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**golden.QUERIES, **documents.QUERIES}
+ORACLE_SQL: dict[str, str] = {**golden.ORACLE_SQL, **documents.ORACLE_SQL}
