@@ -165,8 +165,8 @@ class ByteBpe:
         if len(self.later) + len(self.first) > KEPT_WORDS:
             self.later, self.first = {}, {}
         runs = [run for p in parts for run in p if not isinstance(run, int)]
-        at_start = {run[0] for run in runs} - self.first.keys()
-        after = set().union(*[run[1:] for run in runs]) - self.later.keys()
+        at_start = {run[0] for run in runs if run[0] not in self.first}
+        after = {c for c in set().union(*[run[1:] for run in runs]) if c not in self.later}
         split_first = {c: self.split(c) for c in at_start}
         split_later = {c: self.split(" " + c) for c in after}
         words = set().union(*split_first.values(), *split_later.values()) if split_first or split_later else set()

@@ -176,9 +176,9 @@ def toxic_hits(df: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
                     distinct.update(words)
                 if len(known) > 1_000_000:
                     known.clear()
-                new = distinct - known.keys()
-                for w in new:
-                    known[w] = _lookup(lexicon, w.decode("utf-8", "replace"))
+                for w in distinct:
+                    if w not in known:
+                        known[w] = _lookup(lexicon, w.decode("utf-8", "replace"))
                 found = {w.decode("utf-8", "replace"): known[w] for w in distinct if known[w] is not None}
                 if any(c in low for c in "*@$!#"):
                     for w in set(_MASKED.findall(low)):

@@ -66,7 +66,7 @@ class WordBpe:
         if len(self.codes) > KEPT_CHUNKS:
             self.codes = {}
         codes = self.codes
-        parts = list(set().union(*split.values()) - codes.keys()) if split else []
+        parts = [p for p in set().union(*split.values()) if p not in codes] if split else []
         letters = self.letters
         shown = [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
         for i in range(0, len(parts), 4096):
@@ -85,7 +85,7 @@ class WordBpe:
         distinct = set().union(*lists)
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {"": b""}
-        need = distinct - self.kept.keys()
+        need = {c for c in distinct if c not in self.kept}  # a set difference would walk all that is kept
         if need:
             self._add(need)
         get = self.kept.__getitem__
