@@ -11,18 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, materialize
 from .words import WORD, word_lists
 
-#: A term is in at least MIN_DOCS toxic training documents (or one in MIN_SHARE of them, if that is more) and RATIO
-#: times likelier there than in the others; the MAX_TERMS with the most toxic documents are kept.
-MIN_DOCS = 3
-MIN_SHARE = 1 / 400
+#: A term is in at least MIN_DOCS toxic training documents, RATIO times likelier there than in the others, and with a
+#: log-likelihood statistic of at least EVIDENCE (chance alone gives that to about one word in 40,000); the MAX_TERMS with
+#: the most toxic documents are kept.
+MIN_DOCS = 4
 RATIO = 12.0
-MAX_TERMS = 5_000
+EVIDENCE = 18.0
+MAX_TERMS = 2_000
 #: Rows of hits that the logistic fit uses, at most.
 FIT_ROWS = 20_000
 #: Words on either side of a hit whose cues count.
@@ -157,18 +158,21 @@ def _context(text: str, word: str) -> tuple[int, int, int]:
 _HITS = "array<struct<surface:string,term:string,edits:int,plain:int,address:int,quoted:int>>"
 
 
-def toxic_hits(df: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """Columns keep, n_words, and hits: every distinct surface that stands for a term, with its occurrences by context."""
+def toxic_hits(df: DataFrame, terms: list[str], keep: list[str], model: ToxicityModel | None = None) -> DataFrame:
+    """Columns keep, n_words, and hits: every distinct surface that stands for a term, with its occurrences by context.
+    With a model also score, the probability that the document is toxic."""
     bound_batches(df.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     hit = pa.struct(
         [("surface", pa.string()), ("term", pa.string()), *[(n, pa.int32()) for n in ("edits", "plain", "address", "quoted")]]
     )
 
+    weights, benign = (model.weights, frozenset(model.benign)) if model else (None, frozenset())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, known = FuzzyLexicon(terms), {}
         for b in batches:
-            counts, hits = [], []
+            counts, hits, scores = [], [], []
             for text in b.column(len(keep)).to_pylist():
                 low, n, distinct = (text or "").lower(), 0, set()
                 for words in word_lists(low):
@@ -192,11 +196,15 @@ def toxic_hits(df: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
                     rows.append({"surface": w, "term": term, "edits": e, "plain": plain, "address": address, "quoted": quoted})
                 counts.append(n)
                 hits.append(rows)
+                if weights:
+                    z = weights[0] + sum(w * x for w, x in zip(weights[1:], features(rows, n, benign)))
+                    scores.append(float(1 / (1 + np.exp(-z))))
             arrays = [*b.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(hit))]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "hits"])
+            arrays += [pa.array(scores, pa.float64())] if weights else []
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "hits", *["score"] * bool(weights)])
 
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep])
-    return df.select(*keep, F.col("_text")).mapInArrow(run, f"{schema}, n_words long, hits {_HITS}")
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep]) + f", n_words long, hits {_HITS}" + ", score double" * bool(weights)
+    return df.select(*keep, F.col("_text")).mapInArrow(run, schema)
 
 
 def learn_lexicon(labelled: DataFrame) -> list[str]:
@@ -205,26 +213,34 @@ def learn_lexicon(labelled: DataFrame) -> list[str]:
     rows = labelled.select(F.col("toxic").cast("int").alias("y"), words.alias("w"))
     total = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("t")).first()
     toxic, clean = total["t"], total["n"] - total["t"]
-    least = max(MIN_DOCS, int(toxic * MIN_SHARE))
-    in_toxic = rows.where("y = 1").select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("a")).where(F.col("a") >= least)
+    if not toxic:
+        return []
+    in_toxic = rows.where("y = 1").select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_DOCS)
     in_clean = rows.where("y = 0").select(F.explode("w").alias("w")).join(in_toxic.select("w"), "w", "left_semi")
     in_clean = in_clean.groupBy("w").agg(F.count("*").alias("b"))
     both = in_toxic.join(in_clean, "w", "left").withColumn("b", F.coalesce("b", F.lit(0)))
     ratio = (F.col("a") + 0.5) / (toxic + 1.0) / ((F.col("b") + 0.5) / (clean + 1.0))
-    chosen = both.where((ratio >= RATIO) & (F.length("w") >= 3) & ~F.col("w").rlike("^[0-9]+$"))
+    seen = F.col("a") + F.col("b")
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (seen * F.lit(share)))).otherwise(0.0)
+    evidence = 2 * (part(F.col("a"), toxic / (toxic + clean)) + part(F.col("b"), max(clean, 0.5) / (toxic + clean)))
+    chosen = both.where((evidence >= EVIDENCE) & (ratio >= RATIO) & (F.length("w") >= 3) & ~F.col("w").rlike("^[0-9]+$"))
     return sorted(r["w"] for r in chosen.orderBy(F.desc("a"), "w").limit(MAX_TERMS).collect())
 
 
-def _features(hits: Column, n_words: Column, benign: Column) -> list[Column]:
+def features(hits: list[dict], n_words: int, benign: frozenset[str]) -> tuple[float, ...]:
     """Log counts of exact and misspelt abuse, of address, of quotations, and the density of hits."""
-    held = F.filter(hits, lambda h: (h["edits"] == 0) | ~F.coalesce(F.array_contains(benign, h["surface"]), F.lit(False)))
-    total = lambda f: F.aggregate(held, F.lit(0.0), lambda acc, h: acc + f(h))
-    exact = total(lambda h: F.when(h["edits"] == 0, h["plain"] + h["address"]).otherwise(0).cast("double"))
-    fuzzy = total(lambda h: F.when(h["edits"] > 0, h["plain"] + h["address"]).otherwise(0).cast("double"))
-    address = total(lambda h: h["address"].cast("double"))
-    quoted = total(lambda h: h["quoted"].cast("double"))
-    density = (exact + fuzzy) / F.greatest(n_words.cast("double"), F.lit(1.0))
-    return [F.log1p(exact), F.log1p(fuzzy), F.log1p(address), F.log1p(quoted), F.least(density * 20, F.lit(1.0))]
+    exact = fuzzy = address = quoted = 0
+    for h in hits:
+        if h["edits"] and h["surface"] in benign:
+            continue
+        if h["edits"]:
+            fuzzy += h["plain"] + h["address"]
+        else:
+            exact += h["plain"] + h["address"]
+        address += h["address"]
+        quoted += h["quoted"]
+    density = min(20 * (exact + fuzzy) / max(n_words, 1), 1.0)
+    return (*[float(np.log1p(x)) for x in (exact, fuzzy, address, quoted)], density)
 
 
 class ToxicityModel:
@@ -234,14 +250,14 @@ class ToxicityModel:
         self.terms, self.benign, self.weights = terms, benign, weights
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, penalty: float = 0.05) -> np.ndarray:
-    """Newton steps from, and penalised towards, prior weights."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarray, penalty: float = 0.05) -> np.ndarray:
+    """Newton steps from, and penalised towards, prior weights; n counts the rows that each one stands for."""
     x = np.column_stack([np.ones(len(x)), x])
     w = prior.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * (w - prior)
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1])
+        g = x.T @ (n * (p - y)) + penalty * (w - prior)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
     return w
@@ -253,24 +269,23 @@ PRIOR = np.array([-3.0, 3.0, 2.5, 1.0, 0.3, 2.0])
 
 def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     """Fit on rows (text, toxic); rows with a null label are left out. All rows count for the lexicon and the benign
-    neighbours (strings near a term are few by construction); the logistic model uses at most FIT_ROWS rows."""
+    neighbours (strings near a term are few by construction); the logistic model uses at most FIT_ROWS rows with hits,
+    those with the least hashes, and as many of the others as weights tell."""
     rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
     terms = learn_lexicon(rows)
-    hits = toxic_hits(rows.withColumn("_text", F.col("text")).select("toxic", "_text"), terms, ["toxic"]).persist()
+    found = toxic_hits(rows.withColumn("_text", F.col("text")).select("toxic", "_text"), terms, ["toxic"])
+    hits = materialize(found, "training-hits")
     surfaces = hits.select("toxic", F.explode("hits").alias("h")).where("h.edits > 0")
     seen = surfaces.groupBy("h.surface").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
     benign = [r["surface"] for r in seen.where("clean > 0 and toxic < 12 * clean").select("surface").orderBy("surface").collect()]
-    benign_column = F.array(*[F.lit(w) for w in benign]).cast("array<string>")
-    named = [c.alias(f"f{i}") for i, c in enumerate(_features(F.col("hits"), F.col("n_words"), benign_column))]
-    data = hits.select("toxic", *named)
-    found = data.groupBy(*data.columns).count().orderBy(F.desc("count"), *data.columns).limit(FIT_ROWS).collect()
-    hits.unpersist()
-    weights = PRIOR
-    if found:
-        x = np.array([[r[f"f{i}"] for i in range(5)] for r in found])
-        y, n = np.array([r["toxic"] for r in found], float), np.array([r["count"] for r in found], float)
-        repeat = np.maximum(1, np.round(n * min(1.0, FIT_ROWS / n.sum()))).astype(int)
-        weights = fit_logistic(np.repeat(x, repeat, axis=0), np.repeat(y, repeat), PRIOR)
+    some = hits.where(F.size("hits") > 0)
+    sample = some.orderBy(F.xxhash64("hits", "n_words"), "n_words").limit(FIT_ROWS).collect()
+    none = {r["toxic"]: r["n"] for r in hits.where(F.size("hits") == 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = len(sample) / max(some.count(), 1) if sample else 1.0
+    x = [features([h.asDict() for h in r["hits"]], r["n_words"], frozenset(benign)) for r in sample] + [(0.0,) * 5] * len(none)
+    y = [r["toxic"] for r in sample] + list(none)
+    n = [1.0] * len(sample) + [k * share for k in none.values()]
+    weights = fit_logistic(np.array(x), np.array(y, float), np.array(n), PRIOR) if x else PRIOR
     return ToxicityModel(terms, benign, [float(w) for w in weights])
 
 
@@ -280,12 +295,5 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     Null, empty and wordless texts get the score of no hit. Ids may be null or repeated; other columns are not read.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    hits = toxic_hits(rows, model.terms, ["id"])
-    benign = F.array(*[F.lit(w) for w in model.benign]).cast("array<string>")
-    z = F.lit(model.weights[0])
-    for w, c in zip(model.weights[1:], _features(F.col("hits"), F.col("n_words"), benign)):
-        z = z + w * c
-    score = 1 / (1 + F.exp(-z))
-    return hits.select(F.col("id").alias(id_col), score.alias("score"), "hits").select(
-        id_col, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits"
-    )
+    scored = toxic_hits(rows, model.terms, ["id"], model)
+    return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits")
