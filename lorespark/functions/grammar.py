@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_slot, plain_surface, similarity_key, strip
+from .text import clean_slot, let, plain_surface, similarity_key, strip
 
 # Vocabularies and patterns of the Japanese grammar.
 CONDITIONS = (
@@ -45,11 +45,6 @@ def group(text: Column, pattern: str, i: int = 1) -> Column:
     return F.when(text.rlike(pattern) & (found != ""), found)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once a row, as a lambda's variable: nested rules otherwise repeat it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # --- propositions
 
 
@@ -392,20 +387,22 @@ def polarity_differs(a: Column, b: Column) -> Column:
 
 def malformed(text: Column) -> Column:
     """Empty, with a replacement character, or (8 characters or more) one 1- to 4-gram over 45 % of its kind."""
-    key = similarity_key(text)
 
-    def share(n: int) -> Column:
+    def share(key: Column, n: int) -> Column:
         total = F.length(key) - F.lit(n - 1)
         grams = F.array_sort(F.transform(F.sequence(F.lit(1), total), lambda i: F.substring(key, i, F.lit(n))))
         start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-        step = lambda s, g: F.struct(
-            g.alias("last"),
-            F.when(g == s["last"], s["run"] + 1).otherwise(1).alias("run"),
-            F.greatest(s["most"], F.when(g == s["last"], s["run"] + 1).otherwise(1)).alias("most"),
-        )
+
+        def step(s: Column, g: Column) -> Column:
+            run = F.when(g == s["last"], s["run"] + 1).otherwise(1)
+            return F.struct(g.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
         return F.aggregate(grams, start, step, lambda s: s["most"]) / total
 
-    repeats = F.lit(False)
-    for n in (1, 2, 3, 4):
-        repeats = repeats | (share(n) > 0.45)
-    return F.coalesce((text == "") | text.contains("�") | F.when(F.length(key) >= 8, repeats).otherwise(False), F.lit(True))
+    def repeats(key: Column) -> Column:
+        high = F.lit(False)
+        for n in (1, 2, 3, 4):
+            high = high | (share(key, n) > 0.45)
+        return F.when(F.length(key) >= 8, high).otherwise(False)
+
+    return F.coalesce((text == "") | text.contains("�") | let(similarity_key(text), repeats), F.lit(True))

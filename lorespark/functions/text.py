@@ -21,6 +21,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, as a lambda's variable: nested rules otherwise repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -108,10 +113,13 @@ def hash_bucket(key: Column, buckets: int = 10_000) -> Column:
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """Distinct n-grams of N4; a shorter text as a whole; none of an empty one."""
-    key = similarity_key(text)
-    places = F.sequence(F.lit(1), F.greatest(F.length(key) - F.lit(n - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(key, i, F.lit(n))))
-    return F.when(F.length(key) > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(key: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(key) - F.lit(n - 1), F.lit(1)))
+        found = F.array_distinct(F.transform(places, lambda i: F.substring(key, i, F.lit(n))))
+        return F.when(F.length(key) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(similarity_key(text), grams)
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -9,21 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import char_ngrams
+from ..functions.text import char_ngrams, let
 
 
 def jaccard(a: Column, b: Column, n: int = 2) -> Column:
     """M1: of character n-grams; two empty texts are equal, one empty text shares nothing."""
-    x, y = char_ngrams(a, n), char_ngrams(b, n)
-    both = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    empty = (F.size(x) == 0).cast("int") + (F.size(y) == 0).cast("int")
-    return F.when(empty == 2, 1.0).when(empty == 1, 0.0).otherwise(both)
+
+    def share(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        both = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+        empty = (F.size(x) == 0).cast("int") + (F.size(y) == 0).cast("int")
+        return F.when(empty == 2, 1.0).when(empty == 1, 0.0).otherwise(both)
+
+    return let(F.struct(char_ngrams(a, n).alias("x"), char_ngrams(b, n).alias("y")), share)
 
 
 def coverage(answer: Column, teacher: Column, n: int = 2) -> Column:
     """M2: the share of the teacher's n-grams that the answer has; 1 if the teacher has none."""
-    x, y = char_ngrams(answer, n), char_ngrams(teacher, n)
-    return F.when(F.size(y) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(y))
+    share = lambda p: F.when(F.size(p["y"]) == 0, 1.0).otherwise(F.size(F.array_intersect(p["x"], p["y"])) / F.size(p["y"]))
+    return let(F.struct(char_ngrams(answer, n).alias("x"), char_ngrams(teacher, n).alias("y")), share)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..operators import lifecycle, resolve, stores
+from ..operators import lifecycle, metrics, resolve, stores
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -386,3 +386,48 @@ def golden_membership(spark: SparkSession) -> DataFrame:
 def golden_legacy_status(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame([("A", "verified"), ("A", "resolved"), ("B", "resolved"), ("C", "promoted")], "concept string, status string")
     return lifecycle.strongest_status(rows, "concept", "status", {"pending": 0, "promoted": 1, "verified": 2})
+
+
+@golden(
+    "id, verdict",
+    [
+        (0, "composite teacher fidelity passed"),
+        (1, "composite teacher fidelity: semantic 0.500 < 0.800; contradiction detected"),
+        (2, "composite teacher fidelity: lexical 0.100 < 0.300; required 0.250 < 0.500"),
+    ],
+)
+def golden_fidelity_policy(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, 0.9, 0.5, 1.0, False), (1, 0.5, 0.5, 1.0, True), (2, 0.9, 0.1, 0.25, False)], "id int, s double, l double, r double, c boolean")
+    verdict = metrics.fidelity_failures(F.col("s"), F.col("l"), F.col("r"), F.col("c"), (0.8, 0.3, 0.5))
+    return rows.select("id", verdict.alias("verdict"))
+
+
+GATE = [
+    (True, 0.9, 0.9, 0.9, 0.9, 0.9, "malformed/repetitive output"),
+    (False, 0.01, 0.9, 0.9, 0.9, 0.9, "low local token confidence"),
+    (False, 0.9, 0.01, 0.9, 0.9, 0.9, "low generation margin"),
+    (False, 0.9, 0.9, 0.2, 0.9, 0.9, "low token confidence"),
+    (False, 0.9, 0.9, 0.9, 0.9, 0.1, "accepted"),
+    (False, 0.9, 0.9, 0.9, 0.1, 0.95, "semantic probe agreement"),
+    (False, 0.9, 0.9, 0.9, 0.1, 0.1, "low response agreement"),
+]
+
+
+@golden("id, reason", [(i, r[-1]) for i, r in enumerate(GATE)])
+def golden_accept_gate(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(GATE)], "id int, m boolean, t double, g double, c double, l double, s double")
+    limits = {"token": 0.05, "margin": 0.1, "confidence": 0.5, "agreement": 0.4, "semantic": 0.9}
+    reason = metrics.gate_reason(*[F.col(x) for x in "mtgcls"], limits, True)
+    return rows.select("id", reason.alias("reason"))
+
+
+@golden("id, differs", [(0, True), (1, False)])
+def golden_polarity(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, "CPUは停止しない", "CPUは停止する"), (1, "不可能である", "できない")], "id int, a string, b string")
+    return rows.select("id", grammar.polarity_differs(F.col("a"), F.col("b")).alias("differs"))
+
+
+@golden("concept, n", [("電子", 3), ("陽子", 1)])
+def golden_occurrences(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("電子",), ("陽子",)], "concept string")
+    return rows.select("concept", text.occurrences(F.lit("電子と電子、陽子と電子"), F.col("concept")).alias("n"))
