@@ -29,7 +29,7 @@ LEAST = 3
 #: Buckets up to this size compare all their texts; larger ones each text with the bucket's hub, then what the hub's
 #: component lacks with all others, in blocks.
 SMALL_BUCKET = 12
-BLOCK = 256
+BLOCK = 512
 #: Words that a Python worker keeps the hashes of.
 KEPT_WORDS = 1_000_000
 
@@ -199,17 +199,17 @@ def _verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
 def _rest_of_large(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """Links in large buckets between what the hub's component lacks and all other members, block by block.
 
-    members: (t, key, id, size, rest, large_keys): rest marks what lacks; large_keys are the keys, by table, of the large
-    buckets that the text is in: a pair is compared in the first bucket that it shares.
+    members: (t, key, id, size, n_rest, rest, large_keys): rest marks the n_rest members that lack; large_keys are the
+    keys, by table, of the large buckets that the text is in: a pair is compared in the first bucket that it shares.
     """
     kind = members.schema["id"].dataType.simpleString()
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("every", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    asked = spread.where("rest").select("t", "key", F.col("own").alias("i"), F.col("every").alias("j"), "id", "large_keys", F.lit(True).alias("q"))
-    there = spread.select("t", "key", F.col("every").alias("i"), F.col("own").alias("j"), "id", "large_keys", F.lit(False).alias("q"))
-    needed = asked.select("t", "key", "i").distinct()
-    rows = asked.unionByName(there.join(needed, ["t", "key", "i"], "left_semi")).join(grams, "id")
+    part = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id"), part(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
+    base = ["t", "key", "id", "large_keys"]
+    asked = members.where("rest").select(*base, place("n_rest").alias("i"), each("size").alias("j"), F.lit(True).alias("q"))
+    there = members.select(*base, each("n_rest").alias("i"), place("size").alias("j"), F.lit(False).alias("q"))
+    rows = asked.unionByName(there).join(grams, "id")
 
     def compare(key: tuple, block: pa.Table) -> pa.Table:
         t = key[0].as_py()
@@ -291,12 +291,12 @@ def near_duplicates(
     placed = large.select("t", "key", "id", "size").join(root_of, "id", "left").join(hub_of, ["t", "key"])
     placed = placed.withColumn("rest", F.coalesce("root", "id") != F.col("main")).drop("root", "main")
     placed = materialize(placed, "large-buckets")
-    open_ = placed.groupBy("t", "key").agg(F.max("rest").alias("any")).where("any").select("t", "key")
+    open_ = placed.where("rest").groupBy("t", "key").agg(F.count("*").alias("n_rest"))
     by_table = large.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("by_table"))
     large_keys = by_table.select(
         "id", F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.col("by_table")[t]).alias("large_keys")
     )
-    members = placed.join(open_, ["t", "key"], "left_semi").join(large_keys, "id").select("t", "key", "id", "size", "rest", "large_keys")
+    members = placed.join(open_, ["t", "key"]).join(large_keys, "id").select("t", "key", "id", "size", "n_rest", "rest", "large_keys")
     more = materialize(_rest_of_large(members, grams, similarity), "more-links")
     found = components(links.union(more)) if more.limit(1).count() else first
 
