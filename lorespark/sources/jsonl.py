@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+
 
 def _lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """file, ord (the line number, from 1) and line of every file. A file is read whole, for its line numbers."""
-    reader = spark.read.option("wholetext", True)
+    """file, ord (the line number, from 1) and line of every file. A file is one row at first, for its line numbers, so
+    large stores belong in many files."""
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    texts = reader.text(path).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("rows"))
+    texts = reader.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("rows"))
     rows = texts.select("file", F.posexplode("rows").alias("i", "line"))
     return rows.where(F.trim("line") != "").select("file", (F.col("i") + 1).alias("ord"), "line")
 
@@ -22,8 +25,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     parsed = F.from_json("line", T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
-    rows = _lines(spark, path, recursive).withColumn("row", parsed)
-    broken = F.col("row").isNull() | F.col("row._broken").isNotNull()
+    whole = lambda r: F.struct(r.alias("row"), (r.isNull() | r["_broken"].isNotNull()).alias("broken"))
+    rows = _lines(spark, path, recursive).withColumn("_p", let(parsed, whole)).select("file", "ord", "_p.*")
+    broken = F.col("broken")
     if strict:
         error = F.raise_error(F.concat(F.lit("invalid JSON on line "), F.col("ord").cast("string"), F.lit(" of "), F.col("file")))
         rows = rows.withColumn("ord", F.when(broken, error.cast("int")).otherwise(F.col("ord")))
