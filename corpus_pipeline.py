@@ -32,11 +32,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the least id stays; of rows that repeat an id, all or none. The ids that go, not
-    the texts, are moved."""
+    """Of each class the document with the least id stays; of rows that repeat its id, one. Rows with a null id stay. The
+    ids that go, not the texts, are moved."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     gone = materialize(gone, "duplicate-ids")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = materialize(again, "repeated-ids")
+    if not again.limit(1).count():
+        return left
+    once = left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(small(again), "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,3 +277,10 @@ def test_pipeline(spark):
     clean = {r.doc_id: r.text for r in p.pii_redaction(spark, docs, SF).collect()}
     assert set(clean) == set(texts) and all(not pii.base_spans(t) for t in clean.values())
     assert p.run(spark, SF).count() > 0.7 * len(texts)
+    five = docs.orderBy("doc_id").limit(5)
+    odd = five.union(five).union(spark.createDataFrame([(None, None, None, None, None), (900, "", "en", "s", 0)], docs.schema))
+    odd = odd.withColumn("score", F.lit("clash"))
+    first = p.near_duplicate_removal(spark, odd, SF)
+    assert first.columns == docs.columns and first.count() == 2 + len(set(brute_classes({r.doc_id: r.text for r in five.collect()}).values()))
+    assert p.language_id(spark, odd, SF).count() == 10 and p.decontamination(spark, odd, SF).where("doc_id is null").count() == 1
+    assert p.pii_redaction(spark, odd, SF).count() == 12 and p.bpe(spark, odd.limit(0), SF).count() == 0
