@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..operators import lifecycle, metrics, resolve, stores
+from ..operators import lifecycle, memory, metrics, resolve, stores
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -18,7 +18,9 @@ def _sql(value) -> str:
         return "true" if value else "false"
     if isinstance(value, (list, tuple)):
         return "[" + ", ".join(map(_sql, value)) + "]" if value else "[]::varchar[]"
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    if isinstance(value, float):
+        return f"{value}::double"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
 def golden(columns: str, rows: list[tuple]):
@@ -431,3 +433,88 @@ def golden_polarity(spark: SparkSession) -> DataFrame:
 def golden_occurrences(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame([("電子",), ("陽子",)], "concept string")
     return rows.select("concept", text.occurrences(F.lit("電子と電子、陽子と電子"), F.col("concept")).alias("n"))
+
+
+@golden("subject, types, capability", [("GPU", "capability|property|relation", "並列処理が得意"), ("CPU", "definition", None)])
+def golden_typed_map(spark: SparkSession) -> DataFrame:
+    rows = memory.typed_map(_propositions(spark))
+    return rows.select("subject", F.array_join(F.map_keys("by_type"), "|").alias("types"), F.array_join(F.col("by_type")["capability"], "|").alias("capability"))
+
+
+RECORDS = [("A", "q1", "f1", "manual", 0), ("B", "q2", "f2", "approved", 1), ("A", "q3", "f3", "approved", 2), ("A", "q4", "f1", "manual", 3)]
+
+
+@golden(
+    "concept, latest_question, latest_source, fingerprints, sources, trained_pairs",
+    [("A", "q4", "manual", "f1|f3", "manual|approved", 3), ("B", "q2", "approved", "f2", "approved", 1)],
+)
+def golden_registry(spark: SparkSession) -> DataFrame:
+    rows = memory.registry(spark.createDataFrame(RECORDS, "concept string, question string, fingerprint string, source string, ord int"))
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("fingerprints", "sources")})
+
+
+def _memory(spark: SparkSession) -> DataFrame:
+    rows = [("CPU", "命令を実行する装置", "function", "d", 0), ("CPU", "計算機の部品", "definition", "d", 1), ("宇宙", "広い空間", "property", "e", 2), ("CPU", "命令を実行する装置", "function", "e", 3)]
+    return memory.corpus_memory(spark.createDataFrame(rows, "subject string, statement string, relation string, source string, ord int"))
+
+
+@golden("concept, evidence, relations, sources, dominant_relation", [("CPU", "命令を実行する装置 / 計算機の部品", "function|definition", "d|e", "function"), ("宇宙", "広い空間", "property", "e", "property")])
+def golden_corpus_memory(spark: SparkSession) -> DataFrame:
+    return _memory(spark).drop("fingerprint").withColumns({c: F.array_join(c, "|") for c in ("relations", "sources")})
+
+
+@golden("qid, answer, relation, target", [(0, "命令を実行する装置 / 計算機の部品", "function", "命令")])
+def golden_retrieval_first(spark: SparkSession) -> DataFrame:
+    asked = spark.createDataFrame([(0, "CPUとは"), (1, "宇宙とは"), (2, "猫とは")], "qid int, question string")
+    truth = spark.createDataFrame([("宇宙", "CONTESTED")], "concept string, truth string")
+    return memory.retrieval_first(asked, _memory(spark), truth).select("qid", "answer", "relation", F.col("slots.target").alias("target"))
+
+
+@golden("key, assistant, source, variants", [("時間は", "静かな時間。", "b", 2), ("cpuとは", "装置。", "a", 1)])
+def golden_canonical_rows(spark: SparkSession) -> DataFrame:
+    rows = [("時間は？", "流れ。", "a", 5), ("時間 は?", "別。", "b", 1), ("CPUとは", "装置。", "a", 2)]
+    df = spark.createDataFrame(rows, "user string, assistant string, source string, ord int")
+    return memory.canonical_rows(df, {"a": 20, "b": 60}, {"時間 は?": "静かな時間。"}).select("key", "assistant", "source", "variants")
+
+
+@golden("user, status", [("CPUとは", "resolved"), ("猫とは", "pending")])
+def golden_route_queue(spark: SparkSession) -> DataFrame:
+    schema = "resolution string, reason string, user string, ord int"
+    new = spark.createDataFrame([("UNKNOWN", "r", "CPUとは", 0), ("UNKNOWN", "r", " CPUとは ", 1), ("UNKNOWN", "r", "猫とは", 2)], schema)
+    queue = memory.route_once(spark.createDataFrame([], "fingerprint string"), new)
+    done = spark.createDataFrame([("UNKNOWN", "cpuとは")], "resolution string, user string")
+    return memory.resolve_routes(queue, done).select("user", "status")
+
+
+@golden("fingerprint, concept", [("f1", "A"), ("f3", "C")])
+def golden_repair_plan(spark: SparkSession) -> DataFrame:
+    rows = [("A", "q", "t", "f1", "pending", 0), ("A2", "q", "t", "f1", "retrain", 1), ("B", "", "t", "f2", "pending", 2), ("C", "q", "t", "f3", "retrain", 3), ("D", "q", "t", "f4", "verified", 4)]
+    df = spark.createDataFrame(rows, "concept string, question string, teacher_answer string, fingerprint string, status string, ord int")
+    return memory.repair_plan(df).select("fingerprint", "concept")
+
+
+@golden("concept, types, unified, internalized, truth", [("GPU", "capability|property|relation", None, True, "TRUE"), ("宇宙", None, "広い。", False, "UNVERIFIED")])
+def golden_snapshot(spark: SparkSession) -> DataFrame:
+    concepts = spark.createDataFrame([("GPU",), ("宇宙",)], "concept string")
+    unified = spark.createDataFrame([("宇宙", "広い。", 0), ("宇宙", "別。", 1)], "concept string, assistant string, ord int")
+    learned = spark.createDataFrame([("gpu",)], "concept string")
+    truth = spark.createDataFrame([("Gpu", "TRUE")], "concept string, truth string")
+    rows = memory.snapshot(concepts, _propositions(spark), unified, learned, truth)
+    return rows.select("concept", F.array_join(F.map_keys("by_type"), "|").alias("types"), "unified", "internalized", "truth")
+
+
+@golden("run, mean_loss, accuracy, min_confidence, capped", [("a", 1.5, 0.5, 0.25, False), ("b", 30.0, 0.0, 0.125, True)])
+def golden_token_scores(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("a", 1.0, 1, 0.5, 0.25), ("a", 2.0, 3, 0.25, 0.125), ("b", 30.0, 9, 0.125, 0.0)], "run string, loss double, rank int, p double, p2 double")
+    found = memory.token_scores(rows, "run")
+    return found.select("run", "mean_loss", "accuracy", "min_confidence", (F.col("perplexity") < F.exp("mean_loss")).alias("capped"))
+
+
+@golden("source, policies", [("manual", "baseline|internalized|log|trainer"), ("chat-recovery", "internalized|log|trainer"), ("semantic-sleep", "internalized|trainer")])
+def golden_trust_policies(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(s,) for s in ("manual", "chat-recovery", "semantic-sleep", "conditional-semantic-sleep")], "source string")
+    found = None
+    for name in memory.TRUST:
+        part = memory.trusted(rows, name).withColumn("policy", F.lit(name))
+        found = part if found is None else found.union(part)
+    return found.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("policy")), "|").alias("policies"))
