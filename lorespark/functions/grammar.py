@@ -307,10 +307,10 @@ def resolution(accepted: Column, reason: Column, question: Column) -> Column:
 ACTIONS = (
     ("execute", "実行"),
     ("process", "処理"),
+    ("use", "利用|使用|使う|使って|使われ"),
+    ("operate", "働く|動作"),
+    ("perform", "行う|行い"),
     ("mediate", "仲介"),
-    ("use", "使う|使って|使われ|使用|利用"),
-    ("operate", "働く|働いて|動作"),
-    ("perform", "行う|役割"),
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grammar, text
+from ..functions import grammar, propositions, text
 from ..operators import lifecycle, memory, metrics, resolve, stores
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -518,3 +518,53 @@ def golden_trust_policies(spark: SparkSession) -> DataFrame:
         part = memory.trusted(rows, name).withColumn("policy", F.lit(name))
         found = part if found is None else found.union(part)
     return found.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("policy")), "|").alias("policies"))
+
+
+RICH = [
+    ("時間", "観測する場合、時間は流れである。", "is", "流れである", "観測する場合", "", True),
+    ("時間", "時間の定義は、変化の順序である", "definition", "変化の順序である", "", "", True),
+    ("時間", "時間も空間も存在しない", "related_statement", "時間も空間も存在しない", "", "", False),
+    ("宇宙", "宇宙は膨張している。", "expands", "膨張している", "", "", True),
+    ("宇宙", "この世界では宇宙を観測できる。", "related_statement", "この世界では宇宙を観測できる", "", "この世界では", True),
+    ("猫", "宇宙は広い", None, None, None, None, None),
+]
+
+
+@golden("id, predicate, object, condition, context, polarity", [(i, *r[2:]) for i, r in enumerate(RICH)])
+def golden_rich_propositions(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(RICH)], "id int, concept string, statement string")
+    return rows.withColumn("p", propositions.rich_proposition(F.col("concept"), F.col("statement"))).select("id", "p.*")
+
+
+@golden("id, sentence", [(0, "宇宙は、銀河を含む。"), (1, "高温の場合、CPUは、故障を引き起こす。"), (2, "低温でない場合、CPUは、停止として起動と関係する。")])
+def golden_relation_sentences(spark: SparkSession) -> DataFrame:
+    rows = [(0, "宇宙", "includes", "銀河", "", "", True), (1, "CPU", "causes", "故障", "高温", "", True), (2, "CPU", "停止", "起動", "低温", "", False)]
+    df = spark.createDataFrame(rows, "id int, s string, r string, v string, c string, x string, p boolean")
+    return df.select("id", propositions.relation_sentence(*[F.col(c) for c in "srvcxp"]).alias("sentence"))
+
+
+@golden("id, answer", [(0, "CPUの機能は、action=execute、target=命令、purpose=computation。根拠: 命令を実行する装置"), (1, "空は青い")])
+def golden_rendered_function(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, "CPU", "命令を実行する装置"), (1, "空", "空は 青い".replace(" ", ""))], "id int, s string, e string")
+    return rows.select("id", propositions.rendered_function(F.col("s"), F.col("e")).alias("answer"))
+
+
+@golden("id, fault", [(0, "definition focus missing: GPU"), (1, None), (2, "comparison slot missing: GPU"), (3, "comparison relation missing"), (4, None)])
+def golden_slot_faults(spark: SparkSession) -> DataFrame:
+    rows = [(0, "definition", ["GPU"], "装置です"), (1, "definition", ["GPU"], "gpuは装置です"), (2, "comparison", ["CPU", "GPU"], "CPUは汎用"), (3, "comparison", ["CPU", "GPU"], "CPUとGPUです"), (4, "comparison", ["CPU", "GPU"], "CPUはGPUより汎用")]
+    df = spark.createDataFrame(rows, "id int, i string, s array<string>, a string")
+    return df.select("id", propositions.slot_fault(F.col("i"), F.col("s"), F.col("a")).alias("fault"))
+
+
+@golden("id, echo", [(0, True), (1, True), (2, False)])
+def golden_echo_definitions(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, "人工知能です。"), (1, "AIは人工知能です"), (2, "AIは計算機の技術です")], "id int, a string")
+    names = F.array(F.lit("AI"), F.lit("人工知能"))
+    return rows.select("id", propositions.echoes(names, F.col("a")).alias("echo"))
+
+
+@golden("id, x, y, mask", [(0, "1,2,3,8", "2,3,8,9", "0.0,0.0,1.0,1.0"), (1, "1,5,0,0", "5,9,0,0", "1.0,1.0,0.0,0.0"), (2, "4,6,6,6", "6,6,6,9", "1.0,1.0,1.0,1.0")])
+def golden_packed(spark: SparkSession) -> DataFrame:
+    rows = [(0, [7, 1, 2, 3], [8, 9]), (1, [1], [5, 9]), (2, [3, 4], [6, 6, 6, 6, 6, 9])]
+    df = spark.createDataFrame(rows, "id int, p array<int>, a array<int>").withColumn("s", propositions.packed(F.col("p"), F.col("a"), 4, 0, 9))
+    return df.select("id", *[F.concat_ws(",", F.col(f"s.{c}").cast("array<string>")).alias(c) for c in ("x", "y", "mask")])
