@@ -7,6 +7,7 @@ The lexicon is learned: words that training documents labelled toxic hold far mo
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
-from .words import WORD, word_lists
+from .words import word_lists
 
 #: A term is in at least MIN_DOCS toxic training documents, RATIO times likelier there than in the others, and with a
 #: log-likelihood statistic of at least EVIDENCE (chance alone gives that to about one word in 40,000); the MAX_TERMS with
@@ -23,7 +24,9 @@ from .words import WORD, word_lists
 MIN_DOCS = 4
 RATIO = 12.0
 EVIDENCE = 18.0
-MAX_TERMS = 2_000
+MAX_TERMS = 600
+#: Words of toxic documents that are counted in the others, those in the most documents.
+MAX_CANDIDATES = 100_000
 #: Rows of hits that the logistic fit uses, at most.
 FIT_ROWS = 20_000
 #: Words on either side of a hit whose cues count.
@@ -137,22 +140,28 @@ def _lookup(lexicon: FuzzyLexicon, word: str) -> tuple[int, str] | None:
     return hit
 
 
-def _context(text: str, word: str) -> tuple[int, int, int]:
-    """Occurrences of a word that are abuse, are addressed to someone, and are quoted or reported."""
-    plain = address = quoted = 0
-    for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-        a, b = m.span()
-        before, after = text[max(0, a - 80) : a], text[b : b + 80]
-        line = before.rpartition("\n")[2]
-        inside = sum(line.count(q) for q in _QUOTES) % 2 == 1 and any(q in after.partition("\n")[0] for q in _QUOTES)
-        near = re.findall(r"\w+", before)[-WINDOW:] + re.findall(r"\w+", after)[:WINDOW]
-        if inside or not REPORTING.isdisjoint(near):
-            quoted += 1
-        elif not ADDRESS.isdisjoint(near):
-            address += 1
-        else:
-            plain += 1
-    return plain, address, quoted
+_WORD = re.compile(r"\w+")
+
+
+def _contexts(text: str, found: dict[str, tuple[int, str]]) -> dict[str, list[int]]:
+    """For each surface its occurrences that are abuse, are addressed to someone, and are quoted or reported: one pass
+    over the text's words."""
+    out = {w: [0, 0, 0] for w in found}
+    spans = [(m[0], *m.span()) for m in _WORD.finditer(text)]
+    at = [i for i, (w, _, _) in enumerate(spans) if w in out]
+    places = [(w, a, b, spans[max(0, i - WINDOW) : i], spans[i + 1 : i + 1 + WINDOW]) for i in at for w, a, b in [spans[i]]]
+    for w in found:  # masked words are no single words of the text
+        if not w.isalnum():
+            for m in re.finditer(re.escape(w), text):
+                before = _WORD.findall(text[max(0, m.start() - 80) : m.start()])[-WINDOW:]
+                after = _WORD.findall(text[m.end() : m.end() + 80])[:WINDOW]
+                places.append((w, *m.span(), [(x, 0, 0) for x in before], [(x, 0, 0) for x in after]))
+    for w, a, b, before, after in places:
+        line = text[max(0, a - 80) : a].rpartition("\n")[2]
+        inside = sum(line.count(q) for q in _QUOTES) % 2 == 1 and any(q in text[b : b + 80].partition("\n")[0] for q in _QUOTES)
+        near = {x for x, _, _ in before} | {x for x, _, _ in after}
+        out[w][2 if inside or near & REPORTING else 1 if near & ADDRESS else 0] += 1
+    return out
 
 
 _HITS = "array<struct<surface:string,term:string,edits:int,plain:int,address:int,quoted:int>>"
@@ -189,8 +198,9 @@ def toxic_hits(df: DataFrame, terms: list[str], keep: list[str], model: Toxicity
                         if m := lexicon.match(w.translate(_SWAP)):
                             found[w] = (max(1, m[0]), m[1])
                 rows = []
+                seen = _contexts(low, found) if found else {}
                 for w, (e, term) in sorted(found.items()):
-                    plain, address, quoted = _context(low, w)
+                    plain, address, quoted = seen[w]
                     if not plain + address + quoted:
                         plain = 1
                     rows.append({"surface": w, "term": term, "edits": e, "plain": plain, "address": address, "quoted": quoted})
@@ -207,24 +217,46 @@ def toxic_hits(df: DataFrame, terms: list[str], keep: list[str], model: Toxicity
     return df.select(*keep, F.col("_text")).mapInArrow(run, schema)
 
 
+def _word_documents(rows: DataFrame, wanted: frozenset[bytes] | None = None) -> DataFrame:
+    """(w, n): in how many texts each word is, of all words or the wanted ones. Batches are summed before the shuffle."""
+    bound_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter[bytes] = Counter()
+            for text in b.column(0).to_pylist():
+                distinct = set()
+                for words in word_lists((text or "").lower()):
+                    distinct.update(words)
+                counts.update(distinct if wanted is None else distinct & wanted)
+            words = [w.decode("utf-8", "replace") for w in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+
+    return rows.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def learn_lexicon(labelled: DataFrame) -> list[str]:
     """Terms from rows (text, toxic 0 or 1): words are counted once a document, in all rows; at most MAX_TERMS."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), F.lit(1)))
-    rows = labelled.select(F.col("toxic").cast("int").alias("y"), words.alias("w"))
     total = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("t")).first()
     toxic, clean = total["t"], total["n"] - total["t"]
     if not toxic:
         return []
-    in_toxic = rows.where("y = 1").select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_DOCS)
-    in_clean = rows.where("y = 0").select(F.explode("w").alias("w")).join(in_toxic.select("w"), "w", "left_semi")
-    in_clean = in_clean.groupBy("w").agg(F.count("*").alias("b"))
-    both = in_toxic.join(in_clean, "w", "left").withColumn("b", F.coalesce("b", F.lit(0)))
-    ratio = (F.col("a") + 0.5) / (toxic + 1.0) / ((F.col("b") + 0.5) / (clean + 1.0))
-    seen = F.col("a") + F.col("b")
-    part = lambda n, share: F.when(n > 0, n * F.log(n / (seen * F.lit(share)))).otherwise(0.0)
-    evidence = 2 * (part(F.col("a"), toxic / (toxic + clean)) + part(F.col("b"), max(clean, 0.5) / (toxic + clean)))
-    chosen = both.where((evidence >= EVIDENCE) & (ratio >= RATIO) & (F.length("w") >= 3) & ~F.col("w").rlike("^[0-9]+$"))
-    return sorted(r["w"] for r in chosen.orderBy(F.desc("a"), "w").limit(MAX_TERMS).collect())
+    in_toxic = _word_documents(labelled.where("toxic = 1")).where(F.col("n") >= MIN_DOCS)
+    in_toxic = in_toxic.where((F.length("w") >= 3) & ~F.col("w").rlike("^[0-9]+$"))
+    candidates = in_toxic.orderBy(F.desc("n"), "w").limit(MAX_CANDIDATES).collect()
+    wanted = frozenset(r["w"].encode() for r in candidates)
+    in_clean = _word_documents(labelled.where("toxic = 0"), wanted)
+    low = in_clean.where(F.col("n") > 0).collect()  # no more rows than candidates
+    other = {r["w"]: r["n"] for r in low}
+    chosen = []
+    for w, a in candidates:
+        b = other.get(w, 0)
+        part = lambda n, share: n * np.log(n / ((a + b) * share)) if n else 0.0  # noqa: B023, E731
+        evidence = 2 * (part(a, toxic / (toxic + clean)) + part(b, max(clean, 0.5) / (toxic + clean)))
+        ratio = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1))
+        if ratio >= RATIO and evidence >= EVIDENCE:
+            chosen.append(w)
+    return sorted(chosen[:MAX_TERMS])
 
 
 def features(hits: list[dict], n_words: int, benign: frozenset[str]) -> tuple[float, ...]:
