@@ -56,25 +56,29 @@ class WordBpe:
         self.codes: dict[str, bytes] = {}  # of the lower-cased parts of chunks
 
     def _add(self, chunks: set[str]) -> None:
+        whole: dict[str, str] = {}  # most chunks are one word, or one with a mark at its end
         split: dict[str, list[str]] = {}
         other: list[str] = []
         for c in chunks:
-            if _LATIN.fullmatch(c) and "<|" not in c:
+            plain = c.isascii() or _LATIN.fullmatch(c) is not None
+            if plain and c.isalpha():
+                whole[c] = c.lower()
+            elif plain and "<|" not in c and _LATIN.fullmatch(c):
                 split[c] = _SPLIT.findall(c.lower())
             else:
                 other.append(c)
         if len(self.codes) > KEPT_CHUNKS:
             self.codes = {}
         codes = self.codes
-        parts = [p for p in set().union(*split.values()) if p not in codes] if split else []
+        parts = [p for p in set(whole.values()).union(*split.values()) if p not in codes]
         letters = self.letters
         shown = [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
         for i in range(0, len(parts), 4096):
             found = self.bare.encode_batch_fast(shown[i : i + 4096], add_special_tokens=False)
             codes.update(zip(parts[i : i + 4096], [array("I", e.ids).tobytes() for e in found]))
         get, kept = codes.__getitem__, self.kept
-        for c, found in split.items():
-            kept[c] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        kept.update((c, get(p)) for c, p in whole.items())
+        kept.update((c, b"".join(map(get, p))) for c, p in split.items())
         for i in range(0, len(other), 1024):
             found = self.full.encode_batch_fast(other[i : i + 1024], add_special_tokens=False)
             kept.update(zip(other[i : i + 1024], [array("I", e.ids).tobytes() for e in found]))
