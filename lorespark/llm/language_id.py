@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 #: Rows of each language that the fit uses, at most (those with the least hashes of ids), and lines taken from each.
-SAMPLE_PER_LANGUAGE = 300
-SAMPLE_LINES = 3
+SAMPLE_PER_LANGUAGE = 200
+SAMPLE_LINES = 2
 #: Bins of 1-, 2- and 3-grams.
 BINS = (256, 2048, 4096)
 DIM = sum(BINS)
@@ -142,18 +142,25 @@ def fit_language_id(
                     continue
                 lines = [x for x in text.split("\n") if has_letter(x)]
                 picked = [lines[(h + 7919 * i) % len(lines)] for i in range(min(SAMPLE_LINES, len(lines) - 1))]
-                x = [ngram_features(t).tobytes() for t in (text, *picked)]
+                x = [ngram_features(t).astype(np.float16).tobytes() for t in (text, *picked)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h]), pa.array([x], pa.list_(pa.binary()))], ["lang", "h", "x"])
 
-    found = sorted(chosen.select("lang", "t", "h").mapInArrow(run, "lang string, h long, x array<binary>").collect())
-    taken: dict[str, int] = {}
-    x, y = [], []
-    for r in found:
-        if taken.get(r["lang"], 0) < per_language:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            x += [np.frombuffer(v, np.float32) for v in r["x"]]
-            y += [r["lang"]] * len(r["x"])
-    return OutputCodes.fit(np.array(x, np.float32).reshape(len(x), DIM), y, languages)
+    found = chosen.select("lang", "t", "h").mapInArrow(run, "lang string, h long, x array<binary>").toLocalIterator()
+    held: dict[str, list[tuple[int, list[bytes]]]] = {}
+    for r in found:  # half precision until the matrix is filled
+        held.setdefault(r["lang"], []).append((r["h"], [bytes(v) for v in r["x"]]))
+    for lang, rows_of in held.items():
+        rows_of.sort(key=lambda p: p[0])
+        held[lang] = rows_of[:per_language]
+    y = [lang for lang in languages for _, x in held.get(lang, []) for _ in x]
+    matrix = np.empty((len(y), DIM), np.float32)
+    at = 0
+    for lang in languages:
+        for _, x in held.pop(lang, []):
+            for v in x:
+                matrix[at] = np.frombuffer(v, np.float16)
+                at += 1
+    return OutputCodes.fit(matrix, y, languages)
 
 
 def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
