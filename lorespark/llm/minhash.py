@@ -31,7 +31,7 @@ LEAST = 3
 SMALL_BUCKET = 12
 BLOCK = 512
 #: Words that a Python worker keeps the hashes of.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
