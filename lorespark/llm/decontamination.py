@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, materialize
+from .common import bound_batches, by_bytes, lean, materialize
 from .words import word_lists, words_column
 
 #: Characters of text in a block of the index; a longer document is alone in its block.
@@ -142,7 +142,7 @@ def positional_index(df: DataFrame, allowed: bytes | None = None, id_col: str =
                     )
                 block += 1
 
-    return rows.mapInArrow(run, _INDEX.format(kind=kind))
+    return rows.mapInArrow(lean(run), _INDEX.format(kind=kind))
 
 
 def test_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:

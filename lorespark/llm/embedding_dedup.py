@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, lean, materialize
 from .components import components
 
 TABLES = 40
@@ -65,7 +65,7 @@ def _signed(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["id", "v", "label", "digest"])
 
     f = {x.name: x.dataType.simpleString() for x in rows.schema}
-    return rows.mapInArrow(run, f"id {f['id']}, v {f['v']}, label string, digest binary")
+    return rows.mapInArrow(lean(run), f"id {f['id']}, v {f['v']}, label string, digest binary")
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _block_links(rows: DataFrame, cosine: float) -> DataFrame:
         if kept is not None and len(kept):
             yield _links_batch(solve(kept, True)[0], id_type)
 
-    return rows.mapInArrow(run, f"id {kind}, links long, root {kind}")
+    return rows.mapInArrow(lean(run), f"id {kind}, links long, root {kind}")
 
 
 def _links_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:

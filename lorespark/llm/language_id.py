@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 #: Rows of each language that the fit uses, at most (those with the least hashes of ids), and lines taken from each.
 SAMPLE_PER_LANGUAGE = 200
@@ -145,7 +145,7 @@ def fit_language_id(
                 x = [ngram_features(t).astype(np.float16).tobytes() for t in (text, *picked)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h]), pa.array([x], pa.list_(pa.binary()))], ["lang", "h", "x"])
 
-    found = chosen.select("lang", "t", "h").mapInArrow(run, "lang string, h long, x array<binary>").toLocalIterator()
+    found = chosen.select("lang", "t", "h").mapInArrow(lean(run), "lang string, h long, x array<binary>").toLocalIterator()
     held: dict[str, list[tuple[int, list[bytes]]]] = {}
     for r in found:  # half precision until the matrix is filled
         held.setdefault(r["lang"], []).append((r["h"], [bytes(v) for v in r["x"]]))
@@ -190,7 +190,7 @@ def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, *new])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema])
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return kept.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def is_held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, small
+from .common import bound_batches, lean, materialize, small
 from .components import components
 from .words import word_lists
 
@@ -161,7 +161,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, digest binary, n long, keys array<long>")
+    return rows.mapInArrow(lean(run), f"id {kind}, digest binary, n long, keys array<long>")
 
 
 def _grams_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _grams_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], ["id", "grams"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, grams binary")
+    return rows.mapInArrow(lean(run), f"id {kind}, grams binary")
 
 
 def _verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -193,7 +193,7 @@ def _verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def _rest_of_large(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, and context tokens on either side of a stretch.
@@ -353,7 +353,7 @@ def find_pii(df: DataFrame, field: SemiMarkovField | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans {_SPAN}")
+    out = rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, spans {_SPAN}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -381,4 +381,4 @@ def redact(df: DataFrame, field: SemiMarkovField | None = None, text_col: str =
             texts = [None if t is None else redacted(t, model) for t in b.column(i).to_pylist()]
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes
+from .common import bound_batches, by_bytes, lean
 from .token_counts import CALL_BYTES, tokenizer_file
 from .word_bpe import pieces, word_bpe
 
@@ -61,7 +61,7 @@ def encode_rows(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, shard int, pos long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, shard int, pos long, n_tokens long, ids array<int>")
 
 
 def write_token_files(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, lean, materialize
 from .words import word_lists
 
 #: A term is in at least MIN_DOCS toxic training documents, RATIO times likelier there than in the others, and with a
@@ -214,7 +214,7 @@ def toxic_hits(df: DataFrame, terms: list[str], keep: list[str], model: Toxicity
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "hits", *["score"] * bool(weights)])
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep]) + f", n_words long, hits {_HITS}" + ", score double" * bool(weights)
-    return df.select(*keep, F.col("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col("_text")).mapInArrow(lean(run), schema)
 
 
 def _word_documents(rows: DataFrame, wanted: frozenset[bytes] | None = None) -> DataFrame:
@@ -232,7 +232,7 @@ def _word_documents(rows: DataFrame, wanted: frozenset[bytes] | None = None) ->
             words = [w.decode("utf-8", "replace") for w in counts]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
 
-    return rows.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(labelled: DataFrame) -> list[str]:
