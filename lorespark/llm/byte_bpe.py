@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, lean
+from .common import SMALL_BATCH_BYTES, bound_batches, by_bytes, lean
 from .token_counts import tokenizer_file
 from .word_bpe import byte_letters
 
@@ -213,7 +213,7 @@ def bpe_encode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str
     gives no rows. Memory is bounded by one Arrow batch, one trie and the kept entries; a longer text is alone in its
     trie.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(tokenizer)
@@ -231,7 +231,7 @@ def bpe_encode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str
 
 def bpe_decode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of every row of ids. Null or empty ids give an empty text; broken UTF-8 becomes U+FFFD."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(tokenizer)
@@ -251,7 +251,7 @@ def bpe_round_trip(
 
     Null and empty texts: 0 tokens and the digests of nothing.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(tokenizer)

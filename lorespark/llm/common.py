@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
+#: The same where a worker also keeps words or models from earlier batches.
+SMALL_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes, unless the session bounds them lower already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).rstrip("bB")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(key, str(limit))
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, materialize, small
+from .common import SMALL_BATCH_BYTES, bound_batches, lean, materialize, small
 from .components import components
 from .words import word_lists
 
@@ -143,7 +143,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest (of the words), n (shingles) and keys of every row; digest and keys are null without words."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

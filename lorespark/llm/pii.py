@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean
+from .common import SMALL_BATCH_BYTES, bound_batches, lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, and context tokens on either side of a stretch.
@@ -338,7 +338,7 @@ def find_pii(df: DataFrame, field: SemiMarkovField | None = None, id_col: str =
     Null and empty texts have no spans; ids may be null or repeated (a row in, a row out); other columns are not read;
     an empty table gives no rows and fits a field that adds nothing certain.
     """
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
     field = field or fit_field(df, text_col)
     weights, turns = field.weights, field.turns
 
@@ -370,7 +370,7 @@ def redacted(text: str, field: SemiMarkovField) -> str:
 
 def redact(df: DataFrame, field: SemiMarkovField | None = None, text_col: str = "text") -> DataFrame:
     """df with text_col redacted, all rows and other columns as they are; null stays null."""
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
     field = field or fit_field(df, text_col)
     weights, turns = field.weights, field.turns
 
