@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, by_bytes
-from .word_bpe import pieces, word_bpe
+from .word_bpe import word_bpe
 
-#: Bytes of text that one encoding call gets.
+#: Bytes of text that one sentencepiece call gets.
 CALL_BYTES = 4 << 20
+#: Characters after which a text for sentencepiece is cut at the next line feed.
+PIECE_CHARS = 1 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,28 +28,31 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _count_words(path: str, texts: list[str]) -> list[int]:
-    model = word_bpe(path)
-    total = [0] * len(texts)
-    rows = ((i, p) for i, t in enumerate(texts) for p in pieces(t))
-    for group in by_bytes(rows, lambda r: len(r[1]), CALL_BYTES):
-        for (i, _), ids in zip(group, model.encode([p for _, p in group])):
-            total[i] += len(ids) // 4
-    return total
-
-
 _pieces: dict[str, object] = {}
 
 
-def _count_sentencepiece(path: str, texts: list[str]) -> list[int]:
-    """No boundary is safe in general here (runs of spaces merge), so texts stay whole and only batches are bounded."""
+def _count_sentencepiece(path: str, column: pa.Array) -> np.ndarray:
+    """A line feed is a token of its own, so a long text is cut before some; a later part has one token too many, the
+    space that is put before every text. A text without a line feed stays whole."""
     import sentencepiece
 
     if path not in _pieces:
         _pieces[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    out: list[int] = []
-    for group in by_bytes(((t,) for t in texts), lambda r: len(r[0]), CALL_BYTES):
-        out += [len(x) for x in _pieces[path].encode([t for (t,) in group], num_threads=1)]
+    model = _pieces[path]
+    out = np.zeros(len(column), np.int64)
+
+    def parts() -> Iterator[tuple[int, str, int]]:
+        for i, text in enumerate(column.to_pylist()):
+            at = 0
+            while text and at < len(text):
+                cut = text.find("\n", at + PIECE_CHARS)
+                cut = len(text) if cut < 0 else cut
+                yield i, text[at:cut], int(at > 0)
+                at = cut
+
+    for group in by_bytes(parts(), lambda r: len(r[1].encode("utf-8", "replace")), CALL_BYTES):
+        for (i, _, less), ids in zip(group, model.encode([t for _, t, _ in group], num_threads=1)):
+            out[i] += len(ids) - less
     return out
 
 
@@ -56,16 +62,17 @@ def token_counts(
     """id, n_bytes, n_tokens, over_limit of every row.
 
     A null or empty text has 0 bytes and 0 tokens; ids may be null or repeated (a row in, a row out); other columns are
-    not read. A text without a space is encoded as one piece, however long. An empty table gives no rows. tokenizer is
-    a white-space-dropping word BPE (.json) or a sentencepiece model (.model), by name or path.
+    not read. Batches hold about as many bytes each, and long texts are cut at spaces and line feeds; a stretch without
+    one is encoded as one piece, however long. An empty table gives no rows. tokenizer is a white-space-dropping word BPE
+    (.json) or a sentencepiece model (.model), by name or path.
     """
     bound_batches(df.sparkSession)
-    count = _count_sentencepiece if tokenizer.endswith(".model") else _count_words
+    sentences = tokenizer.endswith(".model")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_file(tokenizer)
         for b in batches:
-            n = count(path, ["" if t is None else t for t in b.column(1).to_pylist()])
+            n = _count_sentencepiece(path, b.column(1)) if sentences else word_bpe(path).encode(b.column(1), whole=False)[1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = df.select(

@@ -11,9 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, lean
-from .token_counts import CALL_BYTES, tokenizer_file
-from .word_bpe import pieces, word_bpe
+from .common import bound_batches, lean
+from .token_counts import tokenizer_file
+from .word_bpe import word_bpe
 
 #: Of the files. Integers are written in ORC's second run-length encoding. A stripe is a unit of parallel reads.
 ORC_OPTIONS = {
@@ -25,39 +25,45 @@ ORC_OPTIONS = {
 }
 
 
+#: Ids in one batch that goes back to the JVM; a longer text is alone in its batch.
+BATCH_IDS = 1 << 20
+
+
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of at most BATCH_IDS ids, at least one row each."""
+    at, upto = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_IDS, "right")))
+        yield at, end
+        at = end
+
+
 def encode_rows(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, shard (its partition), pos (its place there), n_tokens, ids with end_id appended; keeps partitions and order."""
     bound_batches(df.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_bpe(tokenizer_file(tokenizer))
         context = TaskContext.get()
         shard, pos = context.partitionId() if context else 0, 0
         for b in batches:
-            texts = (("" if t is None else t,) for t in b.column(1).to_pylist())
-            start = 0
-            for group in by_bytes(texts, lambda r: len(r[0]), CALL_BYTES):
-                cut = [(i, p) for i, (t,) in enumerate(group) for p in pieces(t)]
-                codes: list[list[bytes]] = [[] for _ in group]
-                for part in by_bytes(cut, lambda r: len(r[1]), CALL_BYTES):
-                    for (i, _), ids in zip(part, model.encode([p for _, p in part])):
-                        codes[i].append(ids)
-                whole = [b"".join([*c, end]) for c in codes]
-                n = np.array([len(c) // 4 for c in whole], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            found, n = model.encode(b.column(1))
+            ends = np.cumsum(n)
+            ids = np.insert(found, ends, end_id).view(np.int32)
+            for at, upto in _groups(n + 1):
+                low, high = (int(ends[at - 1]) + at if at else 0), int(ends[upto - 1]) + upto
+                offsets = np.concatenate([[0], np.cumsum(n[at:upto] + 1)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(start, len(group)),
-                        pa.array(np.full(len(group), shard, np.int32)),
-                        pa.array(np.arange(pos, pos + len(group), dtype=np.int64)),
-                        pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(whole), "<i4"))),
+                        b.column(0).slice(at, upto - at),
+                        pa.array(np.full(upto - at, shard, np.int32)),
+                        pa.array(np.arange(pos + at, pos + upto, dtype=np.int64)),
+                        pa.array(n[at:upto] + 1),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[low:high])),
                     ],
                     ["doc_id", "shard", "pos", "n_tokens", "ids"],
                 )
-                start += len(group)
-                pos += len(group)
+            pos += b.num_rows
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
