@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small.
-BATCH_BYTES = 16 << 20
-#: The same where a worker also keeps words or models from earlier batches.
-SMALL_BATCH_BYTES = 4 << 20
+#: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small: the same for all operators,
+#: since the bound is the session's.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +38,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset (tests) a folder of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset and all runs on this machine (tests) a
+    folder of our own."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="lorespark-")
         sc.setCheckpointDir(known)
     return known
@@ -58,7 +60,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_bytes(rows: Iterable[tuple], size, limit: int) -> Iterator[list[tuple]]:
@@ -79,6 +91,6 @@ def by_bytes(rows: Iterable[tuple], size, limit: int) -> Iterator[list[tuple]]:
 BROADCAST_ROWS = 2_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if a count shows that it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if a count shows that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -16,46 +16,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCH_BYTES, bound_batches, lean, materialize, small
+from .common import bound_batches, forget, lean, materialize, small
 from .components import components
-from .words import word_lists
+from .words import map_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Tables, and labelled k-mers in each sketch: two texts of similarity 0.8 share one with a chance of 0.51, and at least
-#: two of the twenty with all but a chance of 1.3e-5.
-TABLES = 20
-LEAST = 3
-#: Buckets up to this size compare all their texts; larger ones each text with the bucket's hub, then what the hub's
-#: component lacks with all others, in blocks.
-SMALL_BUCKET = 12
-BLOCK = 512
-#: Words that a Python worker keeps the hashes of.
-KEPT_WORDS = 250_000
+#: Tables, and labelled k-mers in each sketch: two texts of similarity 0.8 share a sketch with a chance of 0.33 in each
+#: table, and none of the thirty with a chance of 6.6e-6.
+TABLES = 30
+LEAST = 5
+#: Texts of fewer shingles have sketches of SHORT_LEAST k-mers, since five of them would nearly be the whole text; texts
+#: up to a quarter longer have both kinds, so that two texts of similarity 0.8 always have one in common.
+SHORT = 20
+SHORT_LEAST = 3
+#: Shingles of the texts in one part of a bucket that is compared block by block; a longer text is a part of its own.
+BLOCK_SHINGLES = 200_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MUL
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    if len(_hashes) > KEPT_WORDS:
-        _hashes.clear()
-    parts = [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in word_lists(text)]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    found, first = map_words(texts, _hashes, np.uint64)
+    return [found[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -83,22 +77,72 @@ def _labelled(grams: np.ndarray) -> np.ndarray:
     return np.where(label == 0, grams, _mix(grams + label * _MUL))
 
 
-def sketches(grams: np.ndarray) -> np.ndarray:
-    """One key for each table."""
-    x, n = _labelled(grams), len(grams)
+def _family(x: np.ndarray, grams: np.ndarray, least: int) -> np.ndarray:
+    n = len(x)
     keys = np.zeros(TABLES, np.uint64)
     step = max(1, min(TABLES, (1 << 20) // n))  # tables at once, so that a long text needs no large matrix
     for t in range(0, TABLES, step):
-        h = _mix(x[None, :] * _SEEDS[t : t + step, None])
-        low = np.argpartition(h, LEAST - 1, axis=1)[:, :LEAST] if n > LEAST else np.tile(np.arange(n), (len(h), 1))
+        seeds = _SEEDS[t : t + step, None]
+        h = _mix(x[None, :] * seeds)
+        low = np.argpartition(h, least - 1, axis=1)[:, :least] if n > least else np.tile(np.arange(n), (len(h), 1))
         low.sort(axis=1)  # text order
-        key = np.zeros(len(h), np.uint64)
+        key = seeds[:, 0] + np.uint64(least)
         for j in range(low.shape[1]):
             key = key * _MUL + grams[low[:, j]]
         keys[t : t + step] = _mix(key)
     return keys
 
 
+def sketches(grams: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of one or both kinds of sketches, one for each table; keys of different tables and kinds differ."""
+    x, found = _labelled(grams), []
+    if len(grams) < SHORT / similarity:
+        found.append(_family(x, grams, SHORT_LEAST))
+    if len(grams) >= SHORT:
+        found.append(_family(x, grams, LEAST))
+    return np.concatenate(found)
+
+
+#: Rows of an alignment between two moves of the band.
+_ROWS = 64
+
+
+def matched_in_order(a: np.ndarray, b: np.ndarray, band: int, need: int = 0) -> int:
+    """Longest common subsequence of a and b whose matches lie at most band places off the diagonal, by bit-parallel rows
+    over the band alone: memory grows with the band, not with the square. Less than need may be told as 0."""
+    order = np.argsort(a, kind="stable")
+    low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+    width = 2 * band + _ROWS
+    full = (1 << width) - 1
+    v, done = full, 0  # bits stand for places of a from j0 - band on; zero bits are steps of the subsequence
+    for j0 in range(0, len(b), _ROWS):
+        base = j0 - band
+        for j in range(j0, min(j0 + _ROWS, len(b))):
+            first, last = max(j - band, 0), min(j + band, len(a) - 1)
+            places = order[low[j] : high[j]]
+            if len(places) > 8:
+                places = places[np.searchsorted(places, first) : np.searchsorted(places, last, "right")]
+            if len(places) > 64:
+                bits = np.zeros(width, np.uint8)
+                bits[places - base] = 1
+                m = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            else:
+                m = 0
+                for p in places.tolist():
+                    if first <= p <= last:
+                        m |= 1 << (p - base)
+            if m:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        out = v & ((1 << _ROWS) - 1)
+        steps = width - v.bit_count()
+        if done + steps + max(0, len(b) - j0 - _ROWS) < need:
+            return 0
+        done += _ROWS - out.bit_count()
+        v = (v >> _ROWS) | ((1 << _ROWS) - 1) << (width - _ROWS)
+    return done + width - v.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Do matches in order, within the band that the similarity allows, make up that part of all shingles?"""
     na, nb = len(a), len(b)
@@ -106,11 +150,6 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
         return False
     need = similarity * (na + nb) / (1 + similarity)  # matches m with m / (na + nb - m) >= similarity
     need = int(np.ceil(need - 1e-9))
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if int(np.minimum(ca[ia], cb[ib]).sum()) < need:
-        return False
     low = min(na, nb)
     differ = np.flatnonzero(a[:low] != b[:low])
     head = int(differ[0]) if len(differ) else low
@@ -120,40 +159,30 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     need -= head + tail
     if need <= 0:
         return True
-    left, right = a[head : na - tail].tolist(), b[head : nb - tail].tolist()
-    if len(left) < len(right):
-        left, right = right, left
+    left, right = a[head : na - tail], b[head : nb - tail]
     band = len(left) + len(right) - 2 * need  # unmatched shingles that the similarity leaves
     if band < 0:
         return False
-    at: dict[int, int] = {}
-    for i, x in enumerate(left):
-        at[x] = at.get(x, 0) | 1 << i
-    window = (1 << (2 * band + 1)) - 1
-    full = (1 << len(left)) - 1
-    v = full
-    for j, y in enumerate(right):  # bit-parallel longest common subsequence; zero bits are its steps
-        m = at.get(y, 0)
-        if m:
-            m &= window << (j - band) if j >= band else window >> (band - j)
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(left) - v.bit_count() >= need
-
-
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ua, ca = np.unique(left, return_counts=True)
+    ub, cb = np.unique(right, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    if int(np.minimum(ca[ia], cb[ib]).sum()) < need:
+        return False
+    return matched_in_order(left, right, band, need) >= need
+
+
+def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, digest (of the words), n (shingles) and keys of every row; digest and keys are null without words."""
-    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, counts, keys = [], [], []
-            for text in b.column(1).to_pylist():
-                words = word_hashes(text)
+            for words in word_hashes(b.column(1)):
                 grams = shingles(words)
                 counts.append(len(grams))
                 digests.append(xxhash.xxh128_digest(words.tobytes()) if len(words) else None)
-                keys.append(sketches(grams).view(np.int64) if len(words) else None)
+                keys.append(sketches(grams, similarity).view(np.int64) if len(words) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "digest", "n", "keys"],
@@ -165,17 +194,19 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _grams_of(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and its shingles (32-bit hashes) for some ids; of rows with the same id, the first in text order."""
+    """id, digest and shingles (32-bit hashes) of the rows that have one of some ids."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     rows = rows.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [shingles(word_hashes(t)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], ["id", "grams"])
+            words = word_hashes(b.column(1))
+            grams = [shingles(w).astype("<u4").tobytes() for w in words]
+            digests = [xxhash.xxh128_digest(w.tobytes()) if len(w) else None for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(grams, pa.binary())], ["id", "digest", "grams"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"id {kind}, grams binary")
+    return rows.mapInArrow(lean(run), f"id {kind}, digest binary, grams binary")
 
 
 def _verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -196,54 +227,73 @@ def _verify(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
-def _rest_of_large(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Links in large buckets between what the hub's component lacks and all other members, block by block.
-
-    members: (t, key, id, size, n_rest, rest, large_keys): rest marks the n_rest members that lack; large_keys are the
-    keys, by table, of the large buckets that the text is in: a pair is compared in the first bucket that it shares.
+def _compare(rows: list[dict], similarity: float) -> Iterator[tuple]:
+    """Links of one block between its open texts (q) and all others outside their component that share no earlier bucket."""
+    asked, there = [r for r in rows if r["q"]], [r for r in rows if not r["q"]]
+    held = [np.frombuffer(r["grams"], "<u4") for r in there]
+    if not asked or not held:
+        return
+    sizes = np.array([len(g) for g in held])
+    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for q in asked:
+        grams = np.frombuffer(q["grams"], "<u4")
+        g, count = np.unique(grams, return_counts=True)
+        low, high = np.searchsorted(flat, g, "left"), np.searchsorted(flat, g, "right")
+        common = np.zeros(len(held), np.int64)  # at least what both have in common, so no link is missed
+        step = max(1, len(flat) // max(1, int((high - low).max())))
+        for at in range(0, len(g), step):
+            lo, n = low[at : at + step], (high - low)[at : at + step]
+            places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            common += np.bincount(owner[places], minlength=len(held))
+        need = similarity * (len(grams) + sizes) / (1 + similarity)
+        for k in np.flatnonzero(common >= np.floor(need)).tolist():
+            o = there[k]
+            if o["root"] == q["root"] or o["id"] == q["id"]:
+                continue
+            if q["key"] != min(set(q["open_keys"]).intersection(o["open_keys"])):
+                continue
+            if aligned(grams, held[k], similarity):
+                yield q["id"], o["id"]
+
+
+def _open_links(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links between what lacks in the component of its bucket's hub and the bucket's other texts, block by block.
+
+    members: (key, id, n, root, open, weight, open_weight, open_keys): open marks the texts that lack; the weights are
+    the shingles of all and of the open texts of the bucket; open_keys the buckets with open texts that the text is in.
     """
     kind = members.schema["id"].dataType.simpleString()
-    part = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("id"), part(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
-    base = ["t", "key", "id", "large_keys"]
-    asked = members.where("rest").select(*base, place("n_rest").alias("i"), each("size").alias("j"), F.lit(True).alias("q"))
-    there = members.select(*base, each("n_rest").alias("i"), place("size").alias("j"), F.lit(False).alias("q"))
-    rows = asked.unionByName(there).join(grams, "id")
-
-    def compare(key: tuple, block: pa.Table) -> pa.Table:
-        t = key[0].as_py()
-        rows = block.select(["id", "large_keys", "q", "grams"]).to_pylist()
-        asked, there = [r for r in rows if r["q"]], [r for r in rows if not r["q"]]
-        a, b = [], []
-        decode = lambda r: np.frombuffer(r["grams"], "<u4")
-        held = [decode(r) for r in there]
-        sizes = np.array([len(g) for g in held])
-        flat = np.concatenate(held) if held else np.empty(0, np.uint32)
-        owner = np.repeat(np.arange(len(held)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for q in asked:
-            g = np.unique(decode(q))
-            low, high = np.searchsorted(flat, g, "left"), np.searchsorted(flat, g, "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            common = np.bincount(owner[at], minlength=len(held))  # at least what both have, so no link is missed
-            size = len(decode(q))
-            need = similarity * (size + sizes) / (1 + similarity)
-            for k in np.flatnonzero(common >= np.floor(need)).tolist():
-                o = there[k]
-                if o["id"] == q["id"] or any(
-                    x is not None and x == y for x, y in zip(q["large_keys"][:t], o["large_keys"][:t])
-                ):
-                    continue
-                if aligned(decode(q), held[k], similarity):
-                    a.append(q["id"])
-                    b.append(o["id"])
-        id_type = block.schema.field("id").type
-        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
-
-    return rows.groupBy("t", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    parts = lambda w: F.ceil(F.col(w) / F.lit(BLOCK_SHINGLES)).cast("int")
+    place = lambda w: F.pmod(F.xxhash64("id"), parts(w)).cast("int")
+    each = lambda w: F.explode(F.sequence(F.lit(0), parts(w) - 1))
+    base = ["key", "id", "root", "open_keys"]
+    asked = members.where("open").select(*base, place("open_weight").alias("i"), each("weight").alias("j"), F.lit(True).alias("q"))
+    there = members.select(*base, each("open_weight").alias("i"), place("weight").alias("j"), F.lit(False).alias("q"))
+    block = ["key", "i", "j"]
+    rows = asked.unionByName(there).join(grams, "id").select(*block, "id", "root", "open_keys", "q", "grams")
+    rows = rows.repartition(*block).sortWithinPartitions(*block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        id_type = None
+        for b in batches:
+            id_type, found = b.schema.field("id").type, []
+            for r in b.to_pylist():
+                if held and any(r[c] != held[0][c] for c in block):
+                    found += _compare(held, similarity)
+                    held = []
+                held.append(r)
+            yield _pairs(found, id_type)
+        if held:
+            yield _pairs(list(_compare(held, similarity)), id_type)
+
+    return rows.mapInArrow(lean(run), f"a {kind}, b {kind}")
+
+
+def _pairs(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(
@@ -251,60 +301,66 @@ def near_duplicates(
 ) -> DataFrame:
     """id, class_id (the least id of its class) and kept (id is class_id) of every row.
 
-    Classes are the components of links; texts of the same words are linked, others by alignment. Texts without words
-    (also null) are classes of their own. An id stands for one document: rows that repeat an id share its class; a row
-    with a null id has a null class and is kept. Other columns are not read; an empty table gives no rows.
+    Classes are the components of links; texts of the same words are linked, others by alignment. Every text of a bucket
+    is compared with the bucket's hub (its least id), then those that are not in the hub's component with all others of
+    the bucket outside their own, in blocks: so all texts that share a sketch are compared or in one class already,
+    whatever the bucket's size. Texts without words (also null) are classes of their own. An id stands for one document:
+    of different texts under one id that with the least digest is compared, and all rows of the id share the least class;
+    a row with a null id has a null class and is kept. Other columns are not read; an empty table gives no rows.
     """
-    signed = materialize(signatures(df, id_col, text_col), "signatures")
-    reps = materialize(
+    signed = materialize(signatures(df, id_col, text_col, similarity), "signatures")
+    reps = (
         signed.where("digest is not null and id is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys")),
-        "representatives",
+        .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     )
-    entries = reps.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("t", "key"))
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = entries.join(sizes, ["t", "key"])
-    fame = buckets.groupBy("id").agg(F.sum(F.log("size")).alias("fame"))
-    buckets = materialize(buckets.join(fame, "id"), "buckets")
-
-    little, large = buckets.where(F.col("size") <= SMALL_BUCKET), buckets.where(F.col("size") > SMALL_BUCKET)
-    near_size = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
-    other = little.select("t", "key", F.col("id").alias("b"), F.col("n").alias("m"))
-    close = little.join(other, ["t", "key"]).where((F.col("id") < F.col("b")) & near_size).select(F.col("id").alias("a"), "b")
-    close = close.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
-    hubs = large.groupBy("t", "key").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("m")), F.struct("fame", -F.col("id"))).alias("h"))
-    stars = (
-        large.join(hubs.select("t", "key", "h.*"), ["t", "key"])
-        .where((F.col("id") != F.col("hub")) & near_size)
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    repeats = bool(signed.groupBy("id").agg(F.count("*").alias("k")).where("k > 1 and id is not null").limit(1).count())
+    if repeats:
+        one = reps.groupBy("rep").agg(F.min(F.struct("digest", "n", "keys")).alias("r"))
+        reps = one.select("r.digest", "rep", "r.n", "r.keys")
+    reps = materialize(reps, "representatives")
+    entries = reps.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
+    hubs = (
+        entries.groupBy("key")
+        .agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min(F.struct(F.col("id").alias("hub"), F.col("n").alias("m"))).alias("h"))
+        .where("size > 1")
+        .select("key", "size", "weight", "h.*")
     )
-    pairs = materialize(close.union(stars).distinct(), "pairs")
-    touched = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
-    grams = materialize(_grams_of(df, touched, id_col, text_col).dropDuplicates(["id"]), "grams")
+    buckets = materialize(entries.join(hubs, "key"), "buckets")
+    near_size = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
+    stars = buckets.where((F.col("id") != F.col("hub")) & near_size)
+    pairs = materialize(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    # a bucket of two has no other pair than its star
+    wide = buckets.where("size > 2").select("id").union(pairs.select(F.explode(F.array("a", "b"))))
+    touched = materialize(wide.distinct(), "touched")
+    grams = _grams_of(df, touched, id_col, text_col)
+    if repeats:
+        known = reps.select(F.col("rep").alias("id"), "digest")
+        grams = grams.join(known, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    grams = materialize(grams.select("id", "grams"), "grams")
     links = materialize(_verify(pairs, grams, similarity), "links")
 
-    first = materialize(components(links), "components")
+    first = components(links)
     root_of = first.select(F.col("node").alias("id"), "root")
-    hub_of = hubs.select("t", "key", F.col("h.hub").alias("id")).join(root_of, "id", "left")
-    hub_of = hub_of.select("t", "key", F.coalesce("root", "id").alias("main"))
-    placed = large.select("t", "key", "id", "size").join(root_of, "id", "left").join(hub_of, ["t", "key"])
-    placed = placed.withColumn("rest", F.coalesce("root", "id") != F.col("main")).drop("root", "main")
-    placed = materialize(placed, "large-buckets")
-    open_ = placed.where("rest").groupBy("t", "key").agg(F.count("*").alias("n_rest"))
-    by_table = large.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("by_table"))
-    large_keys = by_table.select(
-        "id", F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.col("by_table")[t]).alias("large_keys")
-    )
-    members = placed.join(open_, ["t", "key"]).join(large_keys, "id").select("t", "key", "id", "size", "n_rest", "rest", "large_keys")
-    more = materialize(_rest_of_large(members, grams, similarity), "more-links")
-    found = components(links.union(more)) if more.limit(1).count() else first
+    placed = buckets.where("size > 2").join(root_of, "id", "left").join(root_of.toDF("hub", "main"), "hub", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "id")).withColumn("main", F.coalesce("main", "hub"))
+    placed = placed.select("key", "id", "n", "root", "weight", (F.col("root") != F.col("main")).alias("open"))
+    placed = materialize(placed, "placed")
+    open_ = placed.where("open").groupBy("key").agg(F.sum("n").alias("open_weight"))
+    members = materialize(placed.join(open_, "key"), "open-buckets")
+    found = first
+    if members.limit(1).count():
+        held = members.groupBy("id").agg(F.collect_list("key").alias("open_keys"))  # at most two for each table
+        more = materialize(_open_links(members.join(held, "id"), grams, similarity), "more-links")
+        if more.limit(1).count():
+            found = components(first.toDF("a", "b").union(more))
+    forget(pairs, links, buckets, placed, touched, grams)
 
     classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("root", "rep").alias("class_id"))
     out = signed.select("id", "digest").join(classes, "digest", "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "id"))
-    if signed.groupBy("id").agg(F.count("*").alias("k")).where("k > 1 and id is not null").limit(1).count():
+    if repeats:
         least = out.groupBy("id").agg(F.min("class_id").alias("class_id"))
         out = out.drop("class_id").join(least, "id", "left")
     kept = F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TABLE = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint8)
+_BYTES = _TABLE.tobytes()
 #: Bytes of text that are split at once.
 SEGMENT = 4 << 20
 
@@ -60,6 +61,12 @@ def distinct(flat: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> tuple[np
 
 def map_words(column: pa.Array, values: Callable[[pa.Array], np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray]:
     """values(distinct words) for every word in order, and the number of each text's first word (the last: of all words)."""
+    found, _, first = placed_words(column, values, kind)
+    return found, first
+
+
+def placed_words(column: pa.Array, values: Callable[[pa.Array], np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the byte of its text at which each word begins."""
     data, places = joined(column)
     out, at = [], []
     for a, b in segments(data, 0, len(data), b" \n"):
@@ -71,8 +78,15 @@ def map_words(column: pa.Array, values: Callable[[pa.Array], np.ndarray], kind:
             out.append(values(words)[index])
             at.append(starts + a)
     if not out:
-        return np.empty(0, kind), np.zeros(len(places), np.int64)
-    return np.concatenate(out), np.searchsorted(np.concatenate(at), places)
+        return np.empty(0, kind), np.empty(0, np.int64), np.zeros(len(places), np.int64)
+    begin = np.concatenate(at)
+    first = np.searchsorted(begin, places)
+    return np.concatenate(out), begin - np.repeat(places[:-1], np.diff(first)), first
+
+
+def split_bytes(text: bytes) -> list[bytes]:
+    """The words of one text, in order."""
+    return text.translate(_BYTES).split()
 
 
 def words_column(text: Column) -> Column:
