@@ -1,8 +1,10 @@
 """3: embedding near duplicates. Euclidean p-stable hashing puts normalised vectors into buckets of several tables;
 exact cosines within buckets decide.
 
-A table's key joins PROJECTIONS random projections, each quantised to WIDTH. Vectors of cosine 0.98 are 0.2 apart and
-agree in one projection with a chance of 0.92, in a table with 0.31, in at least one of 40 tables with all but 3e-7.
+A table's key joins the label and PROJECTIONS random projections, each quantised to WIDTH. Vectors of cosine 0.98 are 0.2
+apart and agree in one projection with a chance of 0.92, in a table with 0.22, in at least one of 60 tables with all but
+3e-7. Unrelated vectors agree in one projection with 0.49, in a table with 2e-6. Keys travel alone; vectors go only where
+a bucket has company.
 """
 
 from __future__ import annotations
@@ -18,22 +20,34 @@ from pyspark.sql import functions as F
 from .common import bound_batches, lean, materialize
 from .components import components
 
-TABLES = 40
-PROJECTIONS = 14
+TABLES = 60
+PROJECTIONS = 18
 WIDTH = 2.0
 COSINE = 0.98
 #: Members of a bucket that are compared with each other in one block; larger buckets take a block for each pair of parts.
 BLOCK = 512
 
 
-def _vectors(column: pa.Array) -> Iterator[np.ndarray | None]:
-    """Vectors as doubles; None where a vector is null, empty, zero or has a null or non-finite component."""
-    for v in column.to_pylist():
-        if not v or any(x is None for x in v):
-            yield None
-            continue
-        x = np.array(v, np.float64)
-        yield x + 0.0 if np.isfinite(x).all() and x.any() else None
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: the rows of vectors that are neither null, empty nor zero and have only finite components, and the
+    vectors as doubles."""
+    column = column.cast(pa.large_list(pa.float64()))
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)  # null components become not a number
+    size = np.diff(ends) * np.asarray(column.is_valid())
+    found = {}
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dim)
+        x = flat[ends[rows][:, None] + np.arange(dim)[None, :]]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        found[dim] = rows[good], x[good] + 0.0
+    return found
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _planes(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,10 +72,12 @@ def _signed(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, x, label in zip(b.column(0).to_pylist(), _vectors(b.column(1)), b.column(2).to_pylist()):
-                valid = i is not None and x is not None and label is not None
-                out.append(xxhash.xxh128_digest(label.encode() + b"\0" + x.tobytes()) if valid else None)
+            out: list[bytes | None] = [None] * b.num_rows
+            ids, labels = b.column(0).is_valid().to_pylist(), b.column(2).to_pylist()
+            for at, x in _vectors(b.column(1)).values():
+                for i, v in zip(at.tolist(), x):
+                    if ids[i] and labels[i] is not None:
+                        out[i] = xxhash.xxh128_digest(labels[i].encode() + b"\0" + v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["id", "v", "label", "digest"])
 
     f = {x.name: x.dataType.simpleString() for x in rows.schema}
@@ -69,45 +85,37 @@ def _signed(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Data
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """rep, mult, label, unit (vector of doubles as bytes), dim, keys."""
+    """rep, mult, unit (vector of doubles as bytes), keys (one for each table; labels and dimensions have their own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple] = {}
         for b in batches:
-            units = [x / np.sqrt((x * x).sum()) if np.isfinite((x * x).sum()) and (x * x).sum() > 0 else _scaled(x) for x in _vectors(b.column(3))]
-            keys: list[np.ndarray | None] = [None] * len(units)
-            for dim in {len(x) for x in units}:
-                at = [i for i, x in enumerate(units) if len(x) == dim]
+            units: list[bytes] = [b""] * b.num_rows
+            own = np.fromiter((xxhash.xxh64_intdigest(x) for x in b.column(2).to_pylist()), np.uint64, b.num_rows)
+            keys = np.zeros((b.num_rows, TABLES), np.int64)
+            for dim, (at, x) in _vectors(b.column(3)).items():
                 planes.setdefault(dim, _planes(dim))
-                for i, k in zip(at, bucket_keys(np.stack([units[i] for i in at]), planes[dim])):
-                    keys[i] = k
+                x = _units(x)
+                keys[at] = bucket_keys(x, planes[dim])
+                for i, v in zip(at.tolist(), x):
+                    units[i] = v.tobytes()
+                own[at] += np.uint64(dim)
+            table = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+            keys = (keys.view(np.uint64) ^ (own[:, None] * np.uint64(0x9E3779B97F4A7C15) + table[None, :])) * np.uint64(0xBF58476D1CE4E5B9)
+            keys = (keys ^ (keys >> np.uint64(31))).view(np.int64)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TABLES)
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    b.column(2),
-                    pa.array([x.tobytes() for x in units], pa.binary()),
-                    pa.array([len(x) for x in units], pa.int32()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                ["rep", "mult", "label", "unit", "dim", "keys"],
+                [b.column(0), b.column(1), pa.array(units, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
+                ["rep", "mult", "unit", "keys"],
             )
 
     kind = reps.schema["rep"].dataType.simpleString()
-    return reps.select("rep", "mult", "label", "v").mapInArrow(
-        run, f"rep {kind}, mult long, label string, unit binary, dim int, keys array<long>"
-    )
-
-
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """A unit vector where squares overflow or vanish."""
-    x = x / np.abs(x).max()
-    return x / np.sqrt((x * x).sum())
+    return reps.select("rep", "mult", "label", "v").mapInArrow(lean(run), f"rep {kind}, mult long, unit binary, keys array<long>")
 
 
 def _compare(ids: list, mult: np.ndarray, unit: np.ndarray, keys: np.ndarray, t: int, part: np.ndarray, cross: bool, cosine: float):
-    """Rows (id, links, root) of one block: pairs within one part, or across two. A pair that shares an earlier bucket
-    was counted there."""
+    """Rows (id, links, root) of one block: pairs within one part, or across two. A pair that shares a bucket of an
+    earlier table was counted there."""
     n = len(ids)
     close = unit @ unit.T >= cosine - 1e-9
     close &= np.tri(n, n, -1, dtype=bool)
@@ -134,9 +142,9 @@ def _compare(ids: list, mult: np.ndarray, unit: np.ndarray, keys: np.ndarray, t:
 
 
 def _block_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(id, links, root) from rows (t, key, label, dim, i, j, rep, mult, unit, keys, part), dealt and sorted by block."""
+    """(id, links, root) from rows (t, key, i, j, rep, mult, unit, keys, part), dealt and sorted by block."""
     kind = rows.schema["rep"].dataType.simpleString()
-    block = ["t", "key", "label", "dim", "i", "j"]
+    block = ["t", "key", "i", "j"]
     rows = rows.select(*block, "rep", "mult", "unit", "keys", "part").repartition(*block).sortWithinPartitions(*block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +160,7 @@ def _block_links(rows: DataFrame, cosine: float) -> DataFrame:
             units, keys = table.column("unit").to_pylist(), table.column("keys").to_pylist()
             for a, b in zip(whole[:-1], whole[1:]):
                 if b - a > 1:
-                    t, i, j = names[a][0], names[a][4], names[a][5]
+                    t, _, i, j = names[a]
                     unit = np.stack([np.frombuffer(u, np.float64) for u in units[a:b]])
                     out += _compare(ids[a:b], mult[a:b], unit, np.array(keys[a:b]), t, parts[a:b], i != j, cosine)
             return out, table.slice(whole[-1])
@@ -188,7 +196,7 @@ def embedding_duplicates(
     columns are not read; an empty table gives no rows.
     """
     bound_batches(df.sparkSession)
-    signed = materialize(_signed(df, id_col, vector_col, label_col), "vectors")
+    signed = _signed(df, id_col, vector_col, label_col)
     reps = (
         signed.where("digest is not null")
         .groupBy("digest")
@@ -196,15 +204,15 @@ def embedding_duplicates(
     )
     reps = materialize(reps, "distinct-vectors")
     keyed = materialize(_keyed(reps), "vector-keys")
-    entries = keyed.select("rep", "label", "dim", F.posexplode("keys").alias("t", "key"))
-    sizes = entries.groupBy("t", "key", "label", "dim").agg(F.count("*").alias("size")).where("size > 1")
-    held = entries.join(sizes, ["t", "key", "label", "dim"])
+    entries = keyed.select("rep", F.posexplode("keys").alias("t", "key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    held = entries.join(sizes, "key")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     held = held.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j"))
     )
-    held = held.withColumn("p", F.explode(pairs)).select("t", "key", "label", "dim", "p.i", "p.j", "rep", "part")
+    held = held.withColumn("p", F.explode(pairs)).select("t", "key", "p.i", "p.j", "rep", "part")
     rows = held.join(keyed.select("rep", "mult", "unit", "keys"), "rep")
     links = materialize(_block_links(rows, cosine), "vector-links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
