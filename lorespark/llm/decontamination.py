@@ -15,11 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, lean, materialize
-from .words import word_lists, words_column
+from .common import bound_batches, lean, materialize
+from .words import map_words, words_column
 
-#: Characters of text in a block of the index; a longer document is alone in its block.
-BLOCK_CHARS = 8 << 20
 #: Bits of the filter over the test set's terms: a fixed size, however many terms there are.
 FILTER_BITS = 1 << 24
 _SEED = 42  # of Spark's xxhash64
@@ -56,6 +54,9 @@ class _Terms(dict):
         self[word] = n
         return n
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words.to_pylist()), np.int32, len(words))
+
     def _may(self, word: bytes) -> bool:
         h = xxhash.xxh64_intdigest(word, _SEED)
         a, b = h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)
@@ -77,7 +78,8 @@ def _unpack(width: int, raw: bytes) -> np.ndarray:
 def positional_index(df: DataFrame, allowed: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (block, term, tf, width, postings); each block also has one row without term that lists its documents.
 
-    Positions count words within a block, with one left free after each document. allowed (see term_filter) restricts
+    A block is one Arrow batch (bounded by bytes; a longer document is alone in its block). Positions count words within
+    a block, with one left free after each document. allowed (see term_filter) restricts
     the terms to those of a test set; without it all terms are indexed.
     """
     bound_batches(df.sparkSession)
@@ -88,59 +90,50 @@ def positional_index(df: DataFrame, allowed: bytes | None = None, id_col: str =
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 32
         for b in batches:
-            id_type = b.schema.field(0).type
-            for group in by_bytes(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), lambda r: len(r[1] or ""), BLOCK_CHARS):
-                terms, codes, starts, counts, at = _Terms(allowed), [], [], [], 0
-                number = terms.__getitem__
-                for _, text in group:
-                    starts.append(at)
-                    n = 0
-                    for words in word_lists(text):
-                        codes.append(np.fromiter(map(number, words), np.int32, len(words)))
-                        n += len(words)
-                    codes.append(np.array([-1], np.int32))
-                    counts.append(n)
-                    at += n + 1
-                code = np.concatenate(codes)
-                at_term = np.flatnonzero(code >= 0)
-                code = code[at_term]
-                at_term = at_term[np.argsort(code, kind="stable")]
-                ends = np.cumsum(np.bincount(code, minlength=len(terms.names))).tolist()
-                packed, begin = [], 0
-                for e in ends:
-                    packed.append((e - begin, *_pack(at_term[begin:e])))
-                    begin = e
-                n = len(packed)
-                empty = lambda t: pa.array([None] * n, pa.list_(t))
-                fields = ["block", "term", "tf", "width", "postings", "doc_ids", "starts", "n_words"]
+            terms = _Terms(allowed)
+            code, first = map_words(b.column(1), terms.numbers, np.int32)
+            counts = np.diff(first)
+            starts = first[:-1] + np.arange(b.num_rows)  # one place is left free after each document
+            at_term = np.flatnonzero(code >= 0)
+            code = code[at_term]
+            at_term = at_term + np.searchsorted(first[1:], at_term, "right")
+            at_term = at_term[np.argsort(code, kind="stable")]
+            ends = np.cumsum(np.bincount(code, minlength=len(terms.names))).tolist()
+            packed, begin = [], 0
+            for e in ends:
+                packed.append((e - begin, *_pack(at_term[begin:e])))
+                begin = e
+            n = len(packed)
+            empty = lambda t: pa.array([None] * n, pa.list_(t))
+            fields = ["block", "term", "tf", "width", "postings", "doc_ids", "starts", "n_words"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block], pa.int64()),
+                    pa.array([None], pa.string()),
+                    pa.array([None], pa.int64()),
+                    pa.array([None], pa.int32()),
+                    pa.array([None], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)),
+                    pa.array([starts], pa.list_(pa.int64())),
+                    pa.array([counts], pa.list_(pa.int64())),
+                ],
+                fields,
+            )
+            if n:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([block], pa.int64()),
-                        pa.array([None], pa.string()),
-                        pa.array([None], pa.int64()),
-                        pa.array([None], pa.int32()),
-                        pa.array([None], pa.binary()),
-                        pa.array([[i for i, _ in group]], pa.list_(id_type)),
-                        pa.array([starts], pa.list_(pa.int64())),
-                        pa.array([counts], pa.list_(pa.int64())),
+                        pa.array([block] * n, pa.int64()),
+                        pa.array([w.decode("utf-8", "replace") for w in terms.names], pa.string()),
+                        pa.array([p[0] for p in packed], pa.int64()),
+                        pa.array([p[1] for p in packed], pa.int32()),
+                        pa.array([p[2] for p in packed], pa.binary()),
+                        empty(b.column(0).type),
+                        empty(pa.int64()),
+                        empty(pa.int64()),
                     ],
                     fields,
                 )
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([block] * n, pa.int64()),
-                            pa.array([w.decode("utf-8", "replace") for w in terms.names], pa.string()),
-                            pa.array([p[0] for p in packed], pa.int64()),
-                            pa.array([p[1] for p in packed], pa.int32()),
-                            pa.array([p[2] for p in packed], pa.binary()),
-                            empty(id_type),
-                            empty(pa.int64()),
-                            empty(pa.int64()),
-                        ],
-                        fields,
-                    )
-                block += 1
+            block += 1
 
     return rows.mapInArrow(lean(run), _INDEX.format(kind=kind))
 
@@ -222,6 +215,7 @@ def find_contamination(
         .where(F.size("plan") == F.size("words"))
         .select("plan", "items", F.col("plan")[0]["term"].alias("term"))
     )
+    plans = materialize(plans, "test-plans")  # the join below then stands alone, so that Spark may split a frequent term
     asked = index.where("term is not null").select("block", "term").join(plans, "term").select(F.col("block").alias("at"), "plan", "items")
 
     def evaluate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
