@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, small
+
 #: Longest context in characters, strength of the shorter context's estimate, size of the alphabet.
 ORDER = 3
 STRENGTH = 4.0
 ALPHABET = 256.0
+#: Grams (about 60 bytes each) that may be broadcast; beyond that they are joined by a shuffle.
+BROADCAST_GRAMS = 250_000
 #: Rules that a list may have, since they are tested one by one.
 MAX_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +63,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         F.count(F.when(F.col("verdict") == "allow", 1)).cast("double").alias("a0"),
         F.count(F.when(F.col("verdict") == "block", 1)).cast("double").alias("r0"),
     )
+    table = materialize(table, "gram-counts")
     rows = table.select("gram", F.lit(1 / ALPHABET).alias("pa"), F.lit(1 / ALPHABET).alias("pr"))
     for k in range(ORDER + 1):
         tail = F.substr("gram", F.lit(ORDER + 1 - k))
@@ -82,12 +87,14 @@ def filter_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_c
     columns are not read; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
-    urls = with_host_and_path(rows.groupBy("url").agg(F.count("*").cast("double").alias("n")))
+    urls = with_host_and_path(rows.select("url").distinct())
     urls = urls.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
-    urls = urls.select("url", "n", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
-    table = gram_scores(_grams(urls.select(F.struct("verdict").alias("v"), "url"), "v").select("v.verdict", "gram"))
-    scored = _grams(urls.select("url"), "url").join(table, "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
+    urls = urls.select("url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
+    urls = materialize(urls, "urls")
+    table = materialize(gram_scores(_grams(urls.select("verdict", "url"), "verdict")), "grams")
+    scored = _grams(urls.select("url"), "url").join(small(table, BROADCAST_GRAMS), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
     urls = urls.join(scored, "url", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    urls = materialize(urls, "scored-urls")
     side = lambda v: F.when(F.col("verdict") == v, F.col("score"))
     fit = urls.agg(
         F.avg(side("allow")).alias("ma"), F.avg(side("block")).alias("mr"), F.stddev_pop(side("allow")).alias("sa"), F.stddev_pop(side("block")).alias("sr")
