@@ -1,7 +1,9 @@
 """10: personal data. Exact patterns give the base spans; a semi-Markov conditional random field adds others.
 
-The field scores whole candidate spans (up to MAX_TOKENS tokens) and a dynamic program chooses boundaries and types of a
-stretch of tokens jointly. It is fitted on a bounded sample of stretches, labelled by the base spans in them.
+The field scores whole candidate spans (up to MAX_TOKENS tokens) by weighted features, none of which forbids a span, and a
+dynamic program chooses boundaries and types of a stretch of tokens jointly. It is fitted on a bounded sample of
+stretches, labelled by the base spans in them, each together with rewritten copies: spans disguised as people disguise
+them (still entities) and spans spoilt so that they are none.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCH_BYTES, bound_batches, lean
+from .common import bound_batches, lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, and context tokens on either side of a stretch.
-MAX_TOKENS = 6
+MAX_TOKENS = 7
 CONTEXT = 2
-#: Documents, stretches and passes of the fit.
-SAMPLE_DOCS = 300
-SAMPLE_STRETCHES = 150
-PASSES = 12
+#: Documents with digits or at signs that are looked at for the fit, stretches that it uses, at most, and its passes.
+SAMPLE_DOCS = 2000
+SAMPLE_STRETCHES = 160
+PASSES = 8
+#: Characters of a stretch that the fit still uses.
+STRETCH_CHARS = 400
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,78 +126,113 @@ def stretches(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         at += len(line)
 
 
-N_FEATURES = 24
+_OPEN_DOT = re.compile(r"[(\[{]\s*\.\s*[)\]}]")
+_HEX = re.compile(r"[0-9A-Fa-f:]+")
+#: Shapes that a span's features name, and how often digits of a span come in groups.
+N_FEATURES = 40
 
 
 def features(text: str, a: int, b: int, n_tokens: int) -> list[int]:
-    """Numbers of the features that hold for the whole span text[a:b]."""
+    """Numbers of the features that hold for the whole span text[a:b]: its length, its number of digits, what it is once
+    disguises are undone, how its digits are grouped, its ends and its surroundings."""
     s = text[a:b]
     d = _digits(s)
-    plain = _DOT.sub(".", _AT.sub("@", s))
-    number = _NUMBER.fullmatch(s) is not None
+    plain = _OPEN_DOT.sub(".", _DOT.sub(".", _AT.sub("@", s)))
     email = _EMAIL_SHAPE.fullmatch(plain) is not None
-    quad = _QUAD.fullmatch(s) is not None
+    quad = _QUAD.fullmatch(plain) is not None
+    bytes_ = quad and all(int(p) <= 255 for p in plain.split("."))
+    rest = set(s) - set("0123456789 -./()+")
+    number = bool(d) and not rest and not quad
     n = len(d)
+    letters = any(c.isalpha() for c in s)
+    groups = len(re.findall("[0-9]+", s))
+    before = text[max(0, a - 24) : a].lower()
     on = [0, 1 if n_tokens == 1 else 2 if n_tokens <= 3 else 3]
-    on.append(4 if n == 0 else 5 if n < 7 else 6 if n < 10 else 7 if n < 14 else 8 if n < 20 else 9)
+    on.append(4 if n == 0 else 5 if n < 7 else 6 if n < 10 else 7 if n < 14 else 8 if n < 16 else 9 if n < 20 else 10)
     for i, holds in enumerate(
         (
             email,
+            email and plain == s,
             not email and "@" in plain,
-            quad,
-            quad and all(int(p) <= 255 for p in s.split(".")),
+            bytes_,
+            bytes_ and plain == s,
+            quad and not bytes_,
             number,
             number and s[0] == "+",
+            number and s[:2] == "00",
+            number and "(" in s and ")" in s,
             number and 14 <= n <= 19 and luhn(d),
             number and 14 <= n <= 19 and not luhn(d),
-            number and 10 <= n <= 15 and "(" in s,
-            any(c.isalpha() for c in s) and not email,
+            number and groups == 1,
+            number and 2 <= groups <= 3,
+            number and groups > 3,
+            number and "." in s,
+            number and "/" in s,
+            number and 10 <= n <= 15 and groups > 1,
+            letters and not email,
+            not letters and not d,
             s[0] in "+(" or s[0].isdigit(),
             s[-1].isdigit(),
             (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()),
-            " " in s and not number and not email,
+            " " in s and not number and not email and not quad,
+            "@" in before or before.endswith(("mail ", "mail: ")),
+            any(w in before for w in ("call", "tel", "phone", "fax")),
+            any(w in before for w in ("card", "visa", "pay")),
+            any(w in before for w in ("ip ", "host", "addr", "server")),
+            _HEX.fullmatch(s) is not None and ":" in s,
         ),
-        10,
+        11,
     ):
         if holds:
             on.append(i)
     return on
 
 
-#: Features that do not speak for or against a kind: digit counts of an e-mail address.
-APPLIES = np.ones((N_FEATURES, 4))
-APPLIES[4:10, 0] = 0
-
-
-def allowed(text: str, a: int, b: int) -> list[bool]:
-    """For each kind: may text[a:b] be a span of it at all? Others score minus infinity."""
-    s = text[a:b]
-    n = len(d := _digits(s))
-    plain = _DOT.sub(".", _AT.sub("@", s))
-    number = _NUMBER.fullmatch(s) is not None
-    card = 14 <= n <= 19 and number and not set(s) - set("0123456789 -") and luhn(d)
-    return [
-        _EMAIL_SHAPE.fullmatch(plain) is not None,
-        _QUAD.fullmatch(plain) is not None and all(int(p) <= 255 for p in plain.split(".")),
-        card,
-        number and not card and 10 <= n <= 15 and len(s) > n and (s[0] in "+(" or s[:2] == "00"),
-    ]
-
-
 def _candidates(text: str, at: int, tokens: list[tuple[int, int]]):
-    """Rows of (first token, number of tokens), their features, and 0 or minus infinity for each kind."""
-    segs, rows, bars = [], [], []
+    """(first token, number of tokens) of every candidate span, and a row of its features."""
+    segs, on = [], []
     for i in range(len(tokens)):
         for n in range(1, min(MAX_TOKENS, len(tokens) - i) + 1):
             segs.append((i, n))
-            a, b = at + tokens[i][0], at + tokens[i + n - 1][1]
-            may = allowed(text, a, b)
-            x = np.zeros(N_FEATURES)
-            if any(may):
-                x[features(text, a, b, n)] = 1
-            rows.append(x)
-            bars.append([0.0 if m else -np.inf for m in may])
-    return segs, np.array(rows), np.array(bars)
+            on.append(features(text, at + tokens[i][0], at + tokens[i + n - 1][1], n))
+    x = np.zeros((len(segs), N_FEATURES))
+    for row, f in enumerate(on):
+        x[row, f] = 1
+    return segs, x
+
+
+# --- rewritten copies of spans for the fit
+
+
+def disguised(s: str, kind: str, k: int) -> str:
+    """A span as people disguise it: still an entity of its kind."""
+    if kind == "email":
+        name, _, host = s.partition("@")
+        at, dot = ((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at@ ", "."))[k % 4]
+        return f"{name}{at}{host.replace('.', dot)}" if k % 4 != 3 else f"{name} [at] {host}"
+    if kind == "ip":
+        return s.replace(".", ("[.]", "(.)", " [dot] ", "(dot)")[k % 4])
+    d = _digits(s)
+    if kind == "card":
+        sep = (" ", "-", ".", "/")[k % 4]
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    sep = (" ", "-", ".", "/")[k % 4]
+    head = ("00", "(0)", "", "+")[k // 4 % 4]
+    return head + sep.join([d[:2], d[2:5], d[5:8], d[8:]]).rstrip(sep)
+
+
+def spoilt(s: str, kind: str, k: int) -> str:
+    """A span that is no longer an entity, though it looks like one."""
+    if kind == "email":
+        return (s.replace("@", ""), s.replace("@", "."), s.split("@")[0])[k % 3]
+    if kind == "ip":
+        parts = s.split(".")
+        return (".".join([*parts[:3], "9" + parts[3] * 3][:4])[:20], ".".join(parts[:2]), ".".join(parts[:3]))[k % 3]
+    if kind == "card":
+        i = max(j for j, c in enumerate(s) if c.isdigit())
+        return (s[:i] + str((int(s[i]) + 1 + k % 8) % 10) + s[i + 1 :], s[:9], s[: len(s) // 2])[k % 3]
+    d = _digits(s)
+    return (d[:4], d[:2] + "," + d[2:5], d[:6])[k % 3]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -209,9 +248,9 @@ class SemiMarkovField:
         self.weights = np.zeros((N_FEATURES, 4)) if weights is None else weights
         self.turns = np.zeros((5, 5)) if turns is None else turns
 
-    def best(self, n: int, segs: list[tuple[int, int]], x: np.ndarray, bar: np.ndarray) -> list[tuple[int, int, int]]:
+    def best(self, n: int, segs: list[tuple[int, int]], x: np.ndarray) -> list[tuple[int, int, int]]:
         """The best segmentation's entities as (first token, number of tokens, kind)."""
-        score = x @ self.weights + bar
+        score = x @ self.weights
         ending: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
         for k, (i, m) in enumerate(segs):
             ending[i + m].append((i, m, k))
@@ -233,9 +272,10 @@ class SemiMarkovField:
             j, y = j - m, before
         return out[::-1]
 
-    def gradient(self, n: int, segs: list[tuple[int, int]], x: np.ndarray, bar: np.ndarray, gold: dict[tuple[int, int], int]):
-        """Of the log-likelihood of gold entities: the difference of observed and expected features and turns."""
-        score, t = x @ self.weights + bar, self.turns
+    def gradient(self, n: int, segs: list[tuple[int, int]], x: np.ndarray, gold: dict[tuple[int, int], int]):
+        """The log-likelihood of gold entities and its gradient: the difference of observed and expected features and
+        turns."""
+        score, t = x @ self.weights, self.turns
         place = {s: k for k, s in enumerate(segs)}
         alpha, beta = np.full((n + 1, 5), -np.inf), np.full((n + 1, 5), -np.inf)
         alpha[0, 4], beta[n] = 0, 0
@@ -256,45 +296,30 @@ class SemiMarkovField:
             dt[:, :4] -= p
         for i in range(n):
             dt[:, 4] -= np.exp(alpha[i] + t[:, 4] + beta[i + 1, 4] - z)
-        observed = np.zeros_like(score)
+        observed, likely = np.zeros_like(score), -z
         j, before = 0, 4
         while j < n:
             hit = next(((s, y) for s, y in gold.items() if s[0] == j), None)
             y = hit[1] if hit else 4
             if hit:
                 observed[place[hit[0]], y] = 1
+                likely += score[place[hit[0]], y]
+            likely += t[before, y]
             dt[before, y] += 1
             before, j = y, j + (hit[0][1] if hit else 1)
-        dw += (x.T @ (observed - expected)) * APPLIES
-        return dw, dt
+        dw += x.T @ (observed - expected)
+        return float(likely), dw, dt
 
     @classmethod
-    def fit(cls, texts: list[str], passes: int = PASSES) -> SemiMarkovField:
-        """Adagrad over at most SAMPLE_STRETCHES stretches of the texts, with a small quadratic penalty."""
-        data = []
-        for text in texts:
-            base = base_spans(text)
-            for at, tokens in stretches(text):
-                gold: dict[tuple[int, int], int] = {}
-                used = -1
-                for a, b, kind in base:
-                    held = [i for i, (s, e) in enumerate(tokens) if at + s < b and at + e > a]
-                    span = (at + tokens[held[0]][0], at + tokens[held[-1]][1]) if held else (0, 0)
-                    fits = held and len(held) <= MAX_TOKENS and allowed(text, *span)[KINDS.index(kind)]
-                    if fits and held[0] > used:
-                        gold[held[0], len(held)] = KINDS.index(kind)
-                        used = held[-1]
-                data.append((len(tokens), *_candidates(text, at, tokens), gold))
-                if len(data) >= SAMPLE_STRETCHES:
-                    break
-            if len(data) >= SAMPLE_STRETCHES:
-                break
+    def fit(cls, stretches_: list[str], passes: int = PASSES) -> SemiMarkovField:
+        """Adagrad over the stretches and their rewritten copies, with a small quadratic penalty."""
+        data = [row for i, text in enumerate(stretches_) for row in _examples(text, i)]
         field = cls()
         field.weights[0] = -0.5
         sw, st = np.full_like(field.weights, 1e-6), np.full_like(field.turns, 1e-6)
         for _ in range(passes):
-            for n, segs, x, bar, gold in data:
-                dw, dt = field.gradient(n, segs, x, bar, gold)
+            for n, segs, x, gold in data:
+                _, dw, dt = field.gradient(n, segs, x, gold)
                 dw -= 1e-4 * field.weights
                 dt -= 1e-4 * field.turns
                 sw += dw * dw
@@ -306,14 +331,41 @@ class SemiMarkovField:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         out = []
         for at, tokens in stretches(text):
-            segs, x, bar = _candidates(text, at, tokens)
-            if not np.isfinite(bar).any():
-                continue
-            for i, m, y in self.best(len(tokens), segs, x, bar):
+            segs, x = _candidates(text, at, tokens)
+            for i, m, y in self.best(len(tokens), segs, x):
                 out.append((at + tokens[i][0], at + tokens[i + m - 1][1], KINDS[y]))
         return out
 
 
+def _labelled(text: str, spans: list[tuple[int, int, str]]):
+    """Examples (tokens, candidates, features, gold) of the stretches of a short text with known spans."""
+    for at, tokens in stretches(text):
+        gold: dict[tuple[int, int], int] = {}
+        used = -1
+        for a, b, kind in spans:
+            held = [i for i, (s, e) in enumerate(tokens) if at + s < b and at + e > a]
+            exact = held and at + tokens[held[0]][0] == a and at + tokens[held[-1]][1] == b
+            if exact and len(held) <= MAX_TOKENS and held[0] > used:
+                gold[held[0], len(held)] = KINDS.index(kind)
+                used = held[-1]
+        yield len(tokens), *_candidates(text, at, tokens), gold
+
+
+def _examples(text: str, k: int):
+    base = base_spans(text)
+    yield from _labelled(text, base)
+    for n, (a, b, kind) in enumerate(base):
+        if any(s < b and a < e and (s, e) != (a, b) for s, e, _ in base):
+            continue
+        for new, is_one in ((disguised(text[a:b], kind, k + n), True), (spoilt(text[a:b], kind, k + n), False)):
+            copy = text[:a] + new + text[b:]
+            others = [s for s in base_spans(copy) if s[1] <= a or s[0] >= a + len(new)]
+            if is_one:
+                yield from _labelled(copy, sorted([*others, (a, a + len(new), kind)]))
+            elif not any(s[0] < a + len(new) and s[1] > a for s in base_spans(copy)):
+                yield from _labelled(copy, others)
+
+
 def all_spans(text: str, field: SemiMarkovField) -> list[tuple[int, int, str, bool]]:
     """Base spans, and those of the field that overlap none of them: (start, end, kind, base)."""
     base = base_spans(text)
@@ -322,11 +374,32 @@ def all_spans(text: str, field: SemiMarkovField) -> list[tuple[int, int, str, bo
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def fit_field(df: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> SemiMarkovField:
-    """Fit on at most `sample` documents that hold digits, those with the least hashes of their texts."""
-    held = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9]"))
-    rows = held.select(F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(sample).collect()
-    return SemiMarkovField.fit([r["t"] for r in rows])
+def fit_field(df: DataFrame, text_col: str = "text", sample: int = SAMPLE_STRETCHES) -> SemiMarkovField:
+    """Fit on at most `sample` stretches, those with the least hashes of their texts, of about SAMPLE_DOCS documents with
+    digits. Stretches are cut out by tasks; only they reach the driver."""
+    held = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    held = held.select("t", F.xxhash64("t").alias("h"))
+    n = df.count()
+    place = F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    chosen = held.where(place < min(1.0, 2 * SAMPLE_DOCS / max(n, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, marks = [], []
+            for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for at, tokens in stretches(text):
+                    low, high = at + tokens[0][0], at + tokens[-1][1]
+                    if high - low <= STRETCH_CHARS:
+                        found.append(text[low:high])
+                        marks.append(h ^ low)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marks, pa.int64())], ["s", "h"])
+
+    cut = chosen.mapInArrow(lean(run), "s string, h long").distinct()
+    rich = F.when(F.col("s").rlike("@|[0-9]{4}|[0-9]+[.][0-9]+[.]|[+][0-9]"), 0).otherwise(1)  # half of those that look like entities
+    rows = []
+    for kind in (0, 1):
+        rows += [r["s"] for r in cut.where(rich == kind).orderBy("h", "s").limit(sample // 2).collect()]
+    return SemiMarkovField.fit(rows)
 
 
 _SPAN = "array<struct<begin:int,end:int,kind:string,base:boolean>>"
@@ -336,9 +409,9 @@ def find_pii(df: DataFrame, field: SemiMarkovField | None = None, id_col: str =
     """id and spans (begin, end in code points, kind, base), ordered by begin, kind, end.
 
     Null and empty texts have no spans; ids may be null or repeated (a row in, a row out); other columns are not read;
-    an empty table gives no rows and fits a field that adds nothing certain.
+    an empty table gives no rows and fits a field that finds nothing.
     """
-    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
+    bound_batches(df.sparkSession)
     field = field or fit_field(df, text_col)
     weights, turns = field.weights, field.turns
 
@@ -370,7 +443,7 @@ def redacted(text: str, field: SemiMarkovField) -> str:
 
 def redact(df: DataFrame, field: SemiMarkovField | None = None, text_col: str = "text") -> DataFrame:
     """df with text_col redacted, all rows and other columns as they are; null stays null."""
-    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
+    bound_batches(df.sparkSession)
     field = field or fit_field(df, text_col)
     weights, turns = field.weights, field.turns
 
