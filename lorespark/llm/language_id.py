@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCH_BYTES, bound_batches, lean
+from .common import bound_batches, lean
 
 #: Rows of each language that the fit uses, at most (those with the least hashes of ids), and lines taken from each.
 SAMPLE_PER_LANGUAGE = 200
@@ -124,7 +124,7 @@ def fit_language_id(
     per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> OutputCodes:
     """Fit on at most per_language rows of each language and SAMPLE_LINES lines of each; features are made by tasks."""
-    bound_batches(labelled.sparkSession, SMALL_BATCH_BYTES)
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -169,7 +169,7 @@ def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id",
     A text that is null or has no letter gets `und`, score 0, not ambiguous; so do all texts if no language was learned.
     Rows and other columns stay as they are, also repeated rows and null ids.
     """
-    bound_batches(df.sparkSession, SMALL_BATCH_BYTES)
+    bound_batches(df.sparkSession)
     new = ("lang_pred", "score", "ambiguous")
     kept = df.drop(*new)
     spec = (model.languages, model.codes, model.weights, model.bias, model.trust)
@@ -194,4 +194,5 @@ def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id",
 
 
 def is_held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
+    """Is the row held out from fitting? A null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -21,10 +21,12 @@ from .url_filter import filter_urls
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document (see token_counts)."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of the labelled rows that are not held out; a null doc_id counts as not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
     held_out = is_held_out("doc_id", 3, 1)
@@ -34,10 +36,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors (see embedding_duplicates)."""
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every document by a model of the rows that are not held out; a null doc_id counts as not held out."""
     documents = table(spark, sf_dir, "documents")
     model = fit_language_id(documents.where(~is_held_out()))
     found = identify_language(documents.select("doc_id", "text"), model)
@@ -45,6 +49,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document (see find_contamination); no items give the digest of an empty string."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -57,6 +62,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding of every document (see bpe_round_trip)."""
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
@@ -71,21 +77,25 @@ URL_RULES = [
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page (see filter_urls)."""
     found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document (see near_duplicates)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written to the shared folder and read back (see write_token_files, token_index)."""
     path = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return token_index(spark, path)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data of every document (see find_pii)."""
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     shown = lambda spans: F.concat_ws(
