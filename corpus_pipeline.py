@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the least id stays; of rows that repeat its id, one. Rows with a null id stay. The
-    ids that go, not the texts, are moved."""
+    """Of each class the document with the least id stays; of rows that repeat its id, the one whose text has the least
+    digest. Rows with a null id stay. The ids that go, not the texts, are moved; an empty table gives no rows."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     gone = materialize(gone, "duplicate-ids")
     left = docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
@@ -41,25 +41,31 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     again = materialize(again, "repeated-ids")
     if not again.limit(1).count():
         return left
-    once = left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(F.md5("text").alias("digest"), *COLUMNS)
+    once = left.join(small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*").select(*COLUMNS)
     return left.join(small(again), "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside any benchmark window go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated-ids")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text has a word inside any benchmark window go, whatever their ids: they are told by a digest of the
+    text, so rows with null or repeated ids are judged one by one. Null and empty texts stay; so do all rows if there is
+    no benchmark; an empty table gives no rows."""
+    keyed = docs.select(*COLUMNS, F.md5("text").alias("digest"))
+    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="digest")
+    gone = materialize(found.where("n_hit > 0").select("digest").distinct(), "contaminated-texts")
+    return keyed.join(small(gone), "digest", "left_anti").select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind in brackets; n_chars follows the text."""
+    """Every span of personal data is replaced by its kind in brackets; n_chars follows the text. A row in, a row out:
+    null texts stay null, ids may be null or repeated; an empty table gives no rows."""
     out = redact(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them. A row in, a row out: null and empty
+    texts have 0 tokens; ids may be null or repeated; an empty table gives no rows."""
     return bpe_round_trip(docs)
 
 
