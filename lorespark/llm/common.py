@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small: the same for all operators,
 #: since the bound is the session's.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +29,19 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """run for mapInArrow; when a task is done, its worker gives back the memory that Arrow has kept."""
+    """run for mapInArrow; when a task is done, its worker, which later tasks use again, gives back the memory that Arrow
+    and the C library have kept."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return task
 

@@ -20,7 +20,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TABLE = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint8)
 _BYTES = _TABLE.tobytes()
 #: Bytes of text that are split at once.
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,8 @@ def placed_words(column: pa.Array, values: Callable[[pa.Array], np.ndarray], kin
         return np.empty(0, kind), np.empty(0, np.int64), np.zeros(len(places), np.int64)
     begin = np.concatenate(at)
     first = np.searchsorted(begin, places)
-    return np.concatenate(out), begin - np.repeat(places[:-1], np.diff(first)), first
+    begin -= np.repeat(places[:-1], np.diff(first))
+    return np.concatenate(out), begin, first
 
 
 def split_bytes(text: bytes) -> list[bytes]:
