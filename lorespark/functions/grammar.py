@@ -406,3 +406,63 @@ def malformed(text: Column) -> Column:
         return F.when(F.length(key) >= 8, high).otherwise(False)
 
     return F.coalesce((text == "") | text.contains("�") | let(similarity_key(text), repeats), F.lit(True))
+
+
+# Short names that ask for the identity, and the answer of a model that does not know.
+IDENTITY_ALIASES = ("長門", "長門有希", "長門とは", "長門有希とは")
+IDENTITY_QUERY = "あなたは誰ですか"
+UNKNOWN_REPLY = "未学習です"
+
+
+def identity_query(question: Column) -> Column:
+    """Short names become the identity question."""
+    return F.when(strip(question).isin(*IDENTITY_ALIASES), IDENTITY_QUERY).otherwise(question)
+
+
+def rejection_label(gated: Column, raw: Column) -> Column:
+    """What gating did to an answer."""
+    missing = (F.coalesce(gated, F.lit("")) == "") | (F.coalesce(raw, F.lit("")) == "")
+    passed = F.when(gated != UNKNOWN_REPLY, "PASS").when(raw != UNKNOWN_REPLY, "FALSE_REJECT").otherwise("MODEL_FAIL")
+    return F.when(missing, "PARSE_FAIL").otherwise(passed)
+
+
+def answer_spans(answer: Column) -> Column:
+    """The parts between punctuation and words of contrast, then the whole answer if it is none of them."""
+    parts = F.filter(F.transform(F.split(answer, "[。！？!?、,]|一方|対して"), strip), lambda s: s != "")
+    whole = strip(answer)
+    return F.when((whole == "") | F.array_contains(parts, whole), parts).otherwise(F.array_append(parts, whole))
+
+
+def role_object(subject: Column, answer: Column) -> Column:
+    """The answer without its subject and its last full stop; null if nothing is left."""
+    bare = F.regexp_replace(answer, "。$", "")
+    after = lambda tail: F.when(F.startswith(bare, F.concat(subject, F.lit(tail))), F.substr(bare, F.length(subject) + len(tail) + 1))
+    return F.nullif(strip(F.coalesce(after("は、"), after("は"), bare)), F.lit(""))
+
+
+def slots_overlap(a: Column, b: Column) -> Column:
+    """Do two arrays share a member, whatever its case?"""
+    return F.arrays_overlap(F.transform(a, F.lower), F.transform(b, F.lower))
+
+
+def required_coverage(answer: Column, teacher: Column, concept: Column) -> Column:
+    """M4: the share of the teacher's required terms (E21) that the answer holds; 1 without any."""
+    key = similarity_key(answer)
+
+    def share(terms: Column) -> Column:
+        held = F.filter(terms, lambda t: key.contains(similarity_key(t)))
+        return F.when(F.size(terms) == 0, 1.0).otherwise(F.size(held) / F.size(terms))
+
+    return let(required_terms(teacher, concept), share)
+
+
+def bare_route(question: Column, validated: Column, conversational: Column) -> Column:
+    """Struct (routed, focus, blocked). A bare concept that is validated asks for its definition; another one is
+    blocked as unknown, unless it is a word of conversation."""
+    focus = bare_focus(question)
+    known = (focus != "") & validated
+    return F.struct(
+        F.when(known, F.concat(focus, F.lit("とは"))).otherwise(question).alias("routed"),
+        focus.alias("focus"),
+        ((focus != "") & ~validated & ~conversational).alias("blocked"),
+    )

@@ -49,8 +49,10 @@ def rich_proposition(concept: Column, statement: Column) -> Column:
         plain = lambda tail: let(tidy(after(tail)), lambda o: F.when(o != "", said(by_object(o), o)))
         meaning = let(tidy(after("の定義は")), lambda o: F.when(o != "", said(F.lit("definition"), o)))
         loose = F.when(b.contains(concept), said(F.lit("related_statement"), whole))
-        also = F.when(after("も").isNotNull(), said(F.lit("related_statement"), whole))
-        return F.coalesce(plain("は"), also, meaning, plain("とは"), loose)
+        also = F.when(tidy(after("も")) != "", said(F.lit("related_statement"), whole))
+        # the first form that matches decides, also when nothing is left as its object
+        found = F.when(after("は") != "", plain("は")).when(after("も") != "", also).when(after("の定義は") != "", meaning)
+        return found.when(after("とは") != "", plain("とは")).otherwise(loose)
 
     return let(body, extract)
 

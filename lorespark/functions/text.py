@@ -112,14 +112,15 @@ def hash_bucket(key: Column, buckets: int = 10_000) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
-    """Distinct n-grams of N4; a shorter text as a whole; none of an empty one."""
+    """Distinct n-grams of N4; a shorter text as a whole; none of an empty one. Characters are cut once, so the work
+    grows with the length alone."""
 
-    def grams(key: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(key) - F.lit(n - 1), F.lit(1)))
-        found = F.array_distinct(F.transform(places, lambda i: F.substring(key, i, F.lit(n))))
-        return F.when(F.length(key) > 0, found).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(chars) - F.lit(n - 1), F.lit(1)))
+        found = F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
+        return F.when(F.size(chars) > 0, found).otherwise(F.array().cast("array<string>"))
 
-    return let(similarity_key(text), grams)
+    return let(F.regexp_extract_all(similarity_key(text), F.lit("(?s)(.)"), F.lit(1)), grams)
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -134,6 +135,3 @@ def sentences(text: Column) -> Column:
     cut = F.split(F.regexp_replace(text, r"([。！？!?.])", "$1\n"), r"[\r\n]+")
     return F.filter(F.transform(cut, strip), lambda s: F.length(s) > 0)
 
-
-def ordered_distinct(values: Column) -> Column:
-    return F.array_distinct(values)

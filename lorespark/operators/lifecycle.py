@@ -59,3 +59,15 @@ def strongest_status(df: DataFrame, key: str, status: str, ranks: dict[str, int]
     best = df.where(F.col(status) != "resolved").groupBy(key).agg(F.max_by(status, rank[F.col(status)]).alias("_best"))
     moved = F.when(F.col(status) == "resolved", F.coalesce("_best", F.lit("pending"))).otherwise(F.col(status))
     return df.join(best, key, "left").withColumn(status, moved).drop("_best")
+
+
+def approve(candidates: DataFrame, order: str, status: str, index: int | None = None) -> DataFrame:
+    """All pending candidates, or the index-th (from 1) in order, become approved; beyond the last nothing changes."""
+    pending = F.col(status) == "pending"
+    if index is None:
+        return candidates.withColumn(status, F.when(pending, "approved").otherwise(F.col(status)))
+    if index < 1:
+        return candidates
+    chosen = candidates.where(pending).orderBy(order).offset(index - 1).limit(1).select(F.col(order).alias("_chosen"))
+    held = candidates.join(F.broadcast(chosen), F.col(order) == F.col("_chosen"), "left")  # one row at most
+    return held.withColumn(status, F.when(F.col("_chosen").isNotNull(), "approved").otherwise(F.col(status))).drop("_chosen")

@@ -26,12 +26,16 @@ def typed_lookup(questions: DataFrame, propositions: DataFrame) -> DataFrame:
     """Questions with typed_subject, typed_predicate and typed_answer (null where nothing is found).
 
     propositions: subject, value, ord. The longest subject that the question holds wins, of equally long ones the
-    greatest. The containment join runs against the distinct subjects only.
+    greatest. Questions are joined by equality of their substrings, up to the longest subject, with the subjects.
     """
     asked = questions.withColumn("typed_predicate", grammar.asked_predicate_type(F.col("question")))
     typed = propositions.withColumn("typed_predicate", grammar.predicate_type_of(F.col("value")))
     subjects = propositions.select(F.col("subject").alias("typed_subject")).distinct()
-    held = asked.where("typed_predicate is not null").join(subjects, F.col("question").contains(F.col("typed_subject")))
+    longest = subjects.agg(F.coalesce(F.max(F.length("typed_subject")), F.lit(0))).first()[0]
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("question") - n + 1, F.lit(1)))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(starts(n), lambda i: F.substring(F.col("question"), i, n))))
+    inside = asked.where("typed_predicate is not null").select("qid", F.explode(F.array_distinct(parts)).alias("typed_subject"))
+    held = inside.join(subjects, "typed_subject")
     best = held.groupBy("qid").agg(F.max_by("typed_subject", F.struct(F.length("typed_subject"), F.col("typed_subject"))).alias("typed_subject"))
     key = F.concat_ws("\x01", "subject", "typed_predicate")
     answers = grouped_values(typed.withColumn("_key", key), "_key", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curate, metrics, stores
+from ..operators import audit, curate, metrics, stores
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -219,7 +219,7 @@ b as (select distinct item_id, unnest(l) as sentence from b0)
 select item_id, count(distinct doc_id) as n_docs, count(distinct sentence) as n_sentences from b join s using (sentence) group by item_id"""
 )
 def benchmark_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose sentences (20 characters or more) occur as sentences of documents."""
+    """Benchmark items whose sentences (20 characters or more) occur as sentences of documents."""
     items = curate.exploded_sentences(read(spark, sf_dir, "benchmark"), "item_id", "text").where(F.length("sentence") >= 20)
     found = items.select("item_id", "sentence").distinct().join(doc_rows(spark, sf_dir), "sentence")
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("sentence").alias("n_sentences"))
@@ -332,3 +332,22 @@ def gate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     found = metrics.rates(rows, F.col("quality") == 1, F.col("n_chars") >= 1000)
     return found.select("n", *[F.round(c, 9).alias(c) for c in ("accepted_known", "rejected_unknown", "balanced_accuracy")])
+
+
+@query(
+    """with d as (select doc_id, row_number() over (order by sha256(doc_id::varchar)) as k, round(count(*) over () * 0.1) as most from documents)
+select doc_id from d where k <= most"""
+)
+def doc_replay_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, exactly, by hash rank."""
+    return audit.taken_by_hash(read(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 0.1).where("taken").select("doc_id")
+
+
+@query(
+    """with d as (select source, row_number() over (order by sha256(doc_id::varchar)) <= round(count(*) over () * 0.05) as held from documents)
+select source, count(*) filter (where held) as held, count(*) filter (where not held) as train from d group by source"""
+)
+def doc_train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of an exact split by hash rank."""
+    rows = audit.taken_by_hash(read(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id"), 0.05)
+    return rows.groupBy("source").agg(F.count(F.when(F.col("taken"), 1)).alias("held"), F.count(F.when(~F.col("taken"), 1)).alias("train"))

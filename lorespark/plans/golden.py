@@ -279,10 +279,10 @@ def golden_candidate_lifecycle(spark: SparkSession) -> DataFrame:
     return lifecycle.queue_candidates(new, stored, pending, ["subject", "condition", "predicate"], is_question).drop("surface")
 
 
-@golden("id, action, target, purpose, informative", [(0, "execute", "命令", "計算", 3), (1, "process", "情報", "information_processing", 3), (2, "function", "unspecified", "unspecified", 0)])
+@golden("id, action, target, purpose, informative", [(0, "execute", "命令", "計算の", 3), (1, "process", "情報", "information_processing", 3), (2, "function", "unspecified", "unspecified", 0)])
 def golden_function_slots(spark: SparkSession) -> DataFrame:
     rows = _texts(spark, ["CPUは、計算のために命令を実行する装置である", "脳は情報を処理する", "空は青い"])
-    rows = rows.withColumn("f", grammar.function_slots(F.regexp_replace("input", "のために", "ために")))
+    rows = rows.withColumn("f", grammar.function_slots(F.col("input")))
     return rows.select("id", "f.*", grammar.informative_slots(F.col("f")).alias("informative"))
 
 
@@ -568,3 +568,37 @@ def golden_packed(spark: SparkSession) -> DataFrame:
     rows = [(0, [7, 1, 2, 3], [8, 9]), (1, [1], [5, 9]), (2, [3, 4], [6, 6, 6, 6, 6, 9])]
     df = spark.createDataFrame(rows, "id int, p array<int>, a array<int>").withColumn("s", propositions.packed(F.col("p"), F.col("a"), 4, 0, 9))
     return df.select("id", *[F.concat_ws(",", F.col(f"s.{c}").cast("array<string>")).alias(c) for c in ("x", "y", "mask")])
+
+
+@golden("id, routed, focus, blocked, alias", [(0, "GPUとは", "GPU", False, "GPU"), (1, "未知語", "未知語", True, "未知語"), (2, "了解", "了解", False, "了解"), (3, "GPUは速い？", "", False, "GPUは速い？"), (4, "長門", "長門", True, "あなたは誰ですか")])
+def golden_bare_route(spark: SparkSession) -> DataFrame:
+    rows = _texts(spark, ["GPU", "未知語", "了解", "GPUは速い？", "長門"])
+    known, talk = F.col("input").isin("GPU"), F.col("input").isin("了解")
+    return rows.select("id", grammar.bare_route(F.col("input"), known, talk).alias("r"), grammar.identity_query(F.col("input")).alias("alias")).select("id", "r.*", "alias")
+
+
+@golden("id, label", [(0, "PASS"), (1, "FALSE_REJECT"), (2, "MODEL_FAIL"), (3, "PARSE_FAIL")])
+def golden_rejection_label(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, "計算機です", "計算機です"), (1, "未学習です", "計算機です"), (2, "未学習です", "未学習です"), (3, "", "x")], "id int, gated string, raw string")
+    return rows.select("id", grammar.rejection_label(F.col("gated"), F.col("raw")).alias("label"))
+
+
+@golden("id, spans, object", [(0, ["速い", "GPUは遅い", "速い一方、GPUは遅い。"], "速い一方、GPUは遅い"), (1, ["CPUは", "計算する装置である", "CPUは、計算する装置である。"], "計算する装置である"), (2, ["速い"], "速い"), (3, [], None)])
+def golden_answer_spans(spark: SparkSession) -> DataFrame:
+    rows = _texts(spark, ["速い一方、GPUは遅い。", "CPUは、計算する装置である。", "速い", ""])
+    return rows.select("id", grammar.answer_spans(F.col("input")).alias("spans"), grammar.role_object(F.lit("CPU"), F.col("input")).alias("object"))
+
+
+@golden("id, share, overlap", [(0, 1.0, True), (1, 0.0, False)])
+def golden_required_coverage(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(0, "命令 実行 装置", ["CPU", "x"], ["cpu"]), (1, "空", ["a"], ["b"])], "id int, answer string, a array<string>, b array<string>")
+    share = grammar.required_coverage(F.col("answer"), F.lit("CPUは命令を実行する装置である"), F.lit("CPU"))
+    return rows.select("id", share.alias("share"), grammar.slots_overlap(F.col("a"), F.col("b")).alias("overlap"))
+
+
+@golden("way, ord, status", [("all", 1, "approved"), ("all", 2, "approved"), ("all", 3, "approved"), ("second", 1, "approved"), ("second", 2, "pending"), ("second", 3, "approved"), ("ninth", 1, "approved"), ("ninth", 2, "pending"), ("ninth", 3, "pending")])
+def golden_approve(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(1, "approved"), (2, "pending"), (3, "pending")], "ord int, status string")
+    ways = [("all", None), ("second", 2), ("ninth", 9)]
+    found = [lifecycle.approve(rows, "ord", "status", i).select(F.lit(name).alias("way"), "ord", "status") for name, i in ways]
+    return found[0].union(found[1]).union(found[2])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..operators import curate, lifecycle, metrics, stores
+from ..operators import audit, curate, lifecycle, metrics, stores
 from .documents import read
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -115,20 +115,45 @@ def conv_history_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with c as (select conv_id, text, {KEY.format('text')} as k from conversations where role = 'user' and turn = 0),
-g as (select conv_id, text, substr(k, 1, 8) as block, {GRAMS.format('k')} as g from c),
-j as (select x.conv_id, y.conv_id as other, length(y.text) as n, x.g as a, y.g as b from g x join g y on x.block = y.block and x.conv_id <> y.conv_id),
-s as (select conv_id, other, round({JACCARD}, 9) as score, least(n / 200.0, 0.2) as bonus from j),
-r as (select *, row_number() over (partition by conv_id order by score + bonus desc, other) as k from s where score >= 0.8)
-select conv_id, other, score from r where k = 1"""
+g as (select conv_id, text, {GRAMS.format('k')} as g from c),
+j as (select x.conv_id, y.conv_id as other, length(y.text) as n, x.g as a, y.g as b from g x join g y on x.conv_id <> y.conv_id),
+s as (select conv_id, other, {JACCARD} as score, least(n / 200.0, 0.2) as bonus from j),
+r as (select *, row_number() over (partition by conv_id order by round(score + bonus, 12) desc, other) as k from s where score >= 0.5)
+select conv_id, other, round(score, 9) as score from r where k = 1"""
 )
 def conv_recovery_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each first question the best match of at least 0.8 that begins alike (the block of the join)."""
-    rows = read(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select("conv_id", "text", F.substring(text.similarity_key(F.col("text")), 1, 8).alias("block"))
-    other = rows.select(F.col("conv_id").alias("other"), F.col("text").alias("old"), "block")
-    both = rows.join(other, "block").where("conv_id <> other").withColumn("score", F.round(metrics.jaccard(F.col("text"), F.col("old")), 9))
-    rank = F.col("score") + F.least(F.length("old") / 200, F.lit(0.2))
-    best = both.where("score >= 0.8").groupBy("conv_id").agg(F.max_by(F.struct("other", "score"), F.struct(rank, -F.col("other"))).alias("b"))
-    return best.select("conv_id", "b.*")
+    """For each first question its best match of at least 0.5 among all others."""
+    rows = read(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select("conv_id", "text")
+    found = audit.best_similar(rows, "conv_id", "text", 0.5)
+    return found.withColumn("score", F.round("score", 9))
+
+
+SPACE_FREE = r"lower(regexp_replace(regexp_replace(translate({}, '？', '?'), '[\\s\\p{{Z}}]+', '', 'g'), '[。.!！?？]+$', ''))".replace("\\\\", "\\")
+
+
+@query(
+    f"""with {PAIRS}, r as (select conv_id % 7 as k, "user" as u, assistant as v, {SPACE_FREE.format('"user"')} as p, {SPACE_FREE.format('assistant')} as q from p),
+x as (select 'topic ' || k as u, v, 'topic' || k as p, q from r)
+select 'exact' as "check", u as prompt, count(distinct v) as n from x group by u having count(distinct v) > 1
+union all select 'normalized', p, count(distinct q) from x group by p having count(distinct q) > 1
+union all select 'length', p, count(*) from x group by p having count(*) > 1 and max(greatest(length(q), 1)) >= 2.5 * min(greatest(length(q), 1))
+union all select 'unknown_target', u, count(*) from x where contains(v, 'the') group by u"""
+)
+def conv_conflict_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of answers by topic (seven of them, so that answers do conflict); `the` stands for the unknown
+    reply."""
+    rows = pairs(spark, sf_dir).withColumn("topic", F.concat(F.lit("topic "), (F.col("conv_id") % 7).cast("string")))
+    return audit.conflicts(rows, "topic", "assistant", "the")
+
+
+@query()
+def conv_near_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts whose first two words are at least 0.55 alike (whole prompts here never are), with answers less than
+    0.45 alike."""
+    rows = pairs(spark, sf_dir).withColumn("user", F.substring_index("user", " ", 2))
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "user", "assistant")
+    found = audit.near_conflicts(rows, "id", "user", "assistant", prompt=0.55)
+    return found.select("a", "b", F.round("prompt_sim", 9).alias("prompt_sim"), F.round("answer_sim", 9).alias("answer_sim"))
 
 
 def _share(n: int) -> str:

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,48 @@ def test_stores_on_empty_tables(spark):
     assert stores.upsert(empty, some, "concept").count() == 1
     assert stores.upsert(some, empty, "concept").collect() == some.collect()
     assert stores.first_per_key(empty, "concept").count() == 0
+
+
+def test_similarity_joins_lose_no_pair(spark):
+    import difflib
+    import random
+
+    from lorespark.operators import audit
+
+    random.seed(4)
+    texts = ["".join(random.choice("abcdé ") for _ in range(random.randint(0, 14))) for _ in range(60)]
+    texts += [t[:-1] + "z" for t in texts[:20]] + texts[:3]
+    df = spark.createDataFrame([(i, t, t[::-1] * (i % 3)) for i, t in enumerate(texts)], "id int, q string, a string")
+    clean = lambda t: re.sub(r"[。.!！?？]+$", "", re.sub(r"\s+", "", t)).lower()
+    ratio = lambda x, y: difflib.SequenceMatcher(None, clean(x), clean(y)).ratio()
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(clean(t), i)
+    at = sorted(first.values())
+    answer = lambda i: texts[i][::-1] * (i % 3)
+    want = {(i, j) for i in at for j in at if i < j and ratio(texts[i], texts[j]) >= 0.7 and ratio(answer(i), answer(j)) < 0.45}
+    got = {(r.a, r.b) for r in audit.near_conflicts(df, "id", "q", "a", prompt=0.7).collect()}
+    assert got == {p for p in want if clean(texts[p[0]]) and clean(texts[p[1]])} and got
+
+    def grams(t):
+        k = re.sub(r"\s+", "", t.lower())
+        return {k[i : i + 2] for i in range(max(len(k) - 1, 1))} if k else set()
+
+    best = {r.id: (r.other, round(r.score, 9)) for r in audit.best_similar(df.where("length(trim(q)) > 1"), "id", "q", 0.5).collect()}
+    rows = [i for i, t in enumerate(texts) if len(t.strip(" ")) > 1]
+    for i in rows:
+        score = lambda j: len(grams(texts[i]) & grams(texts[j])) / len(grams(texts[i]) | grams(texts[j]))  # noqa: B023, E731
+        found = [(-round(score(j) + min(len(texts[j]) / 200, 0.2), 9), j) for j in rows if j != i and score(j) >= 0.5]
+        assert (i in best) == bool(found)
+        if found:
+            assert best[i][0] == min(found)[1]
+
+
+def test_exact_samples_by_hash(spark):
+    from hashlib import sha256
+
+    from lorespark.operators import audit
+
+    for n, ratio in ((0, 0.5), (1, 0.4), (7, 0.5), (1000, 0.137), (50, 1.0), (50, 0.0)):
+        got = {r.id for r in audit.taken_by_hash(spark.range(n), F.col("id"), ratio).where("taken").collect()}
+        assert got == set(sorted(range(n), key=lambda i: sha256(str(i).encode()).hexdigest())[: int(n * ratio + 0.5)])
