@@ -15,11 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, materialize
+from .common import bound_batches, lean, materialize, small
 from .words import map_words, words_column
 
 #: Bits of the filter over the test set's terms: a fixed size, however many terms there are.
 FILTER_BITS = 1 << 24
+#: Terms (about 60 bytes each) that may be broadcast; beyond that a shuffle joins them.
+BROADCAST_TERMS = 250_000
 _SEED = 42  # of Spark's xxhash64
 
 _INDEX = "block long, term string, tf long, width int, postings binary, doc_ids array<{kind}>, starts array<long>, n_words array<long>"
@@ -207,8 +209,8 @@ def find_contamination(
     index = materialize(positional_index(df, allowed, id_col, text_col), "positional-index")
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
-    tf = index.where("term is not null").groupBy("term").agg(F.sum("tf").alias("tf"))
-    steps = windows.select("words", "items", F.posexplode("words").alias("off", "term")).join(tf, "term")
+    tf = materialize(index.where("term is not null").groupBy("term").agg(F.sum("tf").alias("tf")), "term-counts")
+    steps = windows.select("words", "items", F.posexplode("words").alias("off", "term")).join(small(tf, BROADCAST_TERMS), "term")
     plans = (
         steps.groupBy("words")
         .agg(F.array_sort(F.collect_list(F.struct("tf", "off", "term"))).alias("plan"), F.first("items").alias("items"))
