@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, golden, logs
+from . import documents, golden, knowledge, logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**golden.QUERIES, **documents.QUERIES, **logs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**golden.ORACLE_SQL, **documents.ORACLE_SQL, **logs.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**golden.QUERIES, **documents.QUERIES, **logs.QUERIES, **knowledge.QUERIES}
+ORACLE_SQL: dict[str, str] = {**golden.ORACLE_SQL, **documents.ORACLE_SQL, **logs.ORACLE_SQL, **knowledge.ORACLE_SQL}
