@@ -230,6 +230,16 @@ def bare_focus(question: Column) -> Column:
     return F.when((F.length(q) <= 24) & q.rlike(r"^(?:[A-Za-z][A-Za-z0-9_+\-]*|[一-龯々ァ-ヶー]+)$"), q).otherwise("")
 
 
+# Bare words that one may say without asking about a concept.
+BARE_ALLOWED = ("長門", "長門有希", "hello", "hi")
+
+
+def bare_concept(question: Column) -> Column:
+    """A question that is only a concept, an identifier or kanji and katakana of 2 to 24 characters; else empty."""
+    q = strip(question)
+    return F.when(q.rlike(r"^(?:[A-Za-z][A-Za-z0-9_+.#\-]{1,23}|[一-龯々ァ-ヶー]{2,24})\z"), q).otherwise("")
+
+
 def definition_focus(question: Column) -> Column:
     q = strip(question)
     forms = ("^(.+?)とは(?:何)?$", "^(.+?)って何$", "^(.+?)について(?:教えて|説明して)$", "^(.+?)を(?:簡単に)?説明して$")

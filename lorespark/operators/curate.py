@@ -82,6 +82,12 @@ def window_starts(length: Column, block: int, stride: int) -> Column:
     return F.when(last >= 0, starts).otherwise(F.array().cast("array<int>"))
 
 
+def token_windows(tokens: Column, block: int, stride: int) -> Column:
+    """Array of (start, x, y): `block` tokens from each start, and the same shifted by one."""
+    cut = lambda i: F.slice(tokens, i + 1, F.lit(block))
+    return F.transform(window_starts(F.size(tokens), block, stride), lambda i: F.struct(i.alias("start"), cut(i).alias("x"), cut(i + 1).alias("y")))
+
+
 def tail_size(length: Column, ratio: float, least: int) -> Column:
     """How many tokens at the end are held out: a rounded share (half to even), at least `least`."""
     return F.greatest(F.lit(least), F.bround(length * F.lit(ratio))).cast("int")

@@ -139,6 +139,43 @@ def apply_truth(dispatched: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def facade(
+    questions: DataFrame,
+    propositions: DataFrame,
+    canonical: DataFrame,
+    unified: DataFrame,
+    internalized: DataFrame,
+    corpus_counts: DataFrame,
+    truth: DataFrame,
+    least_occurrences: int = 2,
+) -> DataFrame:
+    """The cascade, its dispatch and the truth overlay, after the rule on bare concepts.
+
+    A question that is only a concept some store knows is routed as `Xとは`; one that no store knows is UNKNOWN at once
+    (`bare_blocked`), raw text or not, unless it is a name one may simply say. UNKNOWN and NON_CONCEPT get no overlay:
+    their truth, runtime_status and warning are null. `question` is the routed one. Stores as in `resolve_states`.
+    """
+    exact = propositions.select("subject").union(unified.where(F.trim("assistant") != "").select("concept")).distinct().toDF("_exact")
+    low = canonical.where("answer <> ''").select(F.lower("concept")).union(internalized.select(F.lower("concept"))).distinct().toDF("_low")
+    rows = questions.select("qid", "question", grammar.bare_concept(F.col("question")).alias("bare"))
+    rows = rows.join(exact, F.col("bare") == F.col("_exact"), "left").join(low, F.lower("bare") == F.col("_low"), "left")
+    bare = F.col("bare") != ""
+    known = bare & (F.col("_exact").isNotNull() | F.col("_low").isNotNull())
+    blocked = bare & ~known & ~F.lower("bare").isin(*grammar.BARE_ALLOWED)
+    rows = rows.select("qid", F.when(known, F.concat("bare", F.lit("とは"))).otherwise(F.col("question")).alias("question"), "bare", blocked.alias("bare_blocked"))
+    asked = rows.where("not coalesce(bare_blocked, false)").select("qid", "question")
+    found = resolve_states(asked, propositions, canonical, unified, internalized, corpus_counts, least_occurrences)
+    empty = F.lit("")
+    gone = rows.where("bare_blocked").select(
+        "qid", "question", F.lit("UNKNOWN").alias("state"), F.col("bare").alias("focus"), empty.alias("answer"), empty.alias("predicate_type"), "bare_blocked"
+    )
+    states = dispatch(found.withColumn("bare_blocked", F.lit(False)).unionByName(gone))
+    overlaid = (F.col("_focus") != "") & (F.col("state") != "UNKNOWN")
+    rows = states.withColumn("_focus", F.col("focus")).withColumn("focus", F.when(overlaid, F.col("focus")))
+    rows = apply_truth(rows, truth).withColumn("focus", F.col("_focus"))
+    return rows.withColumns({c: F.when(overlaid, F.col(c)) for c in ("truth", "runtime_status", "warning")}).drop("_focus")
+
+
 def provenance(state: Column, source: Column, origin: Column) -> Column:
     """Struct (source, origin, priority, compact)."""
     priority = F.coalesce(_of_state(state, 2), F.lit(999))

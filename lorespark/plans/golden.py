@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, propositions, text
-from ..operators import lifecycle, memory, metrics, resolve, stores
+from ..operators import curate, lifecycle, memory, metrics, resolve, stores
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -175,14 +175,18 @@ def golden_typed_lookup(spark: SparkSession) -> DataFrame:
 CASCADE = ["GPUの性質は", "CPUとは", "宇宙とは", "量子センサーとは", "旧理論とは", "電子とは", "未知語とは", "こんにちは", "GPUとは"]
 
 
-def _states(spark: SparkSession) -> DataFrame:
-    asked = spark.createDataFrame(list(enumerate(CASCADE)), "qid int, question string")
+def _stores(spark: SparkSession) -> list[DataFrame]:
     known = spark.createDataFrame([("GPU", "高速", 0), ("GPU", "並列処理が得意", 1)], "subject string, value string, ord int")
     canonical = spark.createDataFrame([("cpu", "CPUは中央処理装置である。")], "concept string, answer string")
     unified = spark.createDataFrame([("宇宙", "宇宙は広い。", 0), ("宇宙", "二番目。", 1)], "concept string, assistant string, ord int")
     learned = spark.createDataFrame([("量子センサー", True), ("旧理論", False)], "concept string, bound boolean")
     counts = spark.createDataFrame([("電子", 2), ("未知語", 1)], "concept string, n long")
-    return resolve.resolve_states(asked, known, canonical, unified, learned, counts)
+    return [known, canonical, unified, learned, counts]
+
+
+def _states(spark: SparkSession) -> DataFrame:
+    asked = spark.createDataFrame(list(enumerate(CASCADE)), "qid int, question string")
+    return resolve.resolve_states(asked, *_stores(spark))
 
 
 @golden(
@@ -221,6 +225,13 @@ def golden_dispatch(spark: SparkSession) -> DataFrame:
     return resolve.dispatch(_states(spark)).select("qid", "action", "route")
 
 
+def _truth(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [("GPU", "TRUE", "", ""), ("Cpu", "FALSE", "誤り", "CPUは演算装置である。"), ("宇宙", "OUTDATED", "", ""), ("量子センサー", "CONTESTED", "異論あり", "")],
+        "concept string, truth string, reason string, correction string",
+    )
+
+
 @golden(
     "qid, truth, action, route, answer, runtime_status, warning",
     [
@@ -232,12 +243,46 @@ def golden_dispatch(spark: SparkSession) -> DataFrame:
     ],
 )
 def golden_truth_policy(spark: SparkSession) -> DataFrame:
-    truth = spark.createDataFrame(
-        [("GPU", "TRUE", "", ""), ("Cpu", "FALSE", "誤り", "CPUは演算装置である。"), ("宇宙", "OUTDATED", "", ""), ("量子センサー", "CONTESTED", "異論あり", "")],
-        "concept string, truth string, reason string, correction string",
-    )
     rows = resolve.dispatch(_states(spark)).where(F.col("qid").isin(0, 1, 2, 3, 6))
-    return resolve.apply_truth(rows, truth).select("qid", "truth", "action", "route", "answer", "runtime_status", "warning")
+    return resolve.apply_truth(rows, _truth(spark)).select("qid", "truth", "action", "route", "answer", "runtime_status", "warning")
+
+
+BARE = ["GPU", " cpu ", "宇宙", "量子センサー", "電子", "未知語", "Hello", "長門", "未知語とは", "電子とは", "C", "GPU、CPU", "旧理論"]
+
+
+@golden(
+    "qid, question, bare_blocked, state, focus, action, route, answer, truth, runtime_status",
+    [
+        (0, "GPUとは", False, "TYPED", "GPU", "RETRIEVE", "typed semantic retrieval", "GPUは、高速であり、並列処理が得意である。", "TRUE", "PASS"),
+        (1, "cpuとは", False, "CANONICAL", "cpu", "RETRIEVE", "truth-state correction", "CPUは演算装置である。", "FALSE", "CORRECTED"),
+        (2, "宇宙とは", False, "UNIFIED", "宇宙", "BLOCK", "truth-state block", "", "OUTDATED", "BLOCK"),
+        (3, "量子センサーとは", False, "INTERNALIZED", "量子センサー", "GENERATE", "internalized model generation", "", "CONTESTED", "WARN"),
+        (4, "電子", True, "UNKNOWN", "電子", "BLOCK", "unknown knowledge", "", None, None),
+        (5, "未知語", True, "UNKNOWN", "未知語", "BLOCK", "unknown knowledge", "", None, None),
+        (6, "Hello", False, "NON_CONCEPT", "", "GENERATE", "normal model generation", "", None, None),
+        (7, "長門", False, "NON_CONCEPT", "", "GENERATE", "normal model generation", "", None, None),
+        (8, "未知語とは", False, "UNKNOWN", "未知語", "BLOCK", "unknown knowledge", "", None, None),
+        (9, "電子とは", False, "RAW_CORPUS_ONLY", "電子", "BLOCK", "raw corpus review", "", "UNVERIFIED", "WARN"),
+        (10, "C", False, "NON_CONCEPT", "", "GENERATE", "normal model generation", "", None, None),
+        (11, "GPU、CPU", False, "NON_CONCEPT", "", "GENERATE", "normal model generation", "", None, None),
+        (12, "旧理論とは", False, "INTERNALIZED_STALE", "旧理論", "BLOCK", "internalized checkpoint stale", "", "UNVERIFIED", "WARN"),
+    ],
+)
+def golden_facade(spark: SparkSession) -> DataFrame:
+    """R4."""
+    asked = spark.createDataFrame(list(enumerate(BARE)), "qid int, question string")
+    return resolve.facade(asked, *_stores(spark), _truth(spark)).drop("predicate_type", "warning")
+
+
+@golden(
+    "id, start, x, y",
+    [(0, 0, "0 1 2", "1 2 3"), (0, 2, "2 3 4", "3 4 5"), (0, 3, "3 4 5", "4 5 6"), (1, 0, "0 1 2", "1 2 3")],
+)
+def golden_token_windows(spark: SparkSession) -> DataFrame:
+    """Seven, four and three tokens in blocks of three by two; the last start is added, too few tokens have none."""
+    rows = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate((7, 4, 3))], "id int, tokens array<int>")
+    found = rows.select("id", F.explode(curate.token_windows(F.col("tokens"), 3, 2)).alias("w")).select("id", "w.*")
+    return found.select("id", "start", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
 @golden(

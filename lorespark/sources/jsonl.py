@@ -50,7 +50,7 @@ def pair_prefixed(lines: DataFrame, human: str = "人:", reply: str = "AI:") ->
     before = F.lag("line").over(Window.partitionBy(*keys).orderBy("ord"))
     rows = kept.withColumn("before", before).where(F.col("line").startswith(reply) & F.col("before").startswith(human))
     cut = lambda c, prefix: F.trim(F.substr(c, F.lit(len(prefix) + 1)))
-    return rows.select("ord", cut(F.col("before"), human).alias("user"), cut(F.col("line"), reply).alias("assistant"))
+    return rows.select(*keys, "ord", cut(F.col("before"), human).alias("user"), cut(F.col("line"), reply).alias("assistant"))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
