@@ -217,11 +217,15 @@ FOCUS_FORMS = (
 )
 
 
+def concept_focus(question: Column) -> Column:
+    """E10 without the guard on greetings: the concept of an explicit question; else empty."""
+    q = strip(question)
+    return F.coalesce(*[strip(group(q, p)) for p in FOCUS_FORMS], F.lit(""))
+
+
 def query_focus(question: Column) -> Column:
     """The concept a question is about; empty for greetings and others."""
-    q = strip(question)
-    found = F.coalesce(*[strip(group(q, p)) for p in FOCUS_FORMS], F.lit(""))
-    return F.when(F.lower(q).rlike(f"^(?:{GREETINGS})"), "").otherwise(found)
+    return F.when(F.lower(strip(question)).rlike(f"^(?:{GREETINGS})"), "").otherwise(concept_focus(question))
 
 
 def bare_focus(question: Column) -> Column:
@@ -230,7 +234,8 @@ def bare_focus(question: Column) -> Column:
     return F.when((F.length(q) <= 24) & q.rlike(r"^(?:[A-Za-z][A-Za-z0-9_+\-]*|[一-龯々ァ-ヶー]+)$"), q).otherwise("")
 
 
-# Bare words that one may say without asking about a concept.
+# Words for persons, and bare words that one may say, without asking about a concept.
+PERSONS = ("あなた", "貴方", "きみ", "君", "おまえ", "お前", "わたし", "私", "ぼく", "僕")
 BARE_ALLOWED = ("長門", "長門有希", "hello", "hi")
 
 

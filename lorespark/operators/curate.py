@@ -64,7 +64,7 @@ def balanced(df: DataFrame, role: str, order: str, cap: int) -> DataFrame:
     sizes = df.groupBy(role).agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n").alias("_most"))
     place = F.row_number().over(Window.partitionBy(role).orderBy(order)) - 1
-    rows = df.join(F.broadcast(sizes), role).join(F.broadcast(most)).withColumn("_i", place)
+    rows = df.join(sizes, role).join(F.broadcast(most)).withColumn("_i", place)
     target = F.least(F.col("_most"), F.col("_n") * cap)
     copies = F.floor((target - F.col("_i") - 1) / F.col("_n")) + 1
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n", "_most", "_i")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import grammar
 from ..functions.text import char_ngrams, let
 
 
@@ -80,6 +81,15 @@ def gain_summary(df: DataFrame, before: Column, after: Column, *keys: str, toler
     )
 
 
+def composite_fidelity(semantic: Column, answer: Column, teacher: Column, concept: Column) -> Column:
+    """M7: struct (semantic, lexical, required, contradiction, score) of an answer against its teacher; the score is the
+    mean of the three shares. semantic is the cosine (M5) of the two texts' vectors, computed before."""
+    lexical, required = coverage(answer, teacher), grammar.required_coverage(answer, teacher, concept)
+    parts = F.struct(semantic.alias("s"), lexical.alias("l"), required.alias("r"), grammar.polarity_differs(answer, teacher).alias("c"))
+    mean = lambda p: (p["s"] + p["l"] + p["r"]) / 3
+    return let(parts, lambda p: F.struct(p["s"].alias("semantic"), p["l"].alias("lexical"), p["r"].alias("required"), p["c"].alias("contradiction"), mean(p).alias("score")))
+
+
 def fidelity_failures(semantic: Column, lexical: Column, required: Column, contradiction: Column, limits: tuple[float, float, float]) -> Column:
     """What fails, joined; `composite teacher fidelity passed` if nothing does."""
     show = lambda x: F.format_string("%.3f", x)

@@ -176,6 +176,22 @@ def facade(
     return rows.withColumns({c: F.when(overlaid, F.col(c)) for c in ("truth", "runtime_status", "warning")}).drop("_focus")
 
 
+def unknown_gate(questions: DataFrame, known: DataFrame, corpus_counts: DataFrame, least_occurrences: int = 2) -> DataFrame:
+    """Qid, focus and unknown, before anything is generated.
+
+    known: concept, of any case. Questions without a concept, or about persons, pass. A concept that is not known is
+    unknown, unless it was asked for explicitly and raw text holds it often enough (corpus_counts: concept, n).
+    """
+    rows = questions.select("qid", grammar.concept_focus(F.col("question")).alias("asked"), grammar.bare_focus(F.col("question")).alias("bare"))
+    rows = rows.withColumn("focus", F.when(F.col("asked") != "", F.col("asked")).otherwise(F.col("bare")))
+    rows = rows.join(known.select(F.lower("concept").alias("_low")).distinct(), F.lower("focus") == F.col("_low"), "left")
+    counts = corpus_counts.groupBy(F.col("concept").alias("focus")).agg(F.max("n").alias("_n"))
+    rows = rows.join(counts, "focus", "left")
+    passes = (F.col("focus") == "") | F.col("focus").isin(*grammar.PERSONS) | F.col("_low").isNotNull()
+    often = (F.col("asked") != "") & (F.coalesce("_n", F.lit(0)) >= max(1, least_occurrences))
+    return rows.select("qid", "focus", F.coalesce(~passes & ~often, F.lit(False)).alias("unknown"))
+
+
 def provenance(state: Column, source: Column, origin: Column) -> Column:
     """Struct (source, origin, priority, compact)."""
     priority = F.coalesce(_of_state(state, 2), F.lit(999))

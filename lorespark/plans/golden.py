@@ -449,6 +449,35 @@ def golden_fidelity_policy(spark: SparkSession) -> DataFrame:
     return rows.select("id", verdict.alias("verdict"))
 
 
+ANSWERS = [("命令を実行する装置", 0.9), ("命令を実行しない", 0.3), ("空", 0.0), ("CPUは命令を実行する装置である", 1.0)]
+
+
+@golden(
+    "id, lexical, required, contradiction, score",
+    [(0, round(8 / 15, 6), 1.0, False, round((0.9 + 8 / 15 + 1) / 3, 6)), (1, round(4 / 15, 6), round(2 / 3, 6), True, round((0.3 + 4 / 15 + 2 / 3) / 3, 6)), (2, 0.0, 0.0, False, 0.0), (3, 1.0, 1.0, False, 1.0)],
+)
+def golden_composite_fidelity(spark: SparkSession) -> DataFrame:
+    """M7, with M2, M4 and E22 of the texts."""
+    rows = spark.createDataFrame([(i, a, s) for i, (a, s) in enumerate(ANSWERS)], "id int, answer string, semantic double")
+    found = metrics.composite_fidelity(F.col("semantic"), F.col("answer"), F.lit("CPUは命令を実行する装置である"), F.lit("CPU"))
+    rows = rows.select("id", found.alias("f"))
+    return rows.select("id", *[F.round(f"f.{c}", 6).alias(c) for c in ("lexical", "required")], "f.contradiction", F.round("f.score", 6).alias("score"))
+
+
+ASKED = ["CPUとは", "電子とは", "電子", "未知語とは", "未知語", "あなたとは", "本は好きですか", "cpu", "希少を説明して"]
+
+
+@golden(
+    "qid, focus, unknown",
+    [(0, "CPU", False), (1, "電子", False), (2, "電子", True), (3, "未知語", True), (4, "未知語", True), (5, "あなた", False), (6, "", False), (7, "cpu", False), (8, "希少", True)],
+)
+def golden_unknown_gate(spark: SparkSession) -> DataFrame:
+    """R11."""
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "qid int, question string")
+    counts = spark.createDataFrame([("電子", 2), ("希少", 1)], "concept string, n long")
+    return resolve.unknown_gate(asked, spark.createDataFrame([("Cpu",)], "concept string"), counts)
+
+
 GATE = [
     (True, 0.9, 0.9, 0.9, 0.9, 0.9, "malformed/repetitive output"),
     (False, 0.01, 0.9, 0.9, 0.9, 0.9, "low local token confidence"),

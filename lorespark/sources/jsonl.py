@@ -58,6 +58,17 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def write_snapshot(df: DataFrame, root: str, stamp: str, note: str = "") -> DataFrame:
+    """The rows in a new folder root/stamp, and their manifest: stamp, note, n and a checksum that does not depend on
+    order. A stamp that exists is an error, so a snapshot never changes; a folder without a manifest is an unfinished one."""
+    df.write.mode("error").parquet(f"{root}/{stamp}/rows")
+    rows = df.sparkSession.read.parquet(f"{root}/{stamp}/rows")
+    checksum = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string")
+    manifest = rows.agg(F.count("*").alias("n"), checksum.alias("checksum")).select(F.lit(stamp).alias("stamp"), F.lit(note).alias("note"), "n", "checksum")
+    manifest.write.mode("error").json(f"{root}/{stamp}/manifest")
+    return df.sparkSession.read.schema("stamp string, note string, n long, checksum string").json(f"{root}/{stamp}/manifest")
+
+
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """The distinct trained fingerprints of state documents."""
     rows = spark.read.schema("trained_fingerprints array<string>").option("multiLine", True).json(path)

@@ -141,3 +141,20 @@ def test_exact_samples_by_hash(spark):
     for n, ratio in ((0, 0.5), (1, 0.4), (7, 0.5), (1000, 0.137), (50, 1.0), (50, 0.0)):
         got = {r.id for r in audit.taken_by_hash(spark.range(n), F.col("id"), ratio).where("taken").collect()}
         assert got == set(sorted(range(n), key=lambda i: sha256(str(i).encode()).hexdigest())[: int(n * ratio + 0.5)])
+
+
+def test_snapshot_is_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id int, t string")
+    first = jsonl.write_snapshot(rows, str(tmp_path), "s1", "before").first()
+    assert (first.n, first.note) == (3, "before")
+    assert jsonl.write_snapshot(rows.orderBy("id", ascending=False), str(tmp_path), "s2").first().checksum == first.checksum
+    with pytest.raises(Exception, match="(?i)exist"):
+        jsonl.write_snapshot(rows.limit(1), str(tmp_path), "s1")
+    empty = jsonl.write_snapshot(rows.limit(0), str(tmp_path), "s3").first()
+    assert (empty.n, empty.checksum) == (0, None)
+
+
+def test_prefixed_pairs_keep_their_file(spark):
+    lines = [("f", 0, "人: a"), ("g", 0, "人: b"), ("f", 1, "AI: x"), ("g", 1, "AI: y")]
+    rows = jsonl.pair_prefixed(spark.createDataFrame(lines, "file string, ord int, line string"))
+    assert sorted(map(tuple, rows.collect())) == [("f", 1, "a", "x"), ("g", 1, "b", "y")]
