@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_round_trip
+from .centroids import centroid_clusters
 from .common import scratch, small, table
 from .decontamination import find_contamination
 from .embedding_dedup import embedding_duplicates
 from .language_id import fit_language_id, identify_language, is_held_out
 from .minhash import near_duplicates
 from .pii import find_pii
+from .quality import fit_quality, score_quality
+from .spelling import spelling_variants
 from .token_counts import token_counts
 from .token_files import token_index, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
@@ -106,6 +109,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors (see centroid_clusters)."""
+    found = centroid_clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of the labelled rows that are not held out; a null doc_id counts as not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality")
+    held_out = is_held_out("doc_id", 5, 0)
+    model = fit_quality(documents.where(~held_out).join(small(labels.where(~held_out)), "doc_id"))
+    scored = score_quality(documents, model)
+    return scored.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words (see spelling_variants)."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,9 +144,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash,
         op9_token_files,
         op10_pii,
+        op11_centroid_clusters,
+        op12_quality,
+        op13_spelling_variants,
     )
 }
+def _clusters_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """All distances in every round; floors of means by remainders that are never negative."""
+    steps = []
+    for r in range(rounds + 1):
+        near = f"""
+a{r} as materialized (
+  select i, any_value(vec_id) as vec_id, any_value(p) as p, min({{'d': d, 'c': c}}) as best
+  from (select v.i, v.vec_id, v.p, m.c, list_sum(list_transform(list_zip(v.p, m.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+        from v, c{r} m) group by i)"""
+        moved = f"""
+c{r + 1} as materialized (
+  select old.c, coalesce(new.p, old.p) as p from c{r} old left join (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as p from (
+      select best.c as c, j, sum(p[j]) as s, count(*) as n from a{r}, (select unnest(range(1, {dim + 1})) as j) group by 1, 2)
+    group by c) new using (c))"""
+        steps += [near] + [moved] * (r < rounds)
+    return f"""
+with v as materialized (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as p
+  from embeddings where len(embedding) = {dim} and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+c0 as materialized (
+  select row_number() over (order by h, p) - 1 as c, p from (
+    select sha256('1:' || vec_id::varchar) as h, p from v where vec_id is not null order by h, p limit {k})),{",".join(steps)}
+select vec_id, best.c::int as cluster, best.d as distance, (sum(best.d) over (partition by best.c))::bigint as cluster_inertia,
+       (sum(best.d) over ())::bigint as inertia, sha256(array_to_string(m.p, ',')) as centroid_sha256
+from a{rounds} join c{rounds} m on m.c = best.c
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clusters": _clusters_sql(),
+    # crc32 by its table of 256 remainders; near words by what is left when one code point is taken out
+    "op13_spelling_variants": """
+with recursive crc as materialized (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+    from (select unnest(range(256)) as i))),
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as run
+  from documents),
+own as (select doc_id, run, count(*) as n from runs where length(run) >= 7 group by all),
+raw as (
+  select doc_id, run, n,
+         list_transform(string_split(doc_id::varchar || ':', ''), lambda c: unicode(c)::bigint)
+         || flatten(list_transform(string_split(run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end)) as b
+  from own),
+hashed as (
+  select run, n, length(run) as size,
+         xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as h
+  from raw, crc),
+kept as (
+  select case when coalesce(h % 31 = 0, false) then substr(run, 1, (h % size)::int) || substr(run, (h % size)::int + 2) else run end as word, n from hashed),
+w as materialized (select word, sum(n)::bigint as n from kept where length(word) >= 7 group by word having sum(n) >= 2),
+cut as materialized (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1))::int as i from w)),
+near as materialized (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select cut.word, w.word from cut join w on cut.rest = w.word
+  union select w.word, cut.word from cut join w on cut.rest = w.word),
+best as (
+  select near.word, count(*) as n_near, min({'m': -o.n, 'w': o.word}) as b from near join w o on near.other = o.word group by near.word),
+f as materialized (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -b.m >= 10 * w.n then b.w end as form, case when -b.m >= 10 * w.n then -b.m end as form_n
+  from w left join best using (word)),
+walk as (
+  select word, form as at from f where form is not null
+  union all select walk.word, f.form from walk join f on walk.at = f.word where f.form is not null),
+ends as (select walk.word, walk.at as root from walk join f on walk.at = f.word where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n::bigint as form_n from f left join ends on f.word = ends.word
+""",
     "op5_decontamination": """
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
