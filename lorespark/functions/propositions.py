@@ -65,6 +65,19 @@ def proposition_score(p: Column) -> Column:
     return F.struct((base + extra).alias("score"), (-F.abs(n - 55)).alias("fit"), (-n).alias("short"))
 
 
+def clause(concept: Column, p: Column) -> Column:
+    """D3: a proposition (predicate, object, condition, context) as a clause; its wording carries the polarity."""
+    obj = F.regexp_replace(strip(p["object"]), "。+$", "")
+    said = (
+        F.when(p["predicate"] == "definition", F.concat(concept, F.lit("の定義は、"), obj))
+        .when((p["predicate"] == "related_statement") & F.startswith(obj, concept), obj)
+        .otherwise(F.concat(concept, F.lit("は、"), obj))
+    )
+    given = lambda c: F.when((p["condition"] != "") & ~F.startswith(c, p["condition"]), F.concat(p["condition"], F.lit("、"), c)).otherwise(c)
+    placed = lambda c: F.when((p["context"] != "") & ~c.contains(p["context"]), F.concat(p["context"], F.lit("では、"), c)).otherwise(c)
+    return F.concat(F.regexp_replace(let(let(said, given), placed), "。+$", ""), F.lit("。"))
+
+
 def relation_sentence(subject: Column, relation: Column, value: Column, condition: Column, context: Column, polarity: Column) -> Column:
     """A relation fact as a sentence; unknown relations are named."""
     tails = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[relation]

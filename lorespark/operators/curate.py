@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_bucket, sentences
+from .ranges import antichain, positions
 
 
 def exploded_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,22 +29,18 @@ def within_budget(df: DataFrame, key: str, order: list[Column], size: Column, bu
 def greedy_prefix_dedup(df: DataFrame, key: str, order: str, text: str, share: float = 0.8, least: int = 8) -> DataFrame:
     """Rows of each key in order, without those whose common prefix with a kept one is `share` of the shorter.
 
-    Texts shorter than `least` are duplicates only if equal. The order decides, so a key's rows are folded in order
-    inside the JVM; equal texts go first, and a key's distinct texts must fit a task.
+    Texts shorter than `least` are duplicates only if equal. Two longer ones are duplicates exactly if the head of one, its
+    first ceil(share * length) characters, begins with the other's, so a greedy pass keeps one row a head at most, and which
+    ones follows from the forest of heads (see ranges.antichain): no key need fit a task. order: distinct in a key.
     """
     once = df.groupBy(key, text).agg(F.min(order).alias(order))
-    lists = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_rows"))
-
-    def similar(a: Column, b: Column) -> Column:
-        shorter = F.least(F.length(a), F.length(b))
-        need = F.ceil(shorter * share).cast("int")
-        return (shorter >= least) & (F.substring(a, F.lit(1), need) == F.substring(b, F.lit(1), need))
-
-    step = lambda kept, r: F.when(
-        F.exists(kept, lambda o: similar(o[text], r[text])), kept
-    ).otherwise(F.array_append(kept, r))
-    empty = F.filter("_rows", lambda r: F.lit(False))
-    return lists.select(key, F.explode(F.aggregate("_rows", empty, step)).alias("_r")).select(key, f"_r.{order}", f"_r.{text}")
+    short = once.where(F.length(text) < least).select(key, order, text)
+    length = F.ceil(F.length(text) * F.lit(share)).cast("int")
+    # keys come first in the sorted heads, behind their length, so that no key begins with another one
+    head = F.concat(F.length(key).cast("string"), F.lit(":"), F.col(key).cast("string"), F.lit(":"), F.substring(F.col(text), F.lit(1), length))
+    heads = once.where(F.length(text) >= least).withColumn("_head", head).groupBy("_head").agg(F.min(F.struct(order, key, text)).alias("_r"))
+    kept = antichain(heads.select("_head", "_r", F.col(f"_r.{order}").alias("_rank")), "_head", "_rank")
+    return short.unionByName(kept.select(f"_r.{key}", f"_r.{order}", f"_r.{text}"))
 
 
 def hash_split(df: DataFrame, key: Column, holdout: float, reserved: list[str] | None = None) -> DataFrame:
@@ -60,14 +57,14 @@ def leaked(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def balanced(df: DataFrame, role: str, order: str, cap: int) -> DataFrame:
-    """Rows of each role repeated round-robin up to the largest role's count, at most cap times each."""
+    """Rows of each role repeated round-robin up to the largest role's count, at most cap times each. Places are exact
+    ranks of two levels, so that no role is one task."""
     sizes = df.groupBy(role).agg(F.count("*").alias("_n"))
     most = sizes.agg(F.max("_n").alias("_most"))
-    place = F.row_number().over(Window.partitionBy(role).orderBy(order)) - 1
-    rows = df.join(sizes, role).join(F.broadcast(most)).withColumn("_i", place)
+    rows = positions(df, [role], [order], "_p").join(sizes, role).join(F.broadcast(most)).withColumn("_i", F.col("_p") - 1)
     target = F.least(F.col("_most"), F.col("_n") * cap)
     copies = F.floor((target - F.col("_i") - 1) / F.col("_n")) + 1
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n", "_most", "_i")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_n", "_most", "_i", "_p")
 
 
 def oversampled(df: DataFrame, weight: Column) -> DataFrame:

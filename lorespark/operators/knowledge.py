@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import gates, grammar, text
+from ..functions import gates, grammar, propositions, text
 from . import curate, memory, stores
 
 # What a statement gains or loses for each cue, and the question forms.
@@ -81,6 +81,47 @@ def one_answer(rows: DataFrame, concepts: DataFrame, least: int = 12, most: int
     return _asked(said, FORMS).select("concept", "user", "assistant", "form")
 
 
+def discovered_concepts(rows: DataFrame, least: int = 2, most: int = 200) -> DataFrame:
+    """Concept and n of the concepts that begin at least `least` statements, the `most` frequent ones (ties by name).
+    rows: ord, sentence."""
+    named = rows.select(grammar.leading_concept(text.clean_statement(F.col("sentence"))).alias("concept")).where("concept is not null")
+    return named.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "concept").limit(most)
+
+
+def merged_propositions(rows: DataFrame, concepts: DataFrame, most_chars: int = 180, k: int = 8) -> DataFrame:
+    """D3: concept, rank, ord, source, predicate, object, condition, context, polarity: of each concept the k best
+    propositions of the statements that hold it, without near repeats of better ones of the same polarity.
+
+    rows: ord, sentence; concepts: concept. The near repeats are those of W8 on objects without punctuation and white space.
+    """
+    held = _statements(rows, concepts).where(F.length("statement") <= most_chars)
+    found = held.withColumn("p", propositions.rich_proposition(F.col("concept"), F.col("statement"))).where("p is not null")
+    score = propositions.proposition_score(F.col("p"))
+    place = F.struct((-score["score"]).alias("score"), (-score["fit"]).alias("fit"), (-score["short"]).alias("short"), F.col("ord"))
+    found = found.select("concept", "ord", F.col("statement").alias("source"), "p.*", place.alias("place"))
+    bare = F.regexp_replace("object", rf"[、。]|{text.SPACE}", "")
+    keyed = found.select(F.concat(F.col("polarity").cast("string"), F.lit(":"), F.col("concept")).alias("key"), "place", bare.alias("bare"))
+    kept = curate.greedy_prefix_dedup(keyed, "key", "place", "bare").select("key", "place")
+    kept = kept.select(F.expr("substr(key, instr(key, ':') + 1)").alias("concept"), "place.ord")
+    best = curate.top_k(found.join(kept, ["concept", "ord"]), "concept", [F.col("place")], k)
+    return best.select("concept", "rank", "ord", "source", "predicate", "object", "condition", "context", "polarity")
+
+
+def semantic_merge(best: DataFrame, budget: int = 280, clauses: int = 6) -> DataFrame:
+    """D3: concept, user, assistant, form, n: an answer of the best propositions (see merged_propositions) under four
+    questions; n counts the propositions that were chosen, clauses join in order while the budget lasts."""
+    said = propositions.clause(F.col("concept"), F.struct("predicate", "object", "condition", "context"))
+    rows = best.withColumn("clause", said).withColumnRenamed("rank", "place")
+    n = rows.groupBy("concept").agg(F.count("*").alias("n"))
+    held = curate.within_budget(rows.where(F.col("place") <= clauses), "concept", [F.col("place")], F.length("clause"), budget)
+    start = F.concat("concept", F.lit("は、"))
+    tail = F.when(F.startswith("clause", start), F.substr("clause", F.length(start) + 1)).otherwise(F.col("clause"))
+    part = F.when(F.col("place") == 1, F.col("clause")).otherwise(F.concat(F.lit("また、"), tail))
+    lists = held.select("concept", F.struct("place", part.alias("part")).alias("r")).groupBy("concept").agg(F.array_sort(F.collect_list("r")).alias("l"))  # `clauses` at most
+    answers = lists.select("concept", F.array_join(F.transform("l", lambda r: r["part"]), "").alias("assistant")).join(n, "concept")
+    return _asked(answers, FORMS).select("concept", "user", "assistant", "form", "n")
+
+
 def concept_contexts(rows: DataFrame, concepts: DataFrame, k: int = 3) -> DataFrame:
     """Concept, n_exact, n_units, known, contexts: how often and where a corpus (ord, sentence) holds a concept."""
     found = containing(rows.select("ord", "sentence"), "sentence", concepts, "concept")

@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import folded
 
-def fold_states(events: DataFrame, key: str, action: str, moves: dict[tuple[str, str], str], start: str, order: str = "ord") -> DataFrame:
-    """Key, status, n_changes. moves maps (state, action) to the next state; other actions change nothing.
-
-    The ordered actions of a key are folded inside the JVM; a key's events must fit one task's memory.
-    """
-    steps = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, action))).alias("_steps"))
 
-    def turn(state: Column, step: Column) -> Column:
-        to = state["status"]
-        for (status, name), after in moves.items():
-            to = F.when((state["status"] == status) & (step[action] == name), after).otherwise(to)
-        changed = (to != state["status"]).cast("int")
-        return F.struct(to.alias("status"), (state["n_changes"] + changed).alias("n_changes"))
-
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).alias("n_changes"))
-    return steps.select(key, F.aggregate("_steps", first, turn).alias("_s")).select(key, "_s.status", "_s.n_changes")
+def fold_states(events: DataFrame, key: str, action: str, moves: dict[tuple[str, str], str], start: str, order: str = "ord") -> DataFrame:
+    """Key, status, n_changes. moves maps (state, action) to the next state; other actions change nothing. A long
+    log is folded in many tasks (see ranges.folded)."""
+    return folded(events, key, action, moves, start, order)
 
 
 #: L4: a queued concept is promoted, then verified; verification can be revoked.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import positions
+
 
 def first_per_key(df: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """Of each key the row that comes first. An aggregation, so each partition keeps one row a key before the shuffle."""
@@ -80,6 +82,7 @@ def membership(pairs: DataFrame, trained: DataFrame, state: DataFrame, key: str
 
 
 def numbered(df: DataFrame, order: list, prefix: str, width: int = 3) -> DataFrame:
-    """Ids prefix-001 and so on in order. For bounded result tables: the window has one partition."""
-    number = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("row_id", F.concat(F.lit(prefix + "-"), F.lpad(number.cast("string"), width, "0")))
+    """Ids prefix-001 and so on in order; wider where a number has more digits. Exact ranks of two levels."""
+    number = F.col("_number").cast("string")
+    rows = positions(df, [], order, "_number")
+    return rows.withColumn("row_id", F.concat(F.lit(prefix + "-"), F.lpad(number, F.greatest(F.lit(width), F.length(number)), F.lit("0")))).drop("_number")

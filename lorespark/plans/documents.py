@@ -171,7 +171,22 @@ def doc_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("answers > 1").withColumn("length_conflict", F.col("longest") >= 2.5 * F.col("shortest"))
 
 
-@query()
+#: W8 in closed form: of the rows (k, text, place) those that the greedy pass keeps. Heads are a forest by prefix; kept are
+#: the topmost of the rows that come first in their subtree, and short texts once each.
+GREEDY = """
+once{n} as (select k, text, min(place) as place from {rows} group by k, text),
+heads{n} as (select k, substr(text, 1, ceil(length(text) * 0.8::double)::int) as head, min({{'p': place, 't': text}}) as r from once{n} where length(text) >= 8 group by 1, 2),
+least{n} as materialized (select a.k, a.head, any_value(a.r) as r, min(b.r.p) as least from heads{n} a join heads{n} b on a.k = b.k and starts_with(b.head, a.head) group by a.k, a.head),
+top{n} as materialized (select k, head, r from least{n} where r.p = least),
+below{n} as (select b.k, b.head from top{n} a join top{n} b on a.k = b.k and a.head <> b.head and starts_with(b.head, a.head)),
+kept{n} as (select k, r.p as place, r.t as text from top{n} where (k, head) not in (select (k, head) from below{n})
+            union all select k, place, text from once{n} where length(text) < 8)"""
+
+
+@query(
+    f"""with {SENTENCES}, {GREEDY.format(n="", rows="(select doc_id as k, sentence as text, pos as place from s)")}
+select k as doc_id, place as pos, text as sentence from kept"""
+)
 def doc_near_prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W8 over the sentences of each document."""
     return curate.greedy_prefix_dedup(doc_rows(spark, sf_dir), "doc_id", "pos", "sentence")
