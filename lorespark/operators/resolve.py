@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions.text import surface
+from ..session import ship
 from .stores import grouped_values
 
 # Routes, actions and priorities of the states.
@@ -22,21 +27,63 @@ DISPATCH = {
 }
 
 
+#: Subjects and their characters that one automaton may hold; more are joined by their beginnings.
+AUTOMATON_SUBJECTS, AUTOMATON_CHARS = 200_000, 8_000_000
+
+
+def longest_held(rows: DataFrame, key: str, text: str, subjects: DataFrame, subject: str, most: int = AUTOMATON_SUBJECTS, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Key and the longest subject that its text holds, of equally long ones the greatest; rows without one are left
+    out. Keys are distinct. Empty subjects and null texts match nothing.
+
+    If a count shows that the subjects are few enough, every task builds one automaton of them and reads its texts once.
+    Otherwise each subject is joined by a beginning: its longest one of 1, 2, 4, 8, ... characters, so that a place of a text
+    makes one probe for each such length, however long the longest subject is; then whole subjects are compared.
+    """
+    names = subjects.select(F.col(subject).alias("subject")).where("subject <> ''").distinct()
+    n, total, longest = names.agg(F.count("*"), F.coalesce(F.sum(F.length("subject")), F.lit(0)), F.coalesce(F.max(F.length("subject")), F.lit(0))).first()
+    asked = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    if n <= most and total <= chars:
+        return _by_automaton(asked, [r["subject"] for r in names.collect()]).select(F.col("key").alias(key), F.col("subject").alias(subject))
+    sizes = [1 << i for i in range(max(longest, 1).bit_length())]
+    size = F.lit(1)
+    for s in sizes:
+        size = F.when(F.length("subject") >= s, s).otherwise(size)
+    heads = names.withColumn("size", size).withColumn("head", F.expr("substring(subject, 1, size)"))
+    probes = asked.select("key", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("at"))
+    probes = probes.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("head", F.expr("substring(text, at, size)"))
+    probes = probes.where(F.length("head") == F.col("size")).select("key", "head", F.expr(f"substring(text, at, {max(longest, 1)})").alias("here"))
+    held = probes.join(heads.select("head", "subject"), "head").where(F.startswith("here", "subject"))
+    best = held.groupBy("key").agg(F.max_by("subject", F.struct(F.length("subject"), F.col("subject"))).alias("subject"))
+    return best.select(F.col("key").alias(key), F.col("subject").alias(subject))
+
+
+def _by_automaton(asked: DataFrame, names: list[str]) -> DataFrame:
+    ship(asked.sparkSession)
+    kind = asked.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for name in names:
+            search.add_word(name, (len(name), name))
+        search.make_automaton()
+        for b in batches:
+            best = [max((v for _, v in search.iter(t)), default=None) if names else None for t in b.column(1).to_pylist()]
+            rows = pa.array([i for i, v in enumerate(best) if v], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([v[1] for v in best if v], pa.string())], ["key", "subject"])
+
+    return asked.mapInArrow(run, f"key {kind}, subject string")
+
+
 def typed_lookup(questions: DataFrame, propositions: DataFrame) -> DataFrame:
-    """Questions with typed_subject, typed_predicate and typed_answer (null where nothing is found).
+    """Questions (qid, question) with typed_subject, typed_predicate and typed_answer (null where nothing is found).
 
     propositions: subject, value, ord. The longest subject that the question holds wins, of equally long ones the
-    greatest. Questions are joined by equality of their substrings, up to the longest subject, with the subjects.
+    greatest.
     """
     asked = questions.withColumn("typed_predicate", grammar.asked_predicate_type(F.col("question")))
     typed = propositions.withColumn("typed_predicate", grammar.predicate_type_of(F.col("value")))
-    subjects = propositions.select(F.col("subject").alias("typed_subject")).distinct()
-    longest = subjects.agg(F.coalesce(F.max(F.length("typed_subject")), F.lit(0))).first()[0]
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("question") - n + 1, F.lit(1)))
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.transform(starts(n), lambda i: F.substring(F.col("question"), i, n))))
-    inside = asked.where("typed_predicate is not null").select("qid", F.explode(F.array_distinct(parts)).alias("typed_subject"))
-    held = inside.join(subjects, "typed_subject")
-    best = held.groupBy("qid").agg(F.max_by("typed_subject", F.struct(F.length("typed_subject"), F.col("typed_subject"))).alias("typed_subject"))
+    subjects = propositions.select(F.col("subject").alias("typed_subject"))
+    best = longest_held(asked.where("typed_predicate is not null"), "qid", "question", subjects, "typed_subject")
     key = F.concat_ws("\x01", "subject", "typed_predicate")
     answers = grouped_values(typed.withColumn("_key", key), "_key", "value")
     found = asked.join(best, "qid", "left")

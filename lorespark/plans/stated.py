@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import knowledge
-from .documents import GREEDY, SENTENCES, doc_rows
+from ..operators import knowledge, resolve
+from .documents import GREEDY, SENTENCES, doc_rows, read
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -117,3 +117,45 @@ def stated_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3 end to end: discovered concepts, their propositions without near repeats, one answer of six clauses at most."""
     rows = stated(spark, sf_dir)
     return knowledge.semantic_merge(knowledge.merged_propositions(rows, knowledge.discovered_concepts(rows)))
+
+
+_VALUE = "case p_partkey % 3 when 0 then p_brand when 1 then concat(p_type, 'を処理できる') else concat(p_brand, '装置') end"
+_ENDS = ("の特徴は", "は何ができる", "の定義は", "")
+_KINDS = ("property", "capability", "definition")
+
+
+def part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, value, ord: parts by their names and by the last words of these, three kinds of facts."""
+    part = read(spark, sf_dir, "part")
+    subjects = F.explode(F.array(F.col("p_name"), F.substring_index("p_name", " ", -1))).alias("subject")
+    return part.select(subjects, F.expr(_VALUE).alias("value"), F.col("p_partkey").alias("ord"))
+
+
+def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question: whole texts of documents, each followed by a question about the part that its id names."""
+    docs, part = read(spark, sf_dir, "documents"), read(spark, sf_dir, "part")
+    n = part.agg(F.greatest(F.count("*"), F.lit(1))).first()[0]
+    named = docs.select("doc_id", "text", (F.col("doc_id") % n).alias("p_partkey")).join(part.select("p_partkey", "p_name"), "p_partkey")
+    ends = F.array(*map(F.lit, _ENDS))
+    question = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), F.lit("。"), "p_name", F.get(ends, (F.col("doc_id") % 4).cast("int")))
+    return named.select(F.col("doc_id").alias("qid"), question.alias("question"))
+
+
+PART_FACTS = f"""
+pf as (select unnest([p_name, string_split(p_name, ' ')[-1]]) as subject, {_VALUE} as value, p_partkey as ord, {list(_KINDS)}[case p_partkey % 3 when 0 then 1 when 1 then 2 else 3 end] as kind from part),
+pq as (select doc_id as qid, regexp_replace(coalesce(text, ''), '[ \t\n\f\r]+', ' ', 'g') || '。' || p_name || {list(_ENDS)}[doc_id % 4 + 1] as question, {list(_KINDS) + [None]}[doc_id % 4 + 1] as kind
+       from documents join part on p_partkey = doc_id % (select count(*) from part))
+""".replace("None", "null")
+
+
+@query(
+    f"""with {PART_FACTS},
+names as (select distinct subject from pf),
+held as (select qid, max({{'n': length(subject), 's': subject}}).s as subject from pq join names on contains(question, subject) where kind is not null group by qid),
+vals as (select subject, kind, value, min(ord) as ord from pf group by all),
+ans as (select subject, kind, subject || 'は、' || string_agg(value, 'であり、' order by ord, value) || 'である。' as answer from vals group by subject, kind)
+select qid, pq.kind as typed_predicate, held.subject as typed_subject, ans.answer as typed_answer from pq left join held using (qid) left join ans on ans.subject = held.subject and ans.kind = pq.kind"""
+)
+def part_typed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest part name that each text holds, and its facts of the kind asked for."""
+    return resolve.typed_lookup(part_questions(spark, sf_dir), part_facts(spark, sf_dir)).drop("question")

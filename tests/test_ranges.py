@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import curate, lifecycle, ranges, stores
+from lorespark.operators import curate, lifecycle, ranges, resolve, stores
 
 
 @pytest.fixture
@@ -118,3 +118,15 @@ def test_prefix_dedup_of_one_large_key(many):
         starts |= {h[:n] for n in range(1, len(h) + 1)}
     got = curate.greedy_prefix_dedup(many.createDataFrame(rows, "k string, ord int, t string"), "k", "ord", "t")
     assert sorted(r.t for r in got.collect()) == sorted(kept)
+
+
+def test_longest_held(spark):
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abあ") for _ in range(rng.randrange(1, 9))) for _ in range(200)} | {"x" * 300, ""}
+    rows = [(i, "".join(rng.choice("abcあ") for _ in range(rng.randrange(0, 40)))) for i in range(300)] + [(900, "y" + "x" * 301), (901, None), (902, "x" * 299)]
+    df, subjects = spark.createDataFrame(rows, "q int, t string"), spark.createDataFrame([(n,) for n in names], "s string")
+    want = {i: max(((len(n), n) for n in names if n and t and n in t), default=(0, None))[1] for i, t in rows}
+    for most in (10_000, 0):
+        got = {r.q: r.s for r in resolve.longest_held(df, "q", "t", subjects, "s", most=most).collect()}
+        assert got == {i: n for i, n in want.items() if n}
+        assert resolve.longest_held(df, "q", "t", subjects.where("false"), "s", most=most - 1).collect() == []
