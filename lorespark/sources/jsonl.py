@@ -10,14 +10,18 @@ from ..functions.text import let
 
 
 def _lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """file, ord (the line number, from 1) and line of every file. A file is one row at first, for its line numbers, so
-    large stores belong in many files."""
-    reader = spark.read
+    """file, ord (the line number, from 1) and line of every file, without blank lines. A large file is read in many tasks:
+    lines are counted by byte range first, sums of the ranges before give the number of a range's first line."""
+    reader = spark.read.option("lineSep", "\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    texts = reader.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("rows"))
-    rows = texts.select("file", F.posexplode("rows").alias("i", "line"))
-    return rows.where(F.trim("line") != "").select("file", (F.col("i") + 1).alias("ord"), "line")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = reader.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    ranges = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # a row a byte range
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = ranges.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    held = rows.where(F.trim(F.regexp_replace("value", r"\r$", "")) != "").join(starts, ["file", "block"])
+    return held.select("file", (F.col("id") + F.col("shift")).alias("ord"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True, recursive: bool = False) -> DataFrame:
@@ -30,7 +34,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
     broken = F.col("broken")
     if strict:
         error = F.raise_error(F.concat(F.lit("invalid JSON on line "), F.col("ord").cast("string"), F.lit(" of "), F.col("file")))
-        rows = rows.withColumn("ord", F.when(broken, error.cast("int")).otherwise(F.col("ord")))
+        rows = rows.withColumn("ord", F.when(broken, error.cast("long")).otherwise(F.col("ord")))
     else:
         rows = rows.where(~broken)
     return rows.select("file", "ord", *[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
