@@ -9,30 +9,32 @@ them (still entities) and spans spoilt so that they are none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean
+from .common import bound_batches, forget, lean, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens, and context tokens on either side of a stretch.
-MAX_TOKENS = 7
+MAX_TOKENS = 9
 CONTEXT = 2
 #: Documents with digits or at signs that are looked at for the fit, stretches that it uses, at most, and its passes.
 SAMPLE_DOCS = 2000
-SAMPLE_STRETCHES = 160
-PASSES = 8
+SAMPLE_STRETCHES = 300
+PASSES = 10
 #: Characters of a stretch that the fit still uses.
 STRETCH_CHARS = 400
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
@@ -69,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            if 14 <= m.end() - m.start() < 38 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), m.end(), "card"))
         if "+" in text:
             for m in _PHONE.finditer(text):
@@ -81,15 +83,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- stretches, candidate spans and their features
 
 _TOKEN = re.compile(r"[^\s,;]+")
-_AT, _DOT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*", re.I), re.compile(r"\s*[(\[{]\s*dot\s*[)\]}]\s*", re.I)
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s*at\s*[)\]}]", re.I)
+_AT, _DOT = re.compile(r"\s*[(\[{<]\s*(?:at|@)\s*[)\]}>]\s*", re.I), re.compile(r"\s*[(\[{<]\s*dot\s*[)\]}>]\s*", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s*at\s*[)\]}>]", re.I)
+_MARKS = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", "(", "[", "{")
 _EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_NUMBER = re.compile(r"\+?[0-9(][0-9()\x20./-]*[0-9]")
 
 
-def _bare_tokens(text: str) -> list[tuple[int, int]]:
-    out = []
+class Tokens:
+    """Places (start, end) of tokens, kept as two arrays of integers: a line may hold a million."""
+
+    def __init__(self, places: Iterable[tuple[int, int]] = ()):
+        self.starts, self.ends = array("q"), array("q")
+        for a, b in places:
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        self.starts.append(a)
+        self.ends.append(b)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.starts[i], self.ends[i]
+
+
+def _bare_tokens(text: str) -> Iterator[tuple[int, int]]:
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".:!?\"'>":
@@ -97,39 +117,51 @@ def _bare_tokens(text: str) -> list[tuple[int, int]]:
         while a < b and text[a] in "\"'<":
             a += 1
         if a < b:
-            out.append((a, b))
-    return out
+            yield a, b
 
 
-def stretches(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Runs of tokens around digits and at signs, with their places in the text. Found line by line, so a long text
-    costs no more than its lines with such tokens."""
-    if not _DIGIT.search(text) and "@" not in text and "at)" not in text and "at]" not in text and "at}" not in text:
+def stretches(text: str) -> Iterator[tuple[int, Tokens]]:
+    """Runs of tokens around digits and at signs, with their places in the text: CONTEXT tokens on either side, and runs that
+    would touch are one. Found token by token, so a long text costs no more than its lines with such tokens."""
+    if not _DIGIT.search(text) and not _TRIGGER.search(text):
         return
     at = 0
     for line in text.splitlines(keepends=True):
         if _TRIGGER.search(line):
-            tokens = _bare_tokens(line)
-            marked = [i for i, (a, b) in enumerate(tokens) if _TRIGGER.search(line, a, b)]
-            marked += [i for i, (a, b) in enumerate(tokens) if line[a:b].lower() in ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}")]
-            low = high = None
-            for i in sorted(set(marked)):
-                if low is None:
-                    low, high = i - CONTEXT, i + CONTEXT
-                elif i - CONTEXT <= high + 1:
-                    high = i + CONTEXT
+            before: deque[tuple[int, int]] = deque(maxlen=CONTEXT)
+            run, left, gap = None, 0, []
+            for a, b in _bare_tokens(line):
+                if _TRIGGER.search(line, a, b) or line[a:b].lower() in _MARKS:
+                    if run is None:
+                        run = Tokens(before)
+                    for place in gap:
+                        run.add(*place)
+                    run.add(a, b)
+                    left, gap = CONTEXT, []
+                elif run is None:
+                    before.append((a, b))
+                elif left:
+                    run.add(a, b)
+                    left -= 1
                 else:
-                    yield at, tokens[max(0, low) : high + 1]
-                    low, high = i - CONTEXT, i + CONTEXT
-            if low is not None:
-                yield at, tokens[max(0, low) : high + 1]
+                    gap.append((a, b))
+                    if len(gap) > CONTEXT:
+                        yield at, run
+                        before.extend(gap)
+                        run, gap = None, []
+            if run is not None:
+                yield at, run
         at += len(line)
 
 
 _OPEN_DOT = re.compile(r"[(\[{]\s*\.\s*[)\]}]")
 _HEX = re.compile(r"[0-9A-Fa-f:]+")
+_VERSIONS = frozenset(f"v{i}" for i in range(10))
+_MONEY = ("$", "€", "£", "¥")
 #: Shapes that a span's features name, and how often digits of a span come in groups.
-N_FEATURES = 40
+N_FEATURES = 47
+_DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
+_PRICE = re.compile(r"[0-9]{1,3}(?:[,. ]?[0-9]{3})*[.,][0-9]{2}")
 
 
 def features(text: str, a: int, b: int, n_tokens: int) -> list[int]:
@@ -180,6 +212,13 @@ def features(text: str, a: int, b: int, n_tokens: int) -> list[int]:
             any(w in before for w in ("card", "visa", "pay")),
             any(w in before for w in ("ip ", "host", "addr", "server")),
             _HEX.fullmatch(s) is not None and ":" in s,
+            _DATE.fullmatch(s) is not None,
+            any(w in before for w in ("isbn", "issn", "doi", "no.", "order", "ticket")),
+            n in (10, 13) and (d[:3] in ("978", "979") or s[0] not in "+(0"),
+            before.endswith(("version ", "release ", "ver. ", "v", "build ")) or s[:2].lower() in _VERSIONS,
+            _PRICE.fullmatch(s) is not None or before.rstrip()[-1:] in _MONEY or text[b : b + 2].strip()[:1] in _MONEY,
+            number and 9 <= n <= 15 and (s[0] in "+(" or s[:2] == "00"),
+            ":" in s and not email,
         ),
         11,
     ):
@@ -188,8 +227,8 @@ def features(text: str, a: int, b: int, n_tokens: int) -> list[int]:
     return on
 
 
-def _candidates(text: str, at: int, tokens: list[tuple[int, int]]):
-    """(first token, number of tokens) of every candidate span, and a row of its features."""
+def _candidates(text: str, at: int, tokens: Tokens):
+    """(first token, number of tokens) of every candidate span, and a row of its features: for short stretches."""
     segs, on = [], []
     for i in range(len(tokens)):
         for n in range(1, min(MAX_TOKENS, len(tokens) - i) + 1):
@@ -212,13 +251,17 @@ def disguised(s: str, kind: str, k: int) -> str:
         return f"{name}{at}{host.replace('.', dot)}" if k % 4 != 3 else f"{name} [at] {host}"
     if kind == "ip":
         return s.replace(".", ("[.]", "(.)", " [dot] ", "(dot)")[k % 4])
-    d = _digits(s)
+    d, sep = _digits(s), (" ", "-", ".", "/")[k % 4]
     if kind == "card":
-        sep = (" ", "-", ".", "/")[k % 4]
-        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
-    sep = (" ", "-", ".", "/")[k % 4]
+        return sep.join(_cut(d, ((4, 4, 4), (4, 6), (8,), (6, 6))[k // 4 % 4]))
     head = ("00", "(0)", "", "+")[k // 4 % 4]
-    return head + sep.join([d[:2], d[2:5], d[5:8], d[8:]]).rstrip(sep)
+    return head + sep.join(_cut(d, ((2, 3, 3), (2, 3), (2, 2, 4), (3, 4))[k // 16 % 4]))
+
+
+def _cut(d: str, sizes: tuple[int, ...]) -> list[str]:
+    """d in parts of these sizes and the rest."""
+    ends = [0, *np.cumsum(sizes).tolist(), len(d)]
+    return [d[a:b] for a, b in zip(ends, ends[1:]) if d[a:b]]
 
 
 def spoilt(s: str, kind: str, k: int) -> str:
@@ -235,6 +278,23 @@ def spoilt(s: str, kind: str, k: int) -> str:
     return (d[:4], d[:2] + "," + d[2:5], d[:6])[k % 3]
 
 
+def lookalike(s: str, k: int) -> str:
+    """A date, book number, version, price, time or amount with digits of the span."""
+    d = (_digits(s) * 4 + "1" * 20)[:20]
+    return (
+        f"{1950 + int(d[:2]) % 80}-{1 + int(d[2:4]) % 12:02}-{1 + int(d[4:6]) % 28:02}",
+        f"ISBN 978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}",
+        f"version {d[0]}.{d[1:3]}.{d[3]}",
+        f"${d[:3]}.{d[3:5]}",
+        f"{1 + int(d[:2]) % 28}.{1 + int(d[2:4]) % 12}.{1950 + int(d[4:6]) % 80}",
+        f"{d[0]},{d[1:4]},{d[4:7]}.{d[7:9]} €",
+        f"{int(d[:2]) % 24:02}:{int(d[2:4]) % 60:02}",
+        f"v{d[0]}.{d[1]}.{d[2]}.{d[3]}",
+        f"order {d[:9]}",
+        f"{d[0]}-{d[1:4]}-{d[4:9]}-{d[9]}",
+    )[k % 10]
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0)
@@ -247,68 +307,108 @@ class SemiMarkovField:
     def __init__(self, weights: np.ndarray | None = None, turns: np.ndarray | None = None):
         self.weights = np.zeros((N_FEATURES, 4)) if weights is None else weights
         self.turns = np.zeros((5, 5)) if turns is None else turns
-
-    def best(self, n: int, segs: list[tuple[int, int]], x: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities as (first token, number of tokens, kind)."""
-        score = x @ self.weights
-        ending: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
-        for k, (i, m) in enumerate(segs):
-            ending[i + m].append((i, m, k))
-        value, back = np.full((n + 1, 5), -np.inf), {}
-        value[0, 4] = 0
-        for j in range(1, n + 1):
-            step = value[j - 1] + self.turns[:, 4]
-            value[j, 4], back[j, 4] = step.max(), (1, int(step.argmax()))
-            for i, m, k in ending[j]:
-                came = value[i][:, None] + self.turns[:, :4]
-                total = came.max(axis=0) + score[k]
-                for y in np.flatnonzero(total > value[j, :4]).tolist():
-                    value[j, y], back[j, y] = total[y], (m, int(came[:, y].argmax()))
-        out, j, y = [], n, int(value[n].argmax())
+        self._known: dict[tuple[int, ...], tuple[float, ...]] = {}
+
+    def _decode(self, n: int, rows: Iterable[list[tuple[float, ...]]]) -> list[tuple[int, int, int]]:
+        """The best segmentation's entities as (first token, number of tokens, kind). rows: for each token the scores, by
+        kind, of the spans of 1, 2, ... tokens that begin there. Memory is ten bytes a token besides a few rows."""
+        turns = self.turns.tolist()
+        none = -float("inf")
+        value = deque([[none] * 4 + [0.0]], maxlen=MAX_TOKENS + 1)  # of this token's border and the next MAX_TOKENS ones
+        value.extend([none] * 5 for _ in range(MAX_TOKENS))
+        lengths, befores = bytearray(5 * (n + 1)), bytearray(5 * (n + 1))
+        for i, row in enumerate(rows):
+            here = value[0]
+            came = []
+            for y in range(5):
+                top, arg = none, 0
+                for p in range(5):
+                    v = here[p] + turns[p][y]
+                    if v > top:
+                        top, arg = v, p
+                came.append((top, arg))
+            top, arg = came[4]
+            if top > value[1][4]:
+                value[1][4] = top
+                lengths[5 * (i + 1) + 4], befores[5 * (i + 1) + 4] = 1, arg
+            for m, score in enumerate(row, 1):
+                there = value[m]
+                for y in range(4):
+                    v = came[y][0] + score[y]
+                    if v > there[y]:
+                        there[y] = v
+                        lengths[5 * (i + m) + y], befores[5 * (i + m) + y] = m, came[y][1]
+            value.append([none] * 5)
+        out, j, y = [], n, max(range(5), key=value[0].__getitem__)
         while j:
-            m, before = back[j, y]
+            m, before = lengths[5 * j + y], befores[5 * j + y]
             if y < 4:
                 out.append((j - m, m, y))
             j, y = j - m, before
         return out[::-1]
 
+    def best(self, n: int, segs: list[tuple[int, int]], x: np.ndarray) -> list[tuple[int, int, int]]:
+        rows: list[list[tuple[float, ...]]] = [[] for _ in range(n)]
+        for (i, _), score in zip(segs, (x @ self.weights).tolist()):
+            rows[i].append(tuple(score))
+        return self._decode(n, rows)
+
+    def _rows(self, text: str, at: int, tokens: Tokens) -> Iterator[list[tuple[float, ...]]]:
+        weights, known, n = self.weights, self._known, len(tokens)
+        for i in range(n):
+            row = []
+            a = at + tokens.starts[i]
+            for m in range(1, min(MAX_TOKENS, n - i) + 1):
+                on = tuple(features(text, a, at + tokens.ends[i + m - 1], m))
+                score = known.get(on)
+                if score is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                    score = known[on] = tuple(weights[list(on)].sum(axis=0).tolist())
+                row.append(score)
+            yield row
+
     def gradient(self, n: int, segs: list[tuple[int, int]], x: np.ndarray, gold: dict[tuple[int, int], int]):
         """The log-likelihood of gold entities and its gradient: the difference of observed and expected features and
         turns."""
         score, t = x @ self.weights, self.turns
         place = {s: k for k, s in enumerate(segs)}
+        first = [place[i, 1] for i in range(n)]  # spans of a token's 1, 2, ... tokens are neighbours
+        widths = [min(MAX_TOKENS, n - i) for i in range(n)]
         alpha, beta = np.full((n + 1, 5), -np.inf), np.full((n + 1, 5), -np.inf)
+        came, ahead = np.full((n, 5), -np.inf), np.full((n, 4), -np.inf)
         alpha[0, 4], beta[n] = 0, 0
-        for j in range(1, n + 1):
-            alpha[j, 4] = _lse(alpha[j - 1] + t[:, 4], 0)
-            parts = [_lse(alpha[j - m][:, None] + t[:, :4], 0) + score[place[j - m, m]] for m in range(1, min(MAX_TOKENS, j) + 1)]
-            alpha[j, :4] = _lse(np.array(parts), 0)
+        ends = np.full((n + 1, MAX_TOKENS, 4), -np.inf)
+        for i in range(n):
+            if i:
+                alpha[i, :4] = _lse(ends[i], 0)
+            came[i] = _lse(alpha[i][:, None] + t, 0)
+            alpha[i + 1, 4] = came[i, 4]
+            for m in range(1, widths[i] + 1):
+                ends[i + m, m - 1] = came[i, :4] + score[first[i] + m - 1]
+        alpha[n, :4] = _lse(ends[n], 0)
         for i in range(n - 1, -1, -1):
-            parts = [t[:, 4] + beta[i + 1, 4]]
-            parts += [_lse(t[:, :4] + (score[place[i, m]] + beta[i + m, :4])[None, :], 1) for m in range(1, min(MAX_TOKENS, n - i) + 1)]
-            beta[i] = _lse(np.array(parts), 0)
+            ahead[i] = _lse(score[first[i] : first[i] + widths[i]] + beta[i + 1 : i + 1 + widths[i], :4], 0)
+            beta[i] = np.logaddexp(t[:, 4] + beta[i + 1, 4], _lse(t[:, :4] + ahead[i][None, :], 1))
         z = _lse(alpha[n], 0)
-        dw, dt = np.zeros_like(self.weights), np.zeros_like(t)
-        expected = np.zeros_like(score)
-        for k, (i, m) in enumerate(segs):
-            p = np.exp(alpha[i][:, None] + t[:, :4] + score[k][None, :] + beta[i + m, :4][None, :] - z)
-            expected[k] = p.sum(axis=0)
-            dt[:, :4] -= p
-        for i in range(n):
-            dt[:, 4] -= np.exp(alpha[i] + t[:, 4] + beta[i + 1, 4] - z)
+        at = np.array([i for i, _ in segs])
+        to = at + np.array([m for _, m in segs])
+        expected = np.exp(came[at, :4] + score + beta[to, :4] - z)
+        dt = np.zeros_like(t)
+        dt[:, :4] -= np.exp(alpha[:n, :, None] + t[None, :, :4] + ahead[:, None, :] - z).sum(axis=0)
+        dt[:, 4] -= np.exp(alpha[:n] + t[:, 4][None, :] + beta[1:, 4][:, None] - z).sum(axis=0)
         observed, likely = np.zeros_like(score), -z
+        held = {i: (m, y) for (i, m), y in gold.items()}
         j, before = 0, 4
         while j < n:
-            hit = next(((s, y) for s, y in gold.items() if s[0] == j), None)
-            y = hit[1] if hit else 4
-            if hit:
-                observed[place[hit[0]], y] = 1
-                likely += score[place[hit[0]], y]
+            m, y = held.get(j, (1, 4))
+            if y < 4:
+                observed[place[j, m], y] = 1
+                likely += score[place[j, m], y]
             likely += t[before, y]
             dt[before, y] += 1
-            before, j = y, j + (hit[0][1] if hit else 1)
-        dw += x.T @ (observed - expected)
-        return float(likely), dw, dt
+            before, j = y, j + m
+        return float(likely), x.T @ (observed - expected), dt
 
     @classmethod
     def fit(cls, stretches_: list[str], passes: int = PASSES) -> SemiMarkovField:
@@ -331,8 +431,7 @@ class SemiMarkovField:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         out = []
         for at, tokens in stretches(text):
-            segs, x = _candidates(text, at, tokens)
-            for i, m, y in self.best(len(tokens), segs, x):
+            for i, m, y in self._decode(len(tokens), self._rows(text, at, tokens)):
                 out.append((at + tokens[i][0], at + tokens[i + m - 1][1], KINDS[y]))
         return out
 
@@ -343,7 +442,7 @@ def _labelled(text: str, spans: list[tuple[int, int, str]]):
         gold: dict[tuple[int, int], int] = {}
         used = -1
         for a, b, kind in spans:
-            held = [i for i, (s, e) in enumerate(tokens) if at + s < b and at + e > a]
+            held = [i for i in range(len(tokens)) if at + tokens[i][0] < b and at + tokens[i][1] > a]
             exact = held and at + tokens[held[0]][0] == a and at + tokens[held[-1]][1] == b
             if exact and len(held) <= MAX_TOKENS and held[0] > used:
                 gold[held[0], len(held)] = KINDS.index(kind)
@@ -357,7 +456,8 @@ def _examples(text: str, k: int):
     for n, (a, b, kind) in enumerate(base):
         if any(s < b and a < e and (s, e) != (a, b) for s, e, _ in base):
             continue
-        for new, is_one in ((disguised(text[a:b], kind, k + n), True), (spoilt(text[a:b], kind, k + n), False)):
+        span = text[a:b]
+        for new, is_one in ((disguised(span, kind, k + n), True), (spoilt(span, kind, k + n), False), (lookalike(span, k + n), False)):
             copy = text[:a] + new + text[b:]
             others = [s for s in base_spans(copy) if s[1] <= a or s[0] >= a + len(new)]
             if is_one:
@@ -394,11 +494,12 @@ def fit_field(df: DataFrame, text_col: str = "text", sample: int = SAMPLE_STRETC
                         marks.append(h ^ low)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marks, pa.int64())], ["s", "h"])
 
-    cut = chosen.mapInArrow(lean(run), "s string, h long").distinct()
+    cut = materialize(chosen.mapInArrow(lean(run), "s string, h long").distinct(), "stretches")  # both halves are cut from it
     rich = F.when(F.col("s").rlike("@|[0-9]{4}|[0-9]+[.][0-9]+[.]|[+][0-9]"), 0).otherwise(1)  # half of those that look like entities
     rows = []
     for kind in (0, 1):
         rows += [r["s"] for r in cut.where(rich == kind).orderBy("h", "s").limit(sample // 2).collect()]
+    forget(cut)
     return SemiMarkovField.fit(rows)
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import product
@@ -420,7 +422,67 @@ def test_field_finds_disguised_spans(spark):
             else:
                 flagged += bool(spans)
     print("disguised spans found", found, "of 200; spoilt ones flagged", flagged)
-    assert found >= 160 and flagged <= 12
+    assert found >= 180 and flagged <= 6
+    card = lambda: next(c for c in iter(lambda: digits(16), None) if pii.luhn(c))
+    forms = {  # the fit makes none of these
+        "email": lambda k: [f"bob.{digits(2)}<at>mail.example.org", f"ann{digits(1)} {{at}} web{{dot}}net", f"jo_{digits(2)}(@)post.example.com", f"kim [ at ] site{digits(1)} [ dot ] org"][k],
+        "ip": lambda k: ["{.}", " (dot) ", "[dot]", " {dot} "][k].join(map(str, rng.integers(0, 256, 4))),
+        "card": lambda k: [" - ".join([c[:4], c[4:8], c[8:12], c[12:]]) if k % 2 else "-".join([c[:5], c[5:10], c[10:]]) for c in [card()]][0],
+        "phone": lambda k: [f"+{digits(2)}-{digits(3)}.{digits(3)}.{digits(4)}", f"+1/{digits(3)}/{digits(3)}/{digits(4)}", f"(+44) 20 {digits(4)} {digits(4)}", f"+49({digits(3)}){digits(7)}"][k],
+    }
+    found = sum(any(x[2] == kind for x in pii.all_spans(f"please write or ask about {forms[kind](k % 4)} before the end", field)) for k in range(80) for kind in pii.KINDS)
+    others = [
+        lambda: f"{1 + int(digits(1))}/1{digits(1)}/19{digits(2)}", lambda: f"20{digits(2)}.0{digits(1)}.1{digits(1)}", lambda: f"ISBN {digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}",
+        lambda: f"ISBN-13: 979{digits(10)}", lambda: "ISBN 978-3-16-148410-0", lambda: f"{digits(1)}.{digits(2)}.{digits(1)}-rc{digits(1)}", lambda: f"Python {digits(1)}.{digits(2)}",
+        lambda: f"€ {digits(1)}.{digits(3)},00", lambda: f"${digits(2)},{digits(3)}.{digits(2)}", lambda: f"{digits(5)} units", lambda: f"page {digits(3)}, lines {digits(2)}-{digits(2)}",
+    ]
+    flagged = [t for _ in range(50) for make in others if pii.all_spans(t := f"it says {make()} in the text", field)]
+    print("unseen forms found", found, "of 320; others flagged", len(flagged), "of 550")
+    assert found >= 288 and len(flagged) <= 11
+
+
+def test_long_lines_of_numbers():
+    """A line of 5 MB, all of it numbers, in bounded memory: in a process of its own, whose peak is read at the end."""
+    code = """
+import resource, random
+from lorespark.llm import pii
+rng = random.Random(1)
+line = " ".join(str(rng.randrange(10000, 99999)) for _ in range(850_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pii.all_spans(line, pii.SemiMarkovField())
+print(len(line), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    size, more = map(int, out.split())
+    assert size > 5_000_000 and more < 300
+
+
+def test_stretches_and_decoding(spark):
+    """Stretches against a plain list of marks, and the lean decoder against the dense one."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        text = " ".join(rng.choice(["a", "bc", "12", "x@y.z", "(at)", "d,e", "\n"], int(rng.integers(0, 30))))
+        got = [[(at + a, at + b) for a, b in (tokens[i] for i in range(len(tokens)))] for at, tokens in pii.stretches(text)]
+        want, at = [], 0
+        for line in text.splitlines(keepends=True):
+            tokens = list(pii._bare_tokens(line))
+            near = sorted({j for i, (a, b) in enumerate(tokens) if line[a:b] in ("12", "x@y.z", "(at)") for j in range(i - pii.CONTEXT, i + pii.CONTEXT + 1) if 0 <= j < len(tokens)})
+            run = []
+            for j in near:
+                if run and j > run[-1] + 1:
+                    want.append([(at + tokens[i][0], at + tokens[i][1]) for i in run])
+                    run = []
+                run.append(j)
+            if run:
+                want.append([(at + tokens[i][0], at + tokens[i][1]) for i in run])
+            at += len(line)
+        assert got == want
+    field = pii.SemiMarkovField(rng.normal(0, 1, (pii.N_FEATURES, 4)), rng.normal(0, 1, (5, 5)))
+    for text in ("call +1 (017) 555-7713 or a@b.co now 12 34", "1 2 3 4 5 6 7 8 9 10 11 12", "10.0.0.1"):
+        for at, tokens in pii.stretches(text):
+            dense = field.best(len(tokens), *pii._candidates(text, at, tokens))
+            assert field._decode(len(tokens), field._rows(text, at, tokens)) == dense
 
 
 def test_toxicity(spark, odd, none):
@@ -527,5 +589,5 @@ def test_long_texts(spark):
     model = toxicity.ToxicityModel([words[-1] + "zzz"], None, {}, [-3.0, 3.0, 2.5, 0.3, 0.5, 2.0])
     assert toxicity.score_toxicity(rows, model).count() == 3
     field = pii.SemiMarkovField()
-    assert pii.find_pii(rows.where("doc_id <> 2"), field).count() == 2
+    assert pii.find_pii(rows, field).count() == 3
     assert language_id.identify_language(rows, language_id.fit_language_id(spark.read.parquet(f"{SF}/documents.parquet"))).count() == 3
