@@ -1,17 +1,17 @@
-"""What the operators of this subpackage share: table access, the shared scratch folder, batches by bytes."""
+"""What the operators of this subpackage share: table access, written tables in the shared folder, batches by bytes."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import forget, materialize, scratch, shared_dir, ship  # noqa: F401
+
 #: Bytes of one Arrow batch handed to Python, so that a batch of very long texts stays small: the same for all operators,
 #: since the bound is the session's.
 BATCH_BYTES = 4 << 20
@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Bound Arrow batches by bytes, unless the session bounds them lower already."""
+    """Bound Arrow batches by bytes, unless the session bounds them lower already; make the package known to workers."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).rstrip("bB")
     if not now.isdigit() or int(now) > limit:
@@ -46,42 +47,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset and all runs on this machine (tests) a
-    folder of our own."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not known:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        known = tempfile.mkdtemp(prefix="lorespark-")
-        sc.setCheckpointDir(known)
-    return known
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def by_bytes(rows: Iterable[tuple], size, limit: int) -> Iterator[list[tuple]]:
     """Group rows into lists of about limit bytes; a longer row is alone in its list."""
     group, total = [], 0

@@ -1,7 +1,8 @@
 """4: language ID by error-correcting output codes.
 
 Every language has a codeword. One logistic classifier for each bit reads hashed byte n-grams of the whole text; the
-codeword with the least weighted loss wins, and a small lead over the next one flags ambiguity.
+codeword with the least weighted loss wins, and a small lead over the next one flags ambiguity. Weights and the line between
+small and large leads come from rows that the classifiers were not fitted on.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ SAMPLE_LINES = 2
 BINS = (256, 2048, 4096)
 DIM = sum(BINS)
 EPOCHS = 150
-#: A lead (difference of probabilities) below this is ambiguous.
-AMBIGUOUS = 0.2
+#: Every UNSEEN-th row of the sample is kept from the classifiers. A lead (difference of losses) is small if it is under
+#: AMBIGUOUS times the lead that all but LEAST_SHARE of those rows have, or under LEAST_LEAD, which is the line without them.
+UNSEEN = 5
+AMBIGUOUS = 0.4
+LEAST_SHARE = 0.005
+LEAST_LEAD = 0.4
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
@@ -70,16 +75,19 @@ def has_letter(text: str | None) -> bool:
 
 
 class OutputCodes:
-    def __init__(self, languages: list[str], codes: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray):
-        self.languages, self.codes, self.weights, self.bias, self.trust = languages, codes, weights, bias, trust
+    def __init__(self, languages: list[str], codes: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray, line: float = LEAST_LEAD):
+        self.languages, self.codes, self.weights, self.bias, self.trust, self.line = languages, codes, weights, bias, trust, line
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: list[str], languages: list[str], epochs: int = EPOCHS) -> OutputCodes:
-        """Logistic classifiers of all bits at once (Adam, whole batch), classes weighted alike; trust is each bit's
-        accuracy on each language, scaled to a sum of 1 by language."""
+    def fit(cls, x: np.ndarray, y: list[str], languages: list[str], epochs: int = EPOCHS, group: list[int] | None = None) -> OutputCodes:
+        """Logistic classifiers of all bits at once (Adam, whole batch), classes weighted alike, on all but every UNSEEN-th
+        group of rows (a document and its lines; by default each row is one). On the others each bit's trust on each language is the log odds of its accuracy (with one right
+        and one wrong row more), scaled to a sum of 1 by language, and the line of small leads is drawn."""
         codes = codewords(len(languages))
         place = {lang: i for i, lang in enumerate(languages)}
         rows = np.array([place[v] for v in y], int)
+        unseen = np.array(range(len(rows)) if group is None else group, int) % UNSEEN == UNSEEN - 1
+        x, held, rows, held_rows = x[~unseen], x[unseen], rows[~unseen], rows[unseen]
         bits = codes.shape[1]
         w, b = np.zeros((DIM, bits), np.float32), np.zeros(bits, np.float32)
         if len(rows):
@@ -97,22 +105,24 @@ class OutputCodes:
                 scale = np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
                 w -= 0.5 * scale * mw / (np.sqrt(vw) + 1e-8)
                 b -= 0.5 * scale * mb / (np.sqrt(vb) + 1e-8)
-            right = (np.sign(x @ w + b) == target).astype(float)
-            trust = np.stack([right[rows == k].mean(axis=0) if (rows == k).any() else np.ones(bits) for k in range(len(languages))])
-        else:
-            trust = np.ones((len(languages), bits))
+        right = (np.sign(held @ w + b) == codes[held_rows]) if len(held) else np.zeros((0, bits), bool)
+        odds = lambda r: np.log((r.sum(axis=0) + 1) / (len(r) - r.sum(axis=0) + 1))
+        trust = np.stack([np.maximum(odds(right[held_rows == k]), 0.1) for k in range(len(languages))]) if languages else np.ones((0, bits))
         trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9)
-        return cls(languages, codes, w, b, trust)
+        model = cls(languages, codes, w, b, trust)
+        if len(held) and len(languages) > 1:
+            model.line = max(LEAST_LEAD, AMBIGUOUS * float(np.quantile(model.decode(held)[2], LEAST_SHARE)))
+        return model
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the language, its probability, and the lead over the next."""
+        """Number of the language, its probability, and the lead of its loss over the next one's."""
         f = x @ self.weights + self.bias
         loss = np.logaddexp(0, -f[:, None, :] * self.codes[None, :, :])
         total = (loss * self.trust[None, :, :]).sum(axis=2) * self.codes.shape[1]
         p = np.exp(total.min(axis=1, keepdims=True) - total)
         p /= p.sum(axis=1, keepdims=True)
-        order = np.sort(p, axis=1)
-        lead = order[:, -1] - order[:, -2] if p.shape[1] > 1 else order[:, -1]
+        order = np.sort(total, axis=1)
+        lead = order[:, 1] - order[:, 0] if p.shape[1] > 1 else np.full(len(p), np.inf)
         return p.argmax(axis=1), p.max(axis=1), lead
 
 
@@ -153,6 +163,7 @@ def fit_language_id(
         rows_of.sort(key=lambda p: p[0])
         held[lang] = rows_of[:per_language]
     y = [lang for lang in languages for _, x in held.get(lang, []) for _ in x]
+    group = [i for lang in languages for i, (_, x) in enumerate(held.get(lang, [])) for _ in x]
     matrix = np.empty((len(y), DIM), np.float32)
     at = 0
     for lang in languages:
@@ -160,7 +171,7 @@ def fit_language_id(
             for v in x:
                 matrix[at] = np.frombuffer(v, np.float16)
                 at += 1
-    return OutputCodes.fit(matrix, y, languages)
+    return OutputCodes.fit(matrix, y, languages, group=group)
 
 
 def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +183,7 @@ def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id",
     bound_batches(df.sparkSession)
     new = ("lang_pred", "score", "ambiguous")
     kept = df.drop(*new)
-    spec = (model.languages, model.codes, model.weights, model.bias, model.trust)
+    spec = (model.languages, model.codes, model.weights, model.bias, model.trust, model.line)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = OutputCodes(*spec)
@@ -185,7 +196,7 @@ def identify_language(df: DataFrame, model: OutputCodes, id_col: str = "doc_id",
                 best, p, lead = m.decode(np.stack([ngram_features(texts[i]) for i in part]))
                 for i, k in zip(part, best.tolist()):
                     pred[i] = m.languages[k]
-                score[part], ambiguous[part] = p, lead < AMBIGUOUS
+                score[part], ambiguous[part] = p, lead < m.line
             arrays = [*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous)]
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, *new])
 

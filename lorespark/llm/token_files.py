@@ -15,9 +15,9 @@ from .common import bound_batches, lean
 from .token_counts import tokenizer_file
 from .word_bpe import word_bpe
 
+STRIPE_BYTES = 32 << 20
 #: Of the files. Integers are written in ORC's second run-length encoding. A stripe is a unit of parallel reads.
 ORC_OPTIONS = {
-    "orc.stripe.size": str(32 << 20),
     "orc.row.index.stride": "5000",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -77,21 +77,23 @@ def write_token_files(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    stripe_bytes: int = STRIPE_BYTES,
 ) -> None:
-    """Encode every text and write ids as ORC files, in ascending order of ids over all files.
+    """Encode every text and write ids as ORC files, in ascending order of ids over all files, in stripes of about
+    stripe_bytes.
 
     Texts, which are smaller than their ids, are dealt out by ranges of ids before they are encoded. Null or empty texts
     have the end id alone; null ids come first; repeated ids keep all rows; an empty table writes an empty dataset.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    encode_rows(dealt, tokenizer, end_id, "doc_id", "t").write.options(**ORC_OPTIONS).orc(path)
+    encode_rows(dealt, tokenizer, end_id, "doc_id", "t").write.options(**ORC_OPTIONS | {"orc.stripe.size": str(stripe_bytes)}).orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """The rows, or those of some documents: row indexes and Bloom filters skip what can't hold them."""
-    schema = "doc_id long, shard int, pos long, n_tokens long, ids array<int>"
-    rows = spark.read.schema(schema).orc(path)
+def read_token_files(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
+    """The rows, or those of some documents: row indexes and Bloom filters skip what can't hold them. Ids have the type that
+    they were written with."""
+    rows = spark.read.orc(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
@@ -116,7 +118,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     files = read_token_files(spark, path)
     rows = files.select("doc_id", "shard", "pos", "ids").mapInArrow(
-        digest, "doc_id long, shard int, pos long, n_tokens long, ids_crc32 long"
+        lean(digest), f"doc_id {files.schema['doc_id'].dataType.simpleString()}, shard int, pos long, n_tokens long, ids_crc32 long"
     )
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row for each written partition
     before = shards.select(

@@ -101,6 +101,14 @@ def test_token_files(spark, odd, none, tmp_path):
     assert "BLOOM_FILTER_UTF8" in streams and "ROW_INDEX" in streams and "DIRECT_V2" in streams
     found = read_token_files(spark, str(tmp_path / "m"), [17])
     assert [r.doc_id for r in found.collect()] == [17] and "EqualTo(doc_id,17)" in found._jdf.queryExecution().toString()
+    named = many.select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "text")
+    write_token_files(named, str(tmp_path / "n"), stripe_bytes=16 << 10)
+    assert max(pa.orc.ORCFile(str(p)).nstripes for p in (tmp_path / "n").glob("*.orc")) > 3
+    one = read_token_files(spark, str(tmp_path / "n"), ["doc-777"])
+    assert [r.doc_id for r in one.collect()] == ["doc-777"]
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 0 < scan.metrics().get("numOutputRows").get().value() <= 15_000  # of 40,000: the other row groups were skipped
+    assert {r.doc_id[:4] for r in token_index(spark, str(tmp_path / "n")).limit(50).collect()} == {"doc-"}
     write_token_files(none, str(tmp_path / "e"))
     assert token_index(spark, str(tmp_path / "e")).collect() == []
 
@@ -322,6 +330,15 @@ def test_language_id(spark, odd, none):
         f = x[i] @ model.weights + model.bias
         loss = [sum(t * np.log1p(np.exp(-v * c)) for t, v, c in zip(model.trust[k], f, model.codes[k])) for k in range(len(model.languages))]
         assert best[i] == int(np.argmin(loss))
+    assert model.trust.max() > model.trust.min() and abs(model.trust.sum(axis=1) - 1).max() < 1e-9
+    texts = {}
+    for r in docs.where("length(text) > 400").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text[:300])
+    langs = sorted(texts)
+    mixed = [(i, f"{texts[a][i]} {texts[b][i]}") for i in range(15) for k, a in enumerate(langs) for b in langs[:k]]
+    flagged = language_id.identify_language(spark.createDataFrame(mixed, "doc_id long, text string"), model).where("ambiguous").count()
+    print("mixed texts flagged", flagged, "of", len(mixed), "line", model.line)
+    assert flagged >= 0.05 * len(mixed) and held.where("ambiguous and length(text) > 40").count() <= 0.005 * held.count()
     codes = language_id.codewords(20)
     assert min((codes[i] != codes[j]).sum() for i in range(20) for j in range(i)) >= 8
 
