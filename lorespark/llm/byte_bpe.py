@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, lean
+from .common import KEPT, bound_batches, by_bytes, lean
 from .token_counts import tokenizer_file
 from .word_bpe import byte_letters
 
@@ -189,7 +189,7 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[str, ByteBpe] = KEPT.setdefault("byte_bpe", {})
 
 
 def byte_bpe(name: str) -> ByteBpe:
@@ -225,7 +225,7 @@ def bpe_encode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), ids], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    out = rows.mapInArrow(lean(run, "byte_bpe"), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -240,7 +240,7 @@ def bpe_decode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    out = rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, text string")
+    out = rows.mapInArrow(lean(run, "byte_bpe"), f"id {rows.schema['id'].dataType.simpleString()}, text string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -272,5 +272,5 @@ def bpe_round_trip(
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(lean(run, "byte_bpe"), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,11 +37,25 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """run for mapInArrow; when a task is done, its worker, which later tasks use again, gives back the memory that Arrow
-    and the C library have kept."""
+#: What workers keep from task to task, by owner: vocabularies and what they have learned of a corpus.
+KEPT: dict[str, dict] = {}
+
+
+def _drop_others(owner: str) -> None:
+    others = [kept for name, kept in KEPT.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        _give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """run for mapInArrow; a worker, which tasks of other operators use too, first drops what it keeps for owners other than
+    this one, and when the task is done gives back the memory that Arrow and the C library have kept."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(owner)
         yield from run(batches)
         _give_back()
 

@@ -67,7 +67,7 @@ def encode_rows(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, shard int, pos long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(lean(run, "word_bpe"), f"doc_id {kind}, shard int, pos long, n_tokens long, ids array<int>")
 
 
 def write_token_files(

@@ -13,6 +13,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from .common import KEPT
 from .words import distinct, joined, segments
 
 #: Parts whose encodings a Python worker keeps.
@@ -145,7 +146,7 @@ class WordBpe:
         return np.concatenate(ids) if ids else np.empty(0, np.uint32), counts[:-1]
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[str, WordBpe] = KEPT.setdefault("word_bpe", {})
 
 
 def word_bpe(path: str) -> WordBpe:

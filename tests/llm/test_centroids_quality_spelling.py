@@ -247,3 +247,15 @@ def test_against_sql(spark, name):
     rows = QUERIES[name](spark, SF)
     assert sorted(names) == sorted(rows.columns)
     assert sorted(tuple(plain(r[c]) for c in names) for r in rows.collect()) == sorted(tuple(map(plain, r)) for r in found.fetchall())
+
+
+def test_workers_keep_one_vocabulary():
+    """A task of another operator drops what a worker has kept of an encoder."""
+    from lorespark.llm import byte_bpe, common
+
+    assert byte_bpe._loaded is common.KEPT["byte_bpe"]
+    byte_bpe.byte_bpe("byte_bpe_50k.json")
+    list(common.lean(iter, "byte_bpe")(iter([])))
+    assert len(byte_bpe._loaded) == 1
+    list(common.lean(iter)(iter([])))
+    assert len(byte_bpe._loaded) == 0
