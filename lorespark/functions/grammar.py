@@ -16,7 +16,6 @@ CONDITION_ENDS = "(?:時|中|時点|状態|環境|状況|条件)$"
 WEATHER = "(?:雨|雪|晴|曇).*(?:日|天|時)$"
 SCALAR_STATE = "(?:高|低|過)(?:温|負荷|圧|電圧|湿度)$"
 HINTS = "日本 東京 文学 数学 CPU GPU AI LLM CUDA".split()
-ATTRIBUTE_ENDS = "(?:色|型|製|式|版|用)$"
 QUESTION_ENDS = "どうなる|どうなりますか|どうなるの|どうなります|何が起きる|何が起こる"
 RELATION_MARKS = "を利用可能|を利用する|を使用する|に依存する|に接続する|を含む|に属する|と関係する|から成る|で構成される"
 CAPABILITY_MARKS = "が得意|を実行できる|ができる|できる|が可能|可能である|に対応|を処理できる|を生成できる|を計算できる"
