@@ -227,6 +227,16 @@ def query_focus(question: Column) -> Column:
     return F.when(F.lower(strip(question)).rlike(f"^(?:{GREETINGS})"), "").otherwise(concept_focus(question))
 
 
+QUEUE_FORMS = ("^(.+?)とは$", "^(.+?)って何$", "^(.+?)について教えて$", "^(.+?)を説明して$", "^(.+?)を簡単に説明して$", "^(.+?)は$")
+
+
+def queue_concept(question: Column) -> Column:
+    """E10 as the queue has it: the concept of one of six forms, or a bare word of up to 40 characters; else empty."""
+    q = F.regexp_replace(strip(question), "[。、，, ]+$", "")
+    bare = F.when((F.length(q) <= 40) & ~q.rlike(r"[\s。、！？!?，,:：;；]"), q).otherwise("")
+    return F.coalesce(*[strip(group(q, p)) for p in QUEUE_FORMS], bare)
+
+
 def bare_focus(question: Column) -> Column:
     """A bare concept: an ASCII identifier or kanji and katakana, at most 24 characters; else empty."""
     q = strip(question)
@@ -480,3 +490,33 @@ def bare_route(question: Column, validated: Column, conversational: Column) -> C
         focus.alias("focus"),
         ((focus != "") & ~validated & ~conversational).alias("blocked"),
     )
+
+
+# What marks questions of identity, of the persona, of knowledge, and paraphrases of these.
+IDENTITY_PATTERNS = ("あなたは誰", "名前", "自己紹介")
+PERSONA_PATTERNS = (
+    "あなたは誰", "自己紹介", "名前", "本は好き", "読書", "人間について", "人について", "感情", "怒って", "楽しい", "寂しい", "好きな場所",
+    "好きな時間", "学校は", "勉強は好き", "何をしていますか", "今日はどう", "元気ですか",
+)
+KNOWLEDGE_PATTERNS = ("AI", "人工知能", "LLM", "大規模言語モデル", "コンピュータ", "GPU", "CUDA", "量子力学", "量子コンピュータ", "Semantic", "セマンティック")
+PARAPHRASE_PATTERNS = ("って何", "について教えて", "簡単に説明", "知りたい")
+PERSONA_NAME = "長門有希"
+
+
+def pair_class(user: Column, answer: Column) -> Column:
+    """Identity, persona, paraphrase, knowledge or other: the first that fits decides how often a pair is repeated."""
+    q = strip(user)
+    has = lambda terms: q.rlike("|".join(terms))
+    return (
+        F.when(has(IDENTITY_PATTERNS), "identity")
+        .when(has(PERSONA_PATTERNS) | answer.contains(PERSONA_NAME), "persona")
+        .when(has(KNOWLEDGE_PATTERNS) & has(PARAPHRASE_PATTERNS), "paraphrase")
+        .when(has(KNOWLEDGE_PATTERNS), "knowledge")
+        .otherwise("other")
+    )
+
+
+def pair_copies(user: Column, answer: Column, weights: dict[str, int]) -> Column:
+    """Copies of a pair by its class; classes without a weight, and weights under 1, are 1."""
+    table = F.create_map(*[F.lit(x) for k, n in weights.items() for x in (k, max(1, n))])
+    return F.coalesce(table[pair_class(user, answer)], F.lit(1))

@@ -157,3 +157,51 @@ def packed(prompt: Column, answer: Column, context: int, pad: int, end: int) ->
     keep = F.greatest(F.lit(1), F.lit(size) - F.size(answer))
     left = F.when(F.size(prompt) + F.size(answer) > size, F.slice(prompt, F.greatest(F.size(prompt) - keep, F.lit(0)) + 1, keep)).otherwise(prompt)
     return let(let(left, cut_answer), build)
+
+
+# Prompts.
+_FROM_EVIDENCE = "要求: 根拠に含まれる情報だけを使い、対象が何をするものかを一文で簡潔に説明してください。根拠にない内容は追加しないでください"
+_FROM_KNOWLEDGE = "要求: action・target・purpose を学習済み知識から推定し、対象の機能を簡潔に説明してください"
+_FROM_STRUCTURE = "要求: この機能構造に対応する学習済みの説明を簡潔に答えてください"
+
+
+def _lines(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def concept_prompts(concept: Column, relation: Column) -> Column:
+    """The two prompts of a concept under a relation."""
+    long = _lines("概念: ", concept, "\n関係: ", relation, "\n要求: この概念について、学習済みの内容だけを使って簡潔に説明してください")
+    return F.array(long, _lines("主語=", concept, " / 関係=", relation, "\nこの関係に対応する説明を回答してください"))
+
+
+def role_prompts(subject: Column, relation: Column) -> Column:
+    """The long and the compact prompt of a role."""
+    long = _lines("主語: ", subject, "\n意味役割: ", relation, "\n要求: 学習済みの内容だけを使って、この役割に対応する説明を簡潔に答えてください")
+    return F.array(long, _lines("subject=", subject, " relation=", relation, " -> ?"))
+
+
+def evidence_queries(subject: Column) -> Column:
+    """The three questions of the first pass, which name the subject alone."""
+    s = collapse(subject)
+    return F.array(*[F.concat(s, F.lit(tail)) for tail in ("とは", "は何をするものですか", "の役割は何ですか")])
+
+
+def function_prompts(subject: Column, slots: Column) -> Column:
+    """The long and the compact prompt of a function whose slots (action, target, purpose) are known."""
+    a, t, p = slots["action"], slots["target"], slots["purpose"]
+    long = _lines("主語: ", subject, "\n意味役割: function\naction: ", a, "\ntarget: ", t, "\npurpose: ", p, "\n" + _FROM_STRUCTURE)
+    return F.array(long, _lines("subject=", subject, " function.action=", a, " function.target=", t, " function.purpose=", p, " -> ?"))
+
+
+def inference_prompts(subject: Column) -> Column:
+    """The same without slots."""
+    s = collapse(subject)
+    long = _lines("主語: ", s, "\n意味役割: function\naction: ?\ntarget: ?\npurpose: ?\n" + _FROM_KNOWLEDGE)
+    return F.array(long, _lines("subject=", s, " relation=function function.action=? function.target=? function.purpose=? -> ?"))
+
+
+def compose_prompt(subject: Column, evidence: Column, slots: Column) -> Column:
+    """The prompt of the second pass, of evidence and its slots alone."""
+    parts = ("\n意味役割: function\naction: ", slots["action"], "\ntarget: ", slots["target"], "\npurpose: ", slots["purpose"], "\n根拠: ", collapse(evidence))
+    return _lines("主語: ", collapse(subject), *parts, "\n" + _FROM_EVIDENCE)

@@ -61,6 +61,12 @@ def upsert(store: DataFrame, new: DataFrame, key: str, order: str = "ord") -> Da
     return store.join(latest.select(key), key, "left_anti").unionByName(put)
 
 
+def upsert_truth(store: DataFrame, new: DataFrame, key: str = "concept", order: str = "ord") -> DataFrame:
+    """L2: upsert by the key in lower case; the record that takes the place brings its own spelling."""
+    low = F.lower(F.trim(F.col(key)))
+    return upsert(store.withColumn("_low", low), new.withColumn("_low", low), "_low", order).drop("_low")
+
+
 def status_counts(df: DataFrame, status: str, known: list[str], *keys: str) -> DataFrame:
     """A column for each known status, and `other` and `total`."""
     counts = [F.count_if(F.col(status) == s).alias(s) for s in known]

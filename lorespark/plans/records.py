@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, propositions, text
-from ..operators import knowledge, lifecycle, memory, resolve, stores
+from ..operators import knowledge, lifecycle, memory, metrics, resolve, runs, stores
 from .documents import read
-from .logs import PAIRS, SPACE_FREE, pairs
+from .logs import GRAMS, KEY, PAIRS, SPACE_FREE, _share, pairs
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -396,3 +396,76 @@ def customer_unknown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.where("c_nationkey % 2 = 0").select(F.lower("name").alias("concept"))
     counts = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("C"), "o_custkey").alias("concept"), "n")
     return resolve.unknown_gate(asked, known, counts, 9).withColumnRenamed("qid", "c_custkey")
+
+
+# --- runs of gates
+
+_GENERATED = "case conv_id % 4 when 0 then assistant when 1 then concat(assistant, ' and more') when 2 then \"user\" else repeat('ab', 20) end"
+
+
+def _malformed(key: str) -> str:
+    """E23 over a key (N4); the texts here are not empty and hold no replacement character."""
+    return f"(length({key}) >= 8 and (" + " or ".join(_share(n).replace("length(k)", f"length({key})").replace("substr(k,", f"substr({key},") for n in (1, 2, 3, 4)) + "))"
+
+
+PROBES = (
+    WORDED
+    + f""",
+g0 as (select conv_id, turn, concept, assistant as teacher, {_GENERATED} as generated from l where assistant <> ''),
+g1 as (select *, {KEY.format('teacher')} as kt, {KEY.format('generated')} as kg, {KEY.format('concept')} as kc from g0),
+g2 as (select *, {GRAMS.format('kt')} as b, {GRAMS.format('kg')} as a,
+         regexp_replace(case when kc <> '' and starts_with(kt, kc) then substr(kt, length(kc) + 1) else kt end, '^(?:は|とは)', '') as term from g1),
+g3 as (select *, case when len(a) = 0 and len(b) = 0 then 1.0 when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end as sem,
+         case when len(b) = 0 then 1.0 else len(list_intersect(a, b))::double / len(b) end as lex, case when length(term) < 2 or contains(kg, term) then 1.0::double else 0.0::double end as req, {_malformed('kg')} as bad from g2),
+g4 as (select *, list_filter([case when sem < 0.8 then 'semantic ' || printf('%.3f', sem) || ' < 0.800' end, case when lex < 0.35 then 'lexical ' || printf('%.3f', lex) || ' < 0.350' end,
+         case when req < 0.5 then 'required ' || printf('%.3f', req) || ' < 0.500' end], lambda x: x is not null) as fails from g3),
+g5 as (select *, len(fails) = 0 and not bad as passed, case when len(fails) > 0 then 'composite teacher fidelity: ' || array_to_string(fails, '; ')
+         when bad then 'malformed/repetitive output' else 'composite teacher fidelity passed' end as reason from g4)
+"""
+)
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as teachers; as generated ones they themselves, longer ones, the questions, and repetitions."""
+    generated = F.expr(_GENERATED.replace('"', ""))
+    rows = worded(spark, sf_dir).where("assistant <> ''").withColumn("user", F.col("user"))
+    rows = rows.select("conv_id", "turn", "concept", F.col("assistant").alias("teacher"), generated.alias("generated"))
+    return runs.probe_verdicts(rows.withColumn("semantic", metrics.jaccard(F.col("generated"), F.col("teacher"))))
+
+
+@query(f"with {PROBES} select conv_id, turn, round(sem, 9) as semantic, round(lex, 9) as lexical, req as required, passed, reason from g5")
+def conv_probe_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer as a probe of the gate."""
+    rows = probes(spark, sf_dir).select("conv_id", "turn", "semantic", "lexical", "required", "passed", "reason")
+    return rows.withColumns({c: F.round(c, 9) for c in ("semantic", "lexical")})
+
+
+@query(f"with {PROBES} select conv_id % 8 as run, count(*) as targets, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed, bool_and(passed) as ok from g5 group by 1")
+def conv_gate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight runs of the repair gate."""
+    return runs.gate_summary(probes(spark, sf_dir).withColumn("run", F.col("conv_id") % 8), "run")
+
+
+_COLLAPSED = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(
+    f"""with {WORDED}, s as (select distinct concept as subject from l where concept <> ''),
+m as (select concept as subject, {_COLLAPSED.format("arg_min(assistant, ord)")} as value, -1 as o from l where concept <> '' and conv_id % 2 = 0 group by concept),
+gen as (select concept as subject, {_COLLAPSED.format('assistant')} as value, 3 * ord as o from l where concept <> '' union all select concept, {_COLLAPSED.format('"user"')}, 3 * ord + 1 from l where concept <> ''
+        union all select concept, repeat('ab', 20), 3 * ord + 2 from l where concept <> ''),
+k as (select *, {KEY.format('value')} as k from gen), ok as (select subject, value, o from k where value <> '' and not {_malformed('k')} union all select * from m where value <> ''),
+one as (select subject, value, min(o) as o from ok group by subject, value),
+e as (select subject, string_agg(value, ' / ' order by o) as evidence, count(*)::int as items from one group by subject),
+c as (select concept as subject, any_value({_COLLAPSED.format('assistant')}) as said from l where concept <> '' group by concept having count(*) = 1 and any_value(conv_id) % 3 = 0 and any_value(assistant) <> '')
+select s.subject, evidence, coalesce(items, 0)::int as items, m.subject is not null as memory_hit, case when evidence is not null then coalesce(said, {_COLLAPSED.format('evidence')}) end as answer, case when evidence is not null then said is null end as used_fallback
+from s left join e using (subject) left join m on m.subject = s.subject and m.value <> '' left join c on c.subject = s.subject"""
+)
+def conv_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from memory and from distinct usable generations; the composed answer or what the slots give."""
+    rows = worded(spark, sf_dir).where("concept <> ''").withColumnRenamed("concept", "subject")
+    known = rows.where("conv_id % 2 = 0").groupBy("subject").agg(F.min_by("assistant", "ord").alias("evidence"))
+    texts = F.array(F.col("assistant"), F.col("user"), F.expr("repeat('ab', 20)"))
+    found = rows.select("subject", "ord", F.posexplode(texts).alias("i", "generated")).withColumn("ord", F.col("ord") * 3 + F.col("i"))
+    composed = rows.groupBy("subject").agg(F.count("*").alias("n"), F.first("conv_id").alias("c"), F.first("assistant").alias("generated")).where("n = 1 and c % 3 = 0")
+    return runs.two_pass_functions(rows.select("subject").distinct(), known, found, composed)

@@ -77,3 +77,14 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """The distinct trained fingerprints of state documents."""
     rows = spark.read.schema("trained_fingerprints array<string>").option("multiLine", True).json(path)
     return rows.select(F.explode("trained_fingerprints").alias("fingerprint")).distinct()
+
+
+def read_corpus(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+    """File, ord and line of a text corpus at path, or at fallback if there is nothing at path; neither is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in (path, fallback):
+        if p is not None:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            if at.getFileSystem(conf).globStatus(at):
+                return _lines(spark, p)
+    raise FileNotFoundError(f"no corpus at {path}" + (f" or {fallback}" if fallback else ""))
