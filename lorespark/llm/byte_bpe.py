@@ -25,8 +25,8 @@ from .word_bpe import byte_letters
 #: Bytes of text whose distinct words form one trie.
 TRIE_BYTES = 8 << 20
 #: Entries that a Python worker keeps of words and of token pairs.
-KEPT_WORDS = 200_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 120_000
+KEPT_PAIRS = 250_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: A space inside a run of white space, or the last of a run at the end: not a place to cut.
