@@ -25,14 +25,16 @@ from .word_bpe import byte_letters
 #: Bytes of text whose distinct words form one trie.
 TRIE_BYTES = 8 << 20
 #: Entries that a Python worker keeps of words and of token pairs.
-KEPT_WORDS = 120_000
-KEPT_PAIRS = 250_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: A space inside a run of white space, or the last of a run at the end: not a place to cut.
 _INSIDE = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|$)")
 _SAFE_CUT = re.compile(f"(?<=[^{_SPACE}]) | (?=[^{_SPACE}])")
 _PLAIN = re.compile("[\x21-\x7e\xc0-ɏ\n]*")
+#: The first character beyond those that _PLAIN has.
+_LATIN_END = "\u0250"
 # The split pattern of byte-level BPE files, here for ASCII and Latin letters (U+00C0 to U+024F).
 _SPLIT = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+"
@@ -144,6 +146,8 @@ class ByteBpe:
         return out
 
     def split(self, chunk: str) -> list[bytes]:
+        if chunk.isalpha() and max(chunk) < _LATIN_END:  # letters alone are one part
+            return [chunk.encode()]
         if _PLAIN.fullmatch(chunk[1:] if chunk[:1] == " " else chunk):
             return [p.encode() for p in _SPLIT.findall(chunk)]
         return [bytes([self.back[c] for c in p]) for p, _ in self.splitter.pre_tokenize_str(chunk)]
@@ -168,11 +172,11 @@ class ByteBpe:
         at_start = {run[0] for run in runs if run[0] not in self.first}
         after = {c for c in set().union(*[run[1:] for run in runs]) if c not in self.later}
         split_first = {c: self.split(c) for c in at_start}
-        split_later = {c: self.split(" " + c) for c in after}
+        split_later = {c: [b" " + c.encode()] if c.isalpha() and max(c) < _LATIN_END else self.split(" " + c) for c in after}
         words = set().union(*split_first.values(), *split_later.values()) if split_first or split_later else set()
         code = self.encode_words(words).__getitem__
         self.first.update((c, b"".join(map(code, s))) for c, s in split_first.items())
-        self.later.update((c, code(s[0]) if len(s) == 1 else b"".join(map(code, s))) for c, s in split_later.items())
+        self.later.update({c: code(s[0]) if len(s) == 1 else b"".join(map(code, s)) for c, s in split_later.items()})
         later, out = self.later.__getitem__, []
         for p in parts:
             made = []
