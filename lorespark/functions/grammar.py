@@ -9,13 +9,14 @@ from .text import clean_slot, let, plain_surface, similarity_key, strip
 
 # Vocabularies and patterns of the Japanese grammar.
 CONDITIONS = (
-    "高温 低温 常温 高負荷 低負荷 過負荷 空腹 満腹 雨天 晴天 曇天 降雨時 降雪時 夜間 昼間 異常 正常 緊急時 停止時 起動時 "
-    "終了時 実行時 動作時 待機時 接続時 切断時 通信時 学習時 推論時 訓練時 高圧 低圧 高電圧 低電圧 高湿度 低湿度"
-).split()
+    "高温", "低温", "常温", "高負荷", "低負荷", "過負荷", "空腹", "満腹", "雨天", "晴天", "曇天", "降雨時", "降雪時", "夜間", "昼間",
+    "異常", "正常", "緊急時", "停止時", "起動時", "終了時", "実行時", "動作時", "待機時", "接続時", "切断時", "通信時", "学習時", "推論時",
+    "訓練時", "高圧", "低圧", "高電圧", "低電圧", "高湿度", "低湿度",
+)
 CONDITION_ENDS = "(?:時|中|時点|状態|環境|状況|条件)$"
 WEATHER = "(?:雨|雪|晴|曇).*(?:日|天|時)$"
 SCALAR_STATE = "(?:高|低|過)(?:温|負荷|圧|電圧|湿度)$"
-HINTS = "日本 東京 文学 数学 CPU GPU AI LLM CUDA".split()
+HINTS = ("日本", "東京", "文学", "数学", "CPU", "GPU", "AI", "LLM", "CUDA")
 QUESTION_ENDS = "どうなる|どうなりますか|どうなるの|どうなります|何が起きる|何が起こる"
 RELATION_MARKS = "を利用可能|を利用する|を使用する|に依存する|に接続する|を含む|に属する|と関係する|から成る|で構成される"
 CAPABILITY_MARKS = "が得意|を実行できる|ができる|できる|が可能|可能である|に対応|を処理できる|を生成できる|を計算できる"
@@ -35,7 +36,8 @@ CAUSE = "原因|起因|によって|なので|ゆえに|結果として|ため
 DEFINITION = "と言われ|と呼ば|である|であり|とは"
 NEGATIONS = "ではない|でない|しない|できない|行わない|利用しない|不可能|存在しない"
 NOUN = "[一-龯々ァ-ヶーA-Za-z0-9・]"
-STOP_CONCEPTS = "これ それ あれ ここ そこ ため もの こと 私 あなた 貴方 人間 場合 よう ところ".split()
+STOP_TERMS = ("もの", "こと", "ため", "これ", "それ", "ある", "いる", "なる", "できる")
+STOP_CONCEPTS = ("これ", "それ", "あれ", "ここ", "そこ", "ため", "もの", "こと", "私", "あなた", "貴方", "人間", "場合", "よう", "ところ")
 
 
 def group(text: Column, pattern: str, i: int = 1) -> Column:
@@ -206,6 +208,7 @@ def runtime_input(source: Column, raw: Column) -> Column:
 
 # --- questions
 
+# Forms of questions, in order.
 FOCUS_FORMS = (
     "^(.+?)とは$",
     "^(.+?)って何$",
@@ -227,6 +230,7 @@ def query_focus(question: Column) -> Column:
     return F.when(F.lower(strip(question)).rlike(f"^(?:{GREETINGS})"), "").otherwise(concept_focus(question))
 
 
+# The forms that the queue knows, in order.
 QUEUE_FORMS = ("^(.+?)とは$", "^(.+?)って何$", "^(.+?)について教えて$", "^(.+?)を説明して$", "^(.+?)を簡単に説明して$", "^(.+?)は$")
 
 
@@ -301,6 +305,7 @@ def input_fault(text: Column) -> Column:
     )
 
 
+# Reasons that mark a fault of the input, and a gap in what was learned.
 INPUT_MARKS = (
     "malformed repeated intent|malformed technical-term suffix|incoherent multi-concept input|malformed short technical query|"
     "empty input|missing query subject"
@@ -328,6 +333,7 @@ def resolution(accepted: Column, reason: Column, question: Column) -> Column:
 
 # --- function slots (E17), concepts (A8, E19), terms
 
+# Names of actions and their words, in order.
 ACTIONS = (
     ("execute", "実行"),
     ("process", "処理"),
@@ -367,6 +373,7 @@ def informative_slots(slots: Column) -> Column:
     )
 
 
+# How statements begin that are about a concept, in order.
 CONCEPT_FORMS = ("^([^、。！？!?]{2,24})は", "^([^、。！？!?]{2,24})も", "^([^、。！？!?]{2,24})とは", "^([^、。！？!?]{2,24})の定義は")
 
 
@@ -393,7 +400,7 @@ def required_terms(answer: Column, concept: Column) -> Column:
     tail = F.when((name != "") & F.startswith(text, name), F.substring(text, F.length(name) + 1, F.length(text))).otherwise(text)
     tail = F.regexp_replace(F.regexp_replace(tail, "^(?:は|とは)", ""), "(?:である|です|だ)$", "")
     parts = F.split(tail, "(?:を|に|で|が|は|と|して|する|行う|利用|ため|の)")
-    stop = F.array(*[F.lit(w) for w in "もの こと ため これ それ ある いる なる できる".split()])
+    stop = F.array(*[F.lit(w) for w in STOP_TERMS])
     terms = F.array_distinct(F.filter(F.transform(parts, strip), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
     category = group(strip(answer), "([一-龯々ァ-ヶーA-Za-z0-9]{2,12})(?:である|です|だ)$")
     adds = category.isNotNull() & (category != concept) & ~F.array_contains(terms, category)

@@ -11,7 +11,7 @@ from .text import collapse, let, similarity_key, strip
 # Markers, templates and cues.
 NEGATIVE = "ではない|でない|しない|存在しない|ない|無い|なく|ぬ"
 CONDITION = (r"^([^、。]{2,40}(?:場合|とき|時|なら|では|において))、(.+)$", r"^(この理論では)\s*(.+)$")
-CONTEXTS = "観測上 外から 中では 空間内 時間軸上 この世界では".split()
+CONTEXTS = ("観測上", "外から", "中では", "空間内", "時間軸上", "この世界では")
 OBJECT_PREDICATES = (("存在", "exists"), ("進行", "progresses"), ("膨張", "expands"), ("観測", "observed_as"))
 RELATIONS = {
     "includes": "を含む",

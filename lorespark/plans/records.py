@@ -469,3 +469,73 @@ def conv_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.select("subject", "ord", F.posexplode(texts).alias("i", "generated")).withColumn("ord", F.col("ord") * 3 + F.col("i"))
     composed = rows.groupBy("subject").agg(F.count("*").alias("n"), F.first("conv_id").alias("c"), F.first("assistant").alias("generated")).where("n = 1 and c % 3 = 0")
     return runs.two_pass_functions(rows.select("subject").distinct(), known, found, composed)
+
+
+# --- the cascade of stores, its dispatch and the truth overlay
+
+
+_CASE = "concat('C', lpad(cast(c_custkey as varchar(9)), 6, '0'))"
+_ASKED = "case c_custkey % 4 when 0 then concat(name, 'とは') when 1 then name when 2 then concat(name, 'の特徴は') else concat('some text about ', name, ' then') end"
+_ACTIONS = "case state " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in resolve.DISPATCH.items()) + " end"
+_ROUTES = "case state " + " ".join(f"when '{k}' then '{v[1]}'" for k, v in resolve.DISPATCH.items()) + " end"
+
+
+@query(
+    f"""with c as (select c_custkey as k, {_CASE} as name, c_custkey % 24 // 4 as store, c_mktsegment as seg, c_custkey % 4 as form, {_ASKED.replace('name', _CASE)} as asked from customer),
+o as (select o_custkey, count(*) as n from orders group by 1),
+s as (select c.*, coalesce(n, 0) as n, store < 4 as known from c left join o on o_custkey = k),
+r as (select *, form = 1 and not known as blocked, case when form = 1 and known then name || 'とは' else asked end as question from s),
+t as (select *, case when blocked then 'UNKNOWN' when form = 3 then 'NON_CONCEPT' when form = 2 then case when store = 0 then 'TYPED' else 'UNKNOWN' end
+    when store = 0 then 'TYPED' when store = 1 then 'CANONICAL' when store = 2 then 'UNIFIED' when store = 3 then case when k % 7 < 4 then 'INTERNALIZED' else 'INTERNALIZED_STALE' end
+    when n >= 9 then 'RAW_CORPUS_ONLY' else 'UNKNOWN' end as state from r),
+u as (select *, case when form = 3 then '' when form = 2 and state = 'UNKNOWN' then name || 'の特徴' else name end as focus,
+    case state when 'TYPED' then name || 'は、' || seg || 'である。' when 'CANONICAL' then 'canonical ' || seg when 'UNIFIED' then 'unified ' || seg else '' end as said,
+    case when state = 'TYPED' then 'property' else '' end as predicate_type, state not in ('UNKNOWN', 'NON_CONCEPT') as overlaid from t),
+v as (select *, case when not overlaid then null when k % 5 = 0 then 'FALSE' when k % 5 = 1 then 'TRUE' when k % 5 = 2 then 'CONTESTED' when k % 5 = 3 then 'OUTDATED' else 'UNVERIFIED' end as truth,
+    case when k % 10 = 0 then 'fixed' else '' end as fix from u)
+select k as qid, question, state, focus, case when truth in ('FALSE', 'OUTDATED') then fix else said end as answer, predicate_type, blocked as bare_blocked,
+  case when truth in ('FALSE', 'OUTDATED') then case when fix <> '' then 'RETRIEVE' else 'BLOCK' end else {_ACTIONS} end as action,
+  case when truth in ('FALSE', 'OUTDATED') then case when fix <> '' then 'truth-state correction' else 'truth-state block' end else {_ROUTES} end as route, truth,
+  case when truth = 'TRUE' then 'PASS' when truth in ('FALSE', 'OUTDATED') then case when fix <> '' then 'CORRECTED' else 'BLOCK' end when truth is not null then 'WARN' end as runtime_status,
+  case truth when 'TRUE' then '' when 'UNVERIFIED' then 'knowledge is unverified' when 'CONTESTED' then 'knowledge is contested: ' || seg
+    when 'FALSE' then case when fix <> '' then 'original knowledge is false; stored correction applied' else 'knowledge is false' end
+    when 'OUTDATED' then case when fix <> '' then 'original knowledge is outdated; stored correction applied' else 'knowledge is outdated' end end as warning from v"""
+)
+def customer_facade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about customers, of whom each store knows a part, bare ones among them."""
+    rows = read(spark, sf_dir, "customer").withColumn("name", F.expr(_CASE)).withColumn("store", F.floor(F.col("c_custkey") % 24 / 4))
+    part = lambda i: rows.where(F.col("store") == i)
+    asked = rows.select(F.col("c_custkey").alias("qid"), F.expr(_ASKED).alias("question"))
+    facts = part(0).select(F.col("name").alias("subject"), F.col("c_mktsegment").alias("value"), F.col("c_custkey").alias("ord"))
+    canonical = part(1).select(F.lower("name").alias("concept"), F.concat(F.lit("canonical "), "c_mktsegment").alias("answer"))
+    unified = part(2).select(F.col("name").alias("concept"), F.concat(F.lit("unified "), "c_mktsegment").alias("assistant"), F.col("c_custkey").alias("ord"))
+    trained = part(3).select(F.lower("name").alias("concept"), (F.col("c_custkey") % 7 < 4).alias("bound"))
+    orders = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey").groupBy("c_custkey").agg(F.count("*").alias("n"))
+    counts = orders.select(F.expr(_CASE).alias("concept"), "n")
+    state = F.get(F.array(*map(F.lit, ("FALSE", "TRUE", "CONTESTED", "OUTDATED"))), (F.col("c_custkey") % 5).cast("int"))
+    fix = F.when(F.col("c_custkey") % 10 == 0, "fixed").otherwise("")
+    truth = rows.where("c_custkey % 5 < 4").select(F.lower("name").alias("concept"), state.alias("truth"), F.col("c_mktsegment").alias("reason"), fix.alias("correction"))
+    return resolve.facade(asked, facts, canonical, unified, trained, counts, truth, 9)
+
+
+@query(
+    f"""with {PAIRS}, x as (select "user" as u, assistant as v, {SPACE_FREE.format('"user"')} as p, {SPACE_FREE.format('assistant')} as q from p
+  union all select "user", lead(assistant) over (order by conv_id, turn), {SPACE_FREE.format('"user"')}, {SPACE_FREE.format('lead(assistant) over (order by conv_id, turn)')} from p where conv_id % 4 = 0
+  union all select "user" || '！！', '未学習です', {SPACE_FREE.format("\"user\" || '！！'")}, {SPACE_FREE.format("'未学習です'")} from p where conv_id % 6 = 1)
+select 'exact' as "check", u as prompt, count(distinct v) as n from x where v is not null group by u having count(distinct v) > 1
+union all select 'normalized', p, count(distinct q) from x where v is not null group by p having count(distinct q) > 1
+union all select 'length', p, count(*) from x where v is not null group by p having count(*) > 1 and max(greatest(length(q), 1)) >= 2.5 * min(greatest(length(q), 1))
+union all select 'unknown_target', u, count(*) from x where contains(v, '未学習です') group by u"""
+)
+def conv_planted_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of whole prompts, with conflicts planted among them: the answer of the next pair, and the unknown
+    reply under another punctuation."""
+    from ..operators import audit
+    from ..operators.ranges import positions
+
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", "user", "assistant")
+    some = positions(rows.where("conv_id % 4 = 0"), [], ["conv_id", "turn"], "at")
+    following = some.select((F.col("at") - 1).alias("at"), F.col("assistant").alias("next"))
+    swapped = some.join(following, "at").select("user", F.col("next").alias("assistant"))
+    unknown = rows.where("conv_id % 6 = 1").select(F.concat("user", F.lit("！！")).alias("user"), F.lit("未学習です").alias("assistant"))
+    return audit.conflicts(rows.select("user", "assistant").unionByName(swapped).unionByName(unknown), "user", "assistant", "未学習です")
