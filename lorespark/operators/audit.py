@@ -11,10 +11,12 @@ from ..functions import text
 from . import metrics
 
 
-def labelled_characters(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """(key, token): each character of the value with the number of its occurrence."""
-    chars = df.select(key, F.explode(F.regexp_extract_all(value, F.lit("(?s)(.)"), F.lit(1))).alias("c"))
-    counts = chars.groupBy(key, "c").agg(F.count("*").alias("n"))
+def labelled_grams(df: DataFrame, key: str, value: Column, n: int = 1) -> DataFrame:
+    """(key, token): each n-gram of the value with the number of its occurrence; shorter values have none."""
+    places = F.sequence(F.lit(1), F.length("v") - (n - 1))
+    cut = F.transform(places, lambda i: F.substring(F.col("v"), i, F.lit(n)))
+    grams = df.select(key, value.alias("v")).where(F.length("v") >= n).select(key, F.explode(cut).alias("c"))
+    counts = grams.groupBy(key, "c").agg(F.count("*").alias("n"))
     return counts.select(key, F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat("c", i.cast("string")))).alias("token"))
 
 
@@ -35,7 +37,8 @@ def prefix_pairs(tokens: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, key: str, value: str, threshold: float, n: int = 2) -> DataFrame:
-    """All pairs (a, b, score), a < b, of rows with distinct keys whose n-gram Jaccard is at least threshold."""
+    """All pairs (a, b, score), a < b, of rows with distinct keys whose n-gram Jaccard is at least threshold. Texts
+    without any n-gram (empty, or punctuation alone) are in no pair."""
     grams = df.select(key, F.explode(text.char_ngrams(F.col(value), n)).alias("token"))
     found = prefix_pairs(grams, key, threshold)
     left, right = df.select(F.col(key).alias("a"), F.col(value).alias("x")), df.select(F.col(key).alias("b"), F.col(value).alias("y"))
@@ -45,14 +48,23 @@ def similar_pairs(df: DataFrame, key: str, value: str, threshold: float, n: int
 
 def near_conflicts(df: DataFrame, key: str, user: str, assistant: str, prompt: float = 0.82, answer: float = 0.45) -> DataFrame:
     """Pairs of prompts at least `prompt` alike whose answers are less than `answer` alike: a, b, prompt_sim,
-    answer_sim. Of equal normal forms the row with the least key stands for all. The ratio of two texts is at most twice
-    their common characters over all, so only pairs with enough of them are compared."""
+    answer_sim. Of equal normal forms the row with the least key stands for all.
+
+    The ratio is twice the matched characters M over all of them, N. So only pairs with enough characters in common are
+    candidates. Of these the ratio, a loop in Python, is computed for those with enough bigrams in common: between two
+    blocks of matches at least one character is unmatched, so M characters in blocks keep 3 M - N - 1 bigrams at least.
+    """
     rows = df.select(key, text.prompt_key(F.col(user)).alias("p"), text.prompt_key(F.col(assistant)).alias("q"))
     rows = rows.groupBy("p").agg(F.min(F.struct(key, "q")).alias("r")).select("p", f"r.{key}", "r.q")
-    found = prefix_pairs(labelled_characters(rows, key, F.col("p")), key, prompt / (2 - prompt))
-    left = rows.select(F.col(key).alias("a"), F.col("p").alias("p1"), F.col("q").alias("q1"))
-    right = rows.select(F.col(key).alias("b"), F.col("p").alias("p2"), F.col("q").alias("q2"))
-    both = found.join(left, "a").join(right, "b").withColumn("prompt_sim", metrics.sequence_ratio("p1", "p2"))
+    found = prefix_pairs(labelled_grams(rows, key, F.col("p")), key, prompt / (2 - prompt))
+    none = F.array().cast("array<string>")
+    grams = labelled_grams(rows, key, F.col("p"), 2).groupBy(key).agg(F.collect_list("token").alias("g"))  # of one prompt
+    rows = rows.join(grams, key, "left").withColumn("g", F.coalesce("g", none))
+    left = rows.select(F.col(key).alias("a"), F.col("p").alias("p1"), F.col("q").alias("q1"), F.col("g").alias("g1"))
+    right = rows.select(F.col(key).alias("b"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("g").alias("g2"))
+    total = F.length("p1") + F.length("p2")
+    enough = F.size(F.array_intersect("g1", "g2")) >= (1.5 * prompt - 1) * total - 1 - 1e-9
+    both = found.join(left, "a").join(right, "b").where(enough).withColumn("prompt_sim", metrics.sequence_ratio("p1", "p2"))
     both = both.where(F.col("prompt_sim") >= prompt).withColumn("answer_sim", metrics.sequence_ratio("q1", "q2"))
     return both.where(F.col("answer_sim") < answer).select("a", "b", "prompt_sim", "answer_sim")
 

@@ -158,3 +158,36 @@ def test_prefixed_pairs_keep_their_file(spark):
     lines = [("f", 0, "人: a"), ("g", 0, "人: b"), ("f", 1, "AI: x"), ("g", 1, "AI: y")]
     rows = jsonl.pair_prefixed(spark.createDataFrame(lines, "file string, ord int, line string"))
     assert sorted(map(tuple, rows.collect())) == [("f", 1, "a", "x"), ("g", 1, "b", "y")]
+
+
+def test_near_conflicts_of_edited_prompts(spark):
+    """Whole prompts with edits planted in them, at several thresholds, against all pairs."""
+    import difflib
+    import random
+
+    from lorespark.operators import audit
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    base = [" ".join(word() for _ in range(rng.randrange(2, 12))) for _ in range(40)]
+    prompts = list(base)
+    for t in base:
+        for share in (0.05, 0.15, 0.3):
+            cs = list(t)
+            for _ in range(max(1, int(len(cs) * share))):
+                i = rng.randrange(len(cs))
+                cs[i : i + 1] = rng.choice([[], ["z"], [cs[i], "y"]])
+                cs = cs or ["a"]
+            prompts.append("".join(cs))
+    rows = [(i, t, rng.choice(["yes it is", "no never", t])) for i, t in enumerate(prompts)]
+    clean = lambda t: re.sub(r"[。.!！?？]+$", "", re.sub(r"\s+", "", t)).lower()
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    first = {}
+    for i, t, a in rows:
+        first.setdefault(clean(t), (i, clean(a)))
+    df = spark.createDataFrame(rows, "id int, q string, a string")
+    for prompt in (0.6, 0.82, 0.95):
+        keys = sorted((i, p, a) for p, (i, a) in first.items() if p)
+        want = {(i, j) for i, p, a in keys for j, r, b in keys if i < j and ratio(p, r) >= prompt and ratio(a, b) < 0.45}
+        got = {(r.a, r.b) for r in audit.near_conflicts(df, "id", "q", "a", prompt=prompt).collect()}
+        assert got == want and got
