@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates, grammar, propositions, text
+from ..session import materialize
 from . import curate, memory, stores
 
 # What a statement gains or loses for each cue, and the question forms.
@@ -85,7 +86,8 @@ def discovered_concepts(rows: DataFrame, least: int = 2, most: int = 200) -> Dat
     """Concept and n of the concepts that begin at least `least` statements, the `most` frequent ones (ties by name).
     rows: ord, sentence."""
     named = rows.select(grammar.leading_concept(text.clean_statement(F.col("sentence"))).alias("concept")).where("concept is not null")
-    return named.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "concept").limit(most)
+    found = named.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "concept").limit(most)
+    return materialize(found, "concepts")  # `most` rows, so that no reader counts the corpus again
 
 
 def merged_propositions(rows: DataFrame, concepts: DataFrame, most_chars: int = 180, k: int = 8) -> DataFrame:
@@ -98,7 +100,7 @@ def merged_propositions(rows: DataFrame, concepts: DataFrame, most_chars: int =
     found = held.withColumn("p", propositions.rich_proposition(F.col("concept"), F.col("statement"))).where("p is not null")
     score = propositions.proposition_score(F.col("p"))
     place = F.struct((-score["score"]).alias("score"), (-score["fit"]).alias("fit"), (-score["short"]).alias("short"), F.col("ord"))
-    found = found.select("concept", "ord", F.col("statement").alias("source"), "p.*", place.alias("place"))
+    found = materialize(found.select("concept", "ord", F.col("statement").alias("source"), "p.*", place.alias("place")), "propositions")
     bare = F.regexp_replace("object", rf"[、。]|{text.SPACE}", "")
     keyed = found.select(F.concat(F.col("polarity").cast("string"), F.lit(":"), F.col("concept")).alias("key"), "place", bare.alias("bare"))
     kept = curate.greedy_prefix_dedup(keyed, "key", "place", "bare").select("key", "place")
@@ -111,7 +113,7 @@ def semantic_merge(best: DataFrame, budget: int = 280, clauses: int = 6) -> Data
     """D3: concept, user, assistant, form, n: an answer of the best propositions (see merged_propositions) under four
     questions; n counts the propositions that were chosen, clauses join in order while the budget lasts."""
     said = propositions.clause(F.col("concept"), F.struct("predicate", "object", "condition", "context"))
-    rows = best.withColumn("clause", said).withColumnRenamed("rank", "place")
+    rows = materialize(best.withColumn("clause", said).withColumnRenamed("rank", "place"), "clauses")
     n = rows.groupBy("concept").agg(F.count("*").alias("n"))
     held = curate.within_budget(rows.where(F.col("place") <= clauses), "concept", [F.col("place")], F.length("clause"), budget)
     start = F.concat("concept", F.lit("は、"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..session import materialize, ship
+from ..session import forget, materialize, ship
 from ..sources.versions import VersionedTables
 from . import knowledge
 
@@ -75,13 +75,16 @@ def apply_changes(store: VersionedTables, batch: str, changes: DataFrame, others
     touched = added.select("subject").distinct()
     before = facts.join(touched, "subject", "left_semi")
     after = before.join(added, ["subject", "value"], "left_anti").unionByName(added.where("not _gone").select(*before.columns))
+    after = materialize(after, "touched-facts")  # the touched subjects' facts, read by all that is derived
     for table, rows in derived(after).items():
         keys = store.keys[table]
         old = store.read(table).join(touched.withColumnRenamed("subject", keys[0]), keys[0], "left_semi")
         stage.put(table, rows, old.join(rows, keys, "left_anti"))
     for table, rows in (others or {}).items():
         stage.put(table, rows)
-    return stage.commit()
+    version = stage.commit()
+    forget(net, after)
+    return version
 
 
 def enqueue(store: VersionedTables, batch: str, concepts: DataFrame) -> int:
@@ -105,6 +108,7 @@ def judged(requests: DataFrame, pending: DataFrame) -> DataFrame:
     """
     rows = requests.select("ord", text.fragment(F.col("concept")).alias("concept"), text.strip(F.col("statement")).alias("statement"))
     rows = rows.withColumn("p", knowledge.promotion(F.col("concept"), F.col("statement"))).withColumn("routed", grammar.bare_concept(F.col("concept")) != "")
+    rows = materialize(rows, "read-requests")  # the grammar runs once, for the rows and for the first ones of concepts
     rows = rows.join(pending.select("concept", F.lit(True).alias("asked")), "concept", "left")
     valid = F.col("p.ok") & F.col("asked").isNotNull()
     first = rows.where(valid).groupBy("concept").agg(F.min("ord").alias("first"))
@@ -125,4 +129,6 @@ def promote(store: VersionedTables, batch: str, requests: DataFrame) -> int:
     taught = found.where("taught").select(F.col("concept").alias("subject"), "ord", F.posexplode("values").alias("pos", "value"), F.lit(1).alias("sign"))
     marked = found.where("promoted").select("concept", F.lit("promoted").alias("status"), "statement")
     results = found.select("ord", "concept", "statement", "promoted", "reason", F.when(F.col("taught"), F.size("values")).otherwise(0).alias("n"))
-    return apply_changes(store, batch, taught, {"queue": marked, "results": results})
+    version = apply_changes(store, batch, taught, {"queue": marked, "results": results})
+    forget(found)
+    return version

@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MANIFEST = "version int, batch string, folder string, tables array<string>, base boolean"
-
 
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
@@ -34,13 +32,20 @@ class VersionedTables:
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
-    def manifests(self) -> list:
-        """One row a committed version, in order."""
+    def manifests(self) -> list[dict]:
+        """One small document a committed version, in order; read by the driver."""
+        sc = self.spark.sparkContext
         path = self._path(f"{self.root}/_versions")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not files.exists(path):
             return []
-        rows = self.spark.read.schema(_MANIFEST).option("pathGlobFilter", "*.json").json(f"{self.root}/_versions").collect()
-        return sorted(rows, key=lambda r: r["version"])
+        found = []
+        for entry in files.listStatus(path):
+            if entry.getPath().getName().endswith(".json"):
+                stream = files.open(entry.getPath())
+                found.append(json.loads(sc._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+        return sorted(found, key=lambda r: r["version"])
 
     def version(self) -> int:
         """The committed version; 0 before the first."""
