@@ -17,7 +17,7 @@ STRENGTH = 4.0
 ALPHABET = 256.0
 #: Grams (about 60 bytes each) that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_GRAMS = 250_000
-#: Rules that a list may have, since they are tested one by one.
+#: Rules that are tested one by one, in one expression; longer lists are joined.
 MAX_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PAD = "\x02" * ORDER
@@ -37,8 +37,6 @@ def with_host_and_path(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, the first listed of equally long ones; null if none."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
     fits = []
@@ -49,6 +47,32 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits)
 
 
+def with_rules(urls: DataFrame, rules: list[Rule], most: int = MAX_RULES) -> DataFrame:
+    """urls (url distinct, host, path) with rule and verdict, as matched_rule has them; null if none fits.
+
+    More than `most` rules are joined by the host's ends and by a beginning of the path: a rule by its longest one of 0, 1,
+    2, 4, ... characters, so a url makes one probe for each end and such length, however many rules a host has.
+    """
+    if len(rules) <= most:
+        rows = urls.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
+        return rows.select(*urls.columns, F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
+    listed = []
+    for place, (verdict, rule) in enumerate(rules):
+        name, slash, tail = rule.partition("/")
+        tail = slash + tail
+        size = 1 << (len(tail).bit_length() - 1) if tail else 0
+        listed.append((name, tail[:size], size, tail, rule, verdict, place))
+    schema = "name string, head string, size int, tail string, rule string, verdict string, place int"
+    table = small(urls.sparkSession.createDataFrame(listed, schema))
+    sizes = F.array(*[F.lit(n) for n in sorted({row[2] for row in listed})])
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    probes = urls.select("url", "path", F.explode(ends).alias("name")).withColumn("size", F.explode(sizes)).where(F.length("path") >= F.col("size"))
+    held = probes.withColumn("head", F.substr("path", F.lit(1), F.col("size"))).join(table, ["name", "size", "head"]).where(F.startswith("path", "tail"))
+    best = held.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), -F.col("place"))).alias("m"))
+    return urls.join(best, "url", "left").select(*urls.columns, F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
+
+
 def _grams(rows: DataFrame, key: str) -> DataFrame:
     """key and, for each character of the url, the gram of that character and the ORDER characters before it."""
     padded = F.concat(F.lit(_PAD), F.coalesce("url", F.lit("")))
@@ -88,9 +112,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_c
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     urls = with_host_and_path(rows.select("url").distinct())
-    urls = urls.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
-    urls = urls.select("url", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
-    urls = materialize(urls, "urls")
+    urls = materialize(with_rules(urls, rules), "urls")
     table = materialize(gram_scores(_grams(urls.select("verdict", "url"), "verdict")), "grams")
     scored = _grams(urls.select("url"), "url").join(small(table, BROADCAST_GRAMS), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
     urls = urls.join(scored, "url", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))

@@ -558,6 +558,31 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df, []).count() == len(urls)
 
 
+def test_many_url_rules(spark):
+    """A long list by joins against the rules tested one by one."""
+    rng = np.random.default_rng(7)
+    pick = lambda *x: str(rng.choice(list(x)))
+    name = lambda: ".".join(pick("a", "b", "com", "net") for _ in range(int(rng.integers(1, 4))))
+    path = lambda: "".join("/" + pick("", "x", "yy", "en", "long-part") for _ in range(int(rng.integers(0, 4))))
+    rules = [(pick("allow", "block"), name() + path()) for _ in range(1500)] + [("block", "/x"), ("allow", "")]
+    hosts = [name() for _ in range(60)] + ["", "a.", "zz.a.com"]
+    urls = sorted({(f"http://{h}{p}", h, p) for h in hosts for p in [path() for _ in range(12)]})
+    df = spark.createDataFrame(urls, "url string, host string, path string")
+
+    def fits(host, path, rule):
+        n, slash, tail = rule.partition("/")
+        return (host == n or host.endswith("." + n)) and path.startswith(slash + tail)
+
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.with_rules(df, rules).collect()}
+    for url, host, p in urls:
+        found = [(-len(r), i) for i, (_, r) in enumerate(rules) if fits(host, p, r)]
+        want = (rules[min(found)[1]][1], rules[min(found)[1]][0]) if found else (None, None)
+        assert got[url] == want, url
+    few = rules[:40]
+    one = lambda most: sorted(map(str, url_filter.with_rules(df, few, most).collect()))
+    assert one(1000) == one(0)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
