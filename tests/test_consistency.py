@@ -70,3 +70,10 @@ def test_another_similarity(spark):
     by_letter = lambda a, b: F.when((a == "あ") & (b == "い"), 0.9).otherwise(0.1)
     got = consistency.consistency_gate(rows, similarity=by_letter).orderBy("turn").collect()
     assert [r.reason for r in got] == ["no required slots", "history contamination"]
+
+
+def test_a_comparison_without_second_word(spark):
+    rows = [(0, 0, "thededとの違い", "thededはより速い"), (1, 0, "thededとの違い", "thededのより速い"), (2, 0, "thededとcpuのの違い", "thededはcpuより速い")]
+    got = consistency.consistency_gate(spark.createDataFrame(rows, "conv_id int, turn int, question string, answer string")).orderBy("conv_id").collect()
+    assert [(r.slots, r.coverage) for r in got] == [(["theded", "の"], 0.5), (["theded", "の"], 1.0), (["theded", "cpu"], 1.0)]
+    assert got[0].reason == "concept slot missing: theded:lexical, の:miss"
