@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import grammar, propositions
-from lorespark.operators import runs, stores
+from lorespark.operators import metrics, runs, stores
 from lorespark.sources import jsonl
 
 
@@ -92,3 +92,11 @@ def test_two_pass(spark):
     assert got["CPU"].answer.startswith("CPUの機能は、action=execute、target=命令")
     assert (got["猫"].answer, got["猫"].used_fallback, got["猫"].memory_hit) == ("猫は鳴く動物", False, False)
     assert (got["無"].evidence, got["無"].answer, got["無"].items) == (None, None, 0)
+
+
+def test_figures_of_failures_are_rounded_by_their_binary_values(spark):
+    values = [0.3125, 0.0625, 0.2125, 0.0005, 0.0015, 0.2135, 17 / 80, 0.0, 0.34999, -0.0625, *[(2 * i + 1) / 2000 for i in range(300)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    said = metrics.fidelity_failures(F.lit(1.0), F.col("v"), F.lit(1.0), F.lit(False), (0.8, 0.35, 0.5))
+    got = [r.s for r in df.select("i", said.alias("s")).orderBy("i").collect()]
+    assert got == [f"composite teacher fidelity: lexical {v:.3f} < 0.350" for v in values]
