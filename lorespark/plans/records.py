@@ -3,6 +3,8 @@ the rules are applied to."""
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,7 +298,8 @@ def conv_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = text.pair_fingerprint(F.concat("resolution", F.lit("|"), "reason"), F.col("user"))
     queue = rows.where("conv_id % 3 = 0").select(sign.alias("fingerprint"))
     fresh = memory.route_once(queue, rows.where("conv_id % 3 > 0"))
-    answered = rows.where("conv_id % 10 = 1").select("resolution", F.concat(F.lit("  "), F.upper("user")).alias("user"))
+    upper = F.translate("user", ascii_lowercase, ascii_uppercase)  # a to z: `ß` would not come back from `SS`
+    answered = rows.where("conv_id % 10 = 1").select("resolution", F.concat(F.lit("  "), upper).alias("user"))
     return memory.resolve_routes(fresh, answered).select("fingerprint", "ord", "resolution", "status")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import grammar, propositions
 from lorespark.operators import metrics, runs, stores
+from lorespark.plans.catalogue import QUERIES
 from lorespark.sources import jsonl
 
 
@@ -100,3 +101,10 @@ def test_figures_of_failures_are_rounded_by_their_binary_values(spark):
     said = metrics.fidelity_failures(F.lit(1.0), F.col("v"), F.lit(1.0), F.lit(False), (0.8, 0.35, 0.5))
     got = [r.s for r in df.select("i", said.alias("s")).orderBy("i").collect()]
     assert got == [f"composite teacher fidelity: lexical {v:.3f} < 0.350" for v in values]
+
+
+def test_routes_of_words_whose_upper_case_does_not_come_back(spark, tmp_path):
+    rows = [(1, 0, "user", "straße"), (1, 1, "assistant", "ja"), (11, 0, "user", "Straße"), (11, 1, "assistant", "nein"), (21, 0, "user", "wagen"), (21, 1, "assistant", "ja")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.ord, r.status) for r in QUERIES["conv_routes"](spark, str(tmp_path)).collect())
+    assert got == [(1001, "resolved")]
