@@ -191,3 +191,46 @@ def test_near_conflicts_of_edited_prompts(spark):
         want = {(i, j) for i, p, a in keys for j, r, b in keys if i < j and ratio(p, r) >= prompt and ratio(a, b) < 0.45}
         got = {(r.a, r.b) for r in audit.near_conflicts(df, "id", "q", "a", prompt=prompt).collect()}
         assert got == want and got
+
+
+def test_ratio_is_the_one_of_difflib():
+    """Short and long texts: from 200 characters on, frequent characters begin no match."""
+    import difflib
+    import random
+
+    from lorespark.operators import metrics
+
+    rng, ratio = random.Random(3), metrics.Ratio()
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghij ", "eeeeeetttaaoinshrdlxqzjv") for n in (0, 1, 7, 40, 199, 200, 350, 900)]
+    texts += [t[5:] + t[:20] for t in texts]
+    assert all(ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio() for a in texts for b in texts)
+
+
+def test_joins_in_blocks_lose_no_pair(spark, monkeypatch):
+    """With prefixes that pass nearly all pairs every pair is counted in blocks; by prefixes the same rows come out."""
+    import random
+
+    from lorespark.operators import audit
+
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("abcdef ") for _ in range(rng.randint(2, 12))) for _ in range(700)})
+    df = spark.createDataFrame([(i, t, rng.choice(["yes it is", "no never", t])) for i, t in enumerate(texts)], "id int, q string, a string")
+    found = {}
+    for by_prefix in (True, False):
+        monkeypatch.setattr(audit, "selective", lambda *_: by_prefix)  # noqa: B023
+        found[by_prefix] = [{tuple(r) for r in rows.collect()} for rows in (audit.similar_pairs(df, "id", "q", 0.4), audit.near_conflicts(df, "id", "q", "a", 0.6))]
+        assert [len(f) for f in found[by_prefix]] == [len({p[:2] for p in f}) for f in found[by_prefix]]
+    assert found[True] == found[False] and all(len(f) > 100 for f in found[True])
+
+
+def test_low_thresholds_go_by_blocks(spark):
+    from lorespark.operators import audit
+
+    import random
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, "".join(rng.choice("abcdef") for _ in range(40))) for i in range(300)], "id int, q string")
+    tokens = rows.select("id", F.explode(F.split("q", "")).alias("token")).distinct()
+    assert not audit.selective(audit.prefixes(tokens, "id", 0.5), "id")
+    apart = rows.select("id", F.col("id").cast("string").alias("token"))
+    assert audit.selective(audit.prefixes(apart, "id", 0.5), "id")
