@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar, propositions, text
 from ..operators import knowledge, lifecycle, memory, metrics, resolve, runs, stores
+from ..session import partitions
 from .documents import read
 from .logs import GRAMS, KEY, PAIRS, SPACE_FREE, _share, pairs
 
@@ -48,8 +49,15 @@ def part_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_statements(spark, sf_dir).withColumn("r", grammar.rewritten(F.col("surface"))).select("p_partkey", "r.normalized", "r.transformed")
 
 
+def _conditioned(rows: DataFrame) -> DataFrame:
+    """rows (surface and others) that are conditionals, with s: the grammar runs once for each distinct surface, in as many
+    tasks as shuffles have."""
+    once = rows.select("surface").distinct().repartition(partitions(rows.sparkSession), "surface")
+    return rows.join(once.withColumn("s", grammar.conditional_statement(F.col("surface"))).where("s is not null"), "surface")
+
+
 def part_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part_statements(spark, sf_dir).withColumn("s", grammar.conditional_statement(F.col("surface"))).where("s is not null")
+    rows = _conditioned(part_statements(spark, sf_dir))
     return rows.select("s.*", (F.col("p_size") % 2 == 0).alias("condition_polarity"), F.col("p_partkey").alias("ord"))
 
 
@@ -83,7 +91,7 @@ select * from n where (subject, condition) not in (select (b, m) from pc where p
 def part_condition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditionals that are neither stored nor pending, once each."""
     new = part_conditions(spark, sf_dir)
-    stored = part_statements(spark, sf_dir).where("p_size = 1").withColumn("s", grammar.conditional_statement(F.col("surface"))).where("s is not null").select("s.*")
+    stored = _conditioned(part_statements(spark, sf_dir).where("p_size = 1")).select("s.*")
     fresh = new.join(stored.select("subject", "condition").distinct(), ["subject", "condition"], "left_anti")
     brands = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.expr(_BRAND).alias("subject")).distinct()
     fresh = fresh.join(brands, "subject", "left_anti").select("subject", "condition", "predicate", "ord")
