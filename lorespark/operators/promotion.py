@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..session import forget, materialize, ship
+from ..session import forget, materialize, partitions, ship
 from ..sources.versions import VersionedTables
 from . import knowledge
 
@@ -106,7 +106,8 @@ def judged(requests: DataFrame, pending: DataFrame) -> DataFrame:
     by itself is a question that the store answers (R4). So the first valid request of such a concept is promoted and later
     ones find none pending; a concept that is not routed stays pending, and all of its valid requests are taught.
     """
-    rows = requests.select("ord", text.fragment(F.col("concept")).alias("concept"), text.strip(F.col("statement")).alias("statement"))
+    rows = requests.repartition(partitions(requests.sparkSession))  # a file may be one task, which the grammar would fill
+    rows = rows.select("ord", text.fragment(F.col("concept")).alias("concept"), text.strip(F.col("statement")).alias("statement"))
     rows = rows.withColumn("p", knowledge.promotion(F.col("concept"), F.col("statement"))).withColumn("routed", grammar.bare_concept(F.col("concept")) != "")
     rows = materialize(rows, "read-requests")  # the grammar runs once, for the rows and for the first ones of concepts
     rows = rows.join(pending.select("concept", F.lit(True).alias("asked")), "concept", "left")

@@ -108,3 +108,15 @@ def test_routes_of_words_whose_upper_case_does_not_come_back(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.ord, r.status) for r in QUERIES["conv_routes"](spark, str(tmp_path)).collect())
     assert got == [(1001, "resolved")]
+
+
+def test_grammars_run_once_a_surface_and_match_once(spark, tmp_path):
+    """Parts whose surfaces repeat; the plan deals distinct surfaces before the grammar."""
+    rows = [(6 * i + 1, i % 2, "Brand#2", "SMALL TIN") for i in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["part_condition_facts"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [("Brand-2", "夜間", "SMALL TINである", 50)]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+    asked = spark.createDataFrame([("猫は、動物である。",)], "t string")
+    plan = asked.select(grammar.decomposed(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(.*?)は") == 2  # two patterns, each once
