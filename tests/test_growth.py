@@ -31,3 +31,19 @@ def test_statements_are_first_of_those_with_a_concept(spark):
     assert sorted((r.ord, r.statement, r.concept) for r in found.collect()) == [(1, "the alpha", "alpha"), (4, "alpha beta", "alpha"), (4, "alpha beta", "beta")]
     text = plan(found)
     assert text.index("Aggregate") < text.index("MapInArrow")  # what holds no concept is not shuffled
+
+
+def test_slots_of_long_evidence(spark):
+    rows = spark.createDataFrame([("word " * 200_000,)], "e string")
+    slots = rows.select(grammar.function_slots(F.col("e")).alias("s")).select("s.*")
+    start = time.time()
+    assert tuple(slots.first()) == ("function", "unspecified", "unspecified")
+    assert time.time() - start < 5
+
+
+def test_malformed_sorts_only_what_repeats(spark):
+    long = [("".join(chr(97 + i * i % 23 + j % 3) for i in range(3000)),) for j in range(300)]
+    rows = spark.createDataFrame([*long, ("ab" * 20,), ("aaaaabcde",), ("",)], "t string").repartition(1)
+    start = time.time()
+    assert rows.where(grammar.malformed(F.col("t"))).count() == 3
+    assert time.time() - start < 8
