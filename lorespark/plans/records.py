@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar, propositions, text
 from ..operators import knowledge, lifecycle, memory, metrics, resolve, runs, stores
-from ..session import partitions
+from ..session import materialize, partitions
 from .documents import read
 from .logs import GRAMS, KEY, PAIRS, SPACE_FREE, _share, pairs
 
@@ -31,10 +31,12 @@ _MODIFIER = "case p_partkey % 6 when 0 then '高温' when 1 then '夜間' when 2
 _BRAND = "replace(p_brand, '#', '-')"
 
 
+_SAID = f"concat({_MODIFIER}, 'の', {_BRAND}, 'は', p_type, 'である。')"
+
+
 def part_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, p_size, surface: `高温のBrand-2はSMALLである`."""
-    said = F.concat(F.expr(_MODIFIER), F.lit("の"), F.expr(_BRAND), F.lit("は"), "p_type", F.lit("である。"))
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", text.surface(said).alias("surface"))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", text.surface(F.expr(_SAID)).alias("surface"))
 
 
 PART_STATEMENTS = f"""
@@ -49,16 +51,14 @@ def part_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_statements(spark, sf_dir).withColumn("r", grammar.rewritten(F.col("surface"))).select("p_partkey", "r.normalized", "r.transformed")
 
 
-def _conditioned(rows: DataFrame) -> DataFrame:
-    """rows (surface and others) that are conditionals, with s: the grammar runs once for each distinct surface, in as many
-    tasks as shuffles have."""
-    once = rows.select("surface").distinct().repartition(partitions(rows.sparkSession), "surface")
-    return rows.join(once.withColumn("s", grammar.conditional_statement(F.col("surface"))).where("s is not null"), "surface")
-
-
 def part_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _conditioned(part_statements(spark, sf_dir))
-    return rows.select("s.*", (F.col("p_size") % 2 == 0).alias("condition_polarity"), F.col("p_partkey").alias("ord"))
+    """Parts whose statements are conditionals. The grammar runs once a distinct statement, in as many tasks as shuffles
+    have; its results are written, or its filter would be pushed down to every part of a file's one task."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(_SAID).alias("said"))
+    once = rows.select("said").distinct().repartition(partitions(spark), "said")
+    once = once.select("said", text.surface(F.col("said")).alias("surface")).withColumn("s", grammar.conditional_statement(F.col("surface")))
+    rows = rows.join(materialize(once.select("said", "s"), "conditionals").where("s is not null"), "said")
+    return rows.select("s.*", (F.col("p_size") % 2 == 0).alias("condition_polarity"), F.col("p_partkey").alias("ord"), "p_size")
 
 
 @query(f"with {PART_STATEMENTS} select b as subject, m as condition, v as predicate, count(*) as n from pc where proven group by all")
@@ -91,8 +91,8 @@ select * from n where (subject, condition) not in (select (b, m) from pc where p
 def part_condition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditionals that are neither stored nor pending, once each."""
     new = part_conditions(spark, sf_dir)
-    stored = _conditioned(part_statements(spark, sf_dir).where("p_size = 1")).select("s.*")
-    fresh = new.join(stored.select("subject", "condition").distinct(), ["subject", "condition"], "left_anti")
+    stored = new.where("p_size = 1").select("subject", "condition").distinct()
+    fresh = new.join(stored, ["subject", "condition"], "left_anti")
     brands = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.expr(_BRAND).alias("subject")).distinct()
     fresh = fresh.join(brands, "subject", "left_anti").select("subject", "condition", "predicate", "ord")
     none = fresh.where("false")

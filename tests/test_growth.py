@@ -33,6 +33,10 @@ def test_statements_are_first_of_those_with_a_concept(spark):
     assert text.index("Aggregate") < text.index("MapInArrow")  # what holds no concept is not shuffled
 
 
+def test_grammar_of_parts_is_not_pushed_to_their_scan(spark):
+    assert "regexp" not in plan(records.part_conditions(spark, SF))
+
+
 def test_slots_of_long_evidence(spark):
     rows = spark.createDataFrame([("word " * 200_000,)], "e string")
     slots = rows.select(grammar.function_slots(F.col("e")).alias("s")).select("s.*")
