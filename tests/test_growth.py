@@ -51,3 +51,10 @@ def test_malformed_sorts_only_what_repeats(spark):
     start = time.time()
     assert rows.where(grammar.malformed(F.col("t"))).count() == 3
     assert time.time() - start < 8
+
+
+def test_prefix_dedup_joins_by_order_not_by_heads(spark):
+    rows = spark.createDataFrame([("k", 1, "abcdefghij"), ("k", 2, "abcdefghik"), ("k", 3, "xbcdefghij"), ("l", 1, "abcdefghij"), ("k", 4, "short"), ("k", 5, "short"), ("k", 6, "abcdefghij")], "k string, ord int, t string")
+    found = curate.greedy_prefix_dedup(rows, "k", "ord", "t")
+    assert sorted((r.k, r.ord) for r in found.collect()) == [("k", 1), ("k", 3), ("k", 4), ("l", 1)]
+    assert "_head" not in plan(found)
