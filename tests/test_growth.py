@@ -37,6 +37,13 @@ def test_grammar_of_parts_is_not_pushed_to_their_scan(spark):
     assert "regexp" not in plan(records.part_conditions(spark, SF))
 
 
+def test_cues_in_long_questions(spark):
+    rows = spark.createDataFrame([("x " * 9 + "の\n特徴は",), ("何が 得\t意",), ("AとB の関係",), ("Aと は",), ("none",), (None,)], "q string")
+    found = rows.select(grammar.asked_predicate_type(F.col("q")).alias("x"))
+    assert [r.x for r in found.collect()] == ["property", "capability", "relation", "definition", None, None]
+    assert "RLIKE" not in plan(found)
+
+
 def test_slots_of_long_evidence(spark):
     rows = spark.createDataFrame([("word " * 200_000,)], "e string")
     slots = rows.select(grammar.function_slots(F.col("e")).alias("s")).select("s.*")
