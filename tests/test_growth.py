@@ -60,8 +60,23 @@ def test_malformed_sorts_only_what_repeats(spark):
     assert time.time() - start < 8
 
 
+def test_required_terms_once(spark):
+    rows = spark.createDataFrame([("CPUは命令を処理する装置です", "CPU"), ("plain text", "plain")], "a string, c string")
+    got = rows.select(grammar.required_terms(F.col("a"), F.col("c")).alias("t"), grammar.required_coverage(F.lit("命令と装置"), F.col("a"), F.col("c")).alias("s")).collect()
+    assert [r.t for r in got] == [["命令", "処理", "装置"], ["text"]]
+    assert [round(r.s, 9) for r in got] == [0.666666667, 0.0]
+    size = len(plan(rows.select(grammar.required_coverage(F.col("a"), F.col("a"), F.col("c")))))
+    assert size < 6000
+
+
 def test_prefix_dedup_joins_by_order_not_by_heads(spark):
     rows = spark.createDataFrame([("k", 1, "abcdefghij"), ("k", 2, "abcdefghik"), ("k", 3, "xbcdefghij"), ("l", 1, "abcdefghij"), ("k", 4, "short"), ("k", 5, "short"), ("k", 6, "abcdefghij")], "k string, ord int, t string")
     found = curate.greedy_prefix_dedup(rows, "k", "ord", "t")
     assert sorted((r.k, r.ord) for r in found.collect()) == [("k", 1), ("k", 3), ("k", 4), ("l", 1)]
     assert "_head" not in plan(found)
+
+
+def test_ngrams_of_short_and_long_texts(spark):
+    rows = spark.createDataFrame([("",), ("a",), ("ab",), ("abab",), ("𠮷野家",), (None,)], "t string")
+    got = [r.g for r in rows.select(metrics.char_ngrams(F.col("t"), 2).alias("g")).collect()]
+    assert got == [[], ["a"], ["ab"], ["ab", "ba"], ["𠮷野", "野家"], []]
