@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import promotion
-from ..session import scratch
+from ..session import forget, materialize, partitions, scratch
 from ..sources.versions import VersionedTables
 from .documents import read
 
@@ -104,9 +104,12 @@ def event_fact_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(F.col("event_type") == "error", -1).otherwise(1)
     subject = F.concat(F.lit("user "), F.col("user_id").cast("string"))
     changes = read(spark, sf_dir, "events").select(subject.alias("subject"), value.alias("value"), F.col("event_id").alias("ord"), F.lit(0).alias("pos"), sign.alias("sign"))
+    # a file may be one task: the events are read and parsed once, in as many tasks as shuffles have
+    changes = materialize(changes.repartition(partitions(spark)), "changes")
     store = promotion.open_store(spark, scratch(spark, "store"))
     end = (changes.agg(F.max("ord")).first()[0] or 0) + 1
     for k in range(4):
         promotion.apply_changes(store, f"events-{k}", changes.where(F.col("ord").between(end * k // 4, end * (k + 1) // 4 - 1)))
     store.compact()
+    forget(changes)
     return store.read("unified").select(F.col("concept").alias("subject"), "assistant", "atomic_count")

@@ -76,6 +76,14 @@ def test_prefix_dedup_joins_by_order_not_by_heads(spark):
     assert "_head" not in plan(found)
 
 
+def test_events_are_parsed_once(spark, monkeypatch):
+    plans = []
+    apply = promotion.apply_changes
+    monkeypatch.setattr(promotion, "apply_changes", lambda s, b, changes, *a: (plans.append(plan(changes)), apply(s, b, changes, *a)))
+    store.event_fact_store(spark, SF).count()
+    assert len(plans) == 4 and not any("get_json_object" in p for p in plans)
+
+
 def test_ngrams_of_short_and_long_texts(spark):
     rows = spark.createDataFrame([("",), ("a",), ("ab",), ("abab",), ("𠮷野家",), (None,)], "t string")
     got = [r.g for r in rows.select(metrics.char_ngrams(F.col("t"), 2).alias("g")).collect()]
