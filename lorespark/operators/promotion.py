@@ -92,7 +92,8 @@ def enqueue(store: VersionedTables, batch: str, concepts: DataFrame) -> int:
     done = store.committed(batch)
     if done is not None:
         return done
-    names = concepts.select(text.fragment(F.col("concept")).alias("concept")).where("concept <> ''").distinct()
+    names = concepts.repartition(partitions(concepts.sparkSession))  # a file may be one task
+    names = names.select(text.fragment(F.col("concept")).alias("concept")).where("concept <> ''").distinct()
     fresh = names.join(store.read("queue"), "concept", "left_anti")
     stage = store.begin(batch)
     stage.put("queue", fresh.select("concept", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("statement")))
@@ -107,8 +108,11 @@ def judged(requests: DataFrame, pending: DataFrame) -> DataFrame:
     ones find none pending; a concept that is not routed stays pending, and all of its valid requests are taught.
     """
     rows = requests.repartition(partitions(requests.sparkSession))  # a file may be one task, which the grammar would fill
-    rows = rows.select("ord", text.fragment(F.col("concept")).alias("concept"), text.strip(F.col("statement")).alias("statement"))
-    rows = rows.withColumn("p", knowledge.promotion(F.col("concept"), F.col("statement"))).withColumn("routed", grammar.bare_concept(F.col("concept")) != "")
+    said = text.strip(F.col("statement"))
+    rows = rows.select("ord", text.nfkc(F.col("concept")).alias("concept"), said.alias("statement"), text.nfkc(said).alias("said"))  # one pass of Python
+    rows = rows.withColumn("concept", text.plain_fragment(F.col("concept")))
+    p, routed = knowledge.plain_promotion(F.col("concept"), F.col("said")), grammar.bare_concept(F.col("concept")) != ""
+    rows = rows.select("ord", "concept", "statement", p.alias("p"), routed.alias("routed"))
     rows = materialize(rows, "read-requests")  # the grammar runs once, for the rows and for the first ones of concepts
     rows = rows.join(pending.select("concept", F.lit(True).alias("asked")), "concept", "left")
     valid = F.col("p.ok") & F.col("asked").isNotNull()

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from conftest import SF
-from lorespark.functions import grammar
+from lorespark.functions import grammar, text
 from lorespark.operators import curate, knowledge, metrics, promotion
 from lorespark.plans import records, store
 
@@ -88,3 +88,28 @@ def test_ngrams_of_short_and_long_texts(spark):
     rows = spark.createDataFrame([("",), ("a",), ("ab",), ("abab",), ("𠮷野家",), (None,)], "t string")
     got = [r.g for r in rows.select(metrics.char_ngrams(F.col("t"), 2).alias("g")).collect()]
     assert got == [[], ["a"], ["ab"], ["ab", "ba"], ["𠮷野", "野家"], []]
+
+
+def test_promotion_reads_requests_in_one_pass(spark):
+    """Ends are stripped without patterns, which try every place; NFKC, the one Python step, runs once."""
+    said = ["\u3000 CPU。は、、\u00a0装置であり、速い である！ ", "A\nBは速いである", "ＣＰＵは演算である。", "は速いである", "CPUは速い", "", None]
+    rows = spark.createDataFrame([(i, " CPU。", s) for i, s in enumerate(said)], "ord long, concept string, statement string")
+    got = rows.select("ord", knowledge.promotion(F.col("concept"), F.col("statement")).alias("p")).orderBy("ord").select("p.*").collect()
+    form = "statement must use semantic proposition form: XはYである"
+    other = "statement subject does not match promotion concept: A\nB"
+    ok = "validated semantic proposition"
+    assert [(r.reason, r["values"]) for r in got] == [(ok, ["装置", "速い"]), (other, []), (ok, ["演算"]), *[(form, [])] * 4]
+    stripped = plan(rows.select(text.fragment(F.col("concept")), text.plain_surface(F.col("statement"))))
+    assert "regexp" not in stripped
+    spaces = spark.range(0x110000).where("id not between 55296 and 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("x"))
+    assert {r.id for r in spaces.where(F.col("x").rlike(text.SPACE)).collect()} == {ord(c) for c in text.SPACES}
+    pending = spark.createDataFrame([("CPU",)], "concept string")
+    passes = []
+    keep = promotion.materialize
+    promotion.materialize = lambda df, name: (passes.append(df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")), keep(df, name))[1]
+    try:
+        found = promotion.judged(rows, pending).orderBy("ord").collect()
+    finally:
+        promotion.materialize = keep
+    assert passes == [1]
+    assert [r.taught for r in found] == [True] + [False] * 6
