@@ -1,12 +1,13 @@
 """Work that must not be repeated or spread over every piece of a text: literal results and plans."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from conftest import SF
 from lorespark.functions import grammar, text
-from lorespark.operators import curate, knowledge, metrics, promotion
+from lorespark.operators import audit, curate, knowledge, metrics, promotion
 from lorespark.plans import records, store
 
 
@@ -113,3 +114,27 @@ def test_promotion_reads_requests_in_one_pass(spark):
         promotion.materialize = keep
     assert passes == [1]
     assert [r.taught for r in found] == [True] + [False] * 6
+
+
+def test_best_rows_of_blocks(spark, monkeypatch):
+    """A block returns one other row a row, and is read once; both ways to find pairs give the same best rows."""
+    rng = random.Random(4)
+    texts = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(3, 60))) for _ in range(300)} | {"?", "", "abc", "abc."})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "id long, q string")
+    got = {}
+    for by_prefix in (True, False):
+        monkeypatch.setattr(audit, "selective", lambda *_: by_prefix)  # noqa: B023
+        got[by_prefix] = sorted(map(tuple, audit.best_similar(rows, "id", "q", 0.3).collect()))
+    assert got[True] == got[False] and len(got[True]) > 250
+    assert plan(audit.best_similar(rows, "id", "q", 0.3)).count("InArrow") == 1
+    forms = rows.where(F.col("id") < len(texts))
+    assert audit.best_others(forms, "id", "q", 0.3).count() <= 2 * len(texts) < audit.similar_pairs(forms, "id", "q", 0.3).count()
+
+
+def test_best_rows_are_tied_to_twelve_places(spark, monkeypatch):
+    """0.7 + 20 / 200 is less than 0.6 + 40 / 200 only by a rounding error."""
+    rows = spark.createDataFrame([(0, "abcdefghijk"), (1, "abcdefgh".ljust(20)), (2, "efghijk".ljust(40))], "id long, q string")
+    for by_prefix in (True, False):
+        monkeypatch.setattr(audit, "selective", lambda *_: by_prefix)  # noqa: B023
+        found = {r.id: (r.other, round(r.score, 9)) for r in audit.best_similar(rows, "id", "q", 0.5).collect()}
+        assert found == {0: (1, 0.7), 1: (0, 0.7), 2: (0, 0.6)}
