@@ -16,11 +16,20 @@ class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+def apart(ranges: list[list[int | None] | None]) -> bool:
+    """Whether ranges (least, greatest; both null of no rows) are all known and no two of them meet."""
+    if None in ranges:
+        return False
+    held = sorted(r for r in ranges if r[0] is not None)
+    return all(a[1] < b[0] for a, b in zip(held, held[1:], strict=False))
+
+
 class VersionedTables:
     """Tables under a root. tables: {name: (schema as DDL, key columns)}.
 
     A delta row replaces the row with its key, or removes it if `_gone`. Reading merges the deltas since the last base, the
-    newest row of a key wins; `compact` writes a base. The rename of a manifest must fail if it exists (as in HDFS and in
+    newest row of a key wins; `compact` writes a base. Where the first key column is a long, manifests hold each delta's least
+    and greatest; deltas whose ranges do not meet have no key in common and are read as they are. The rename of a manifest must fail if it exists (as in HDFS and in
     local folders).
     """
 
@@ -62,12 +71,14 @@ class VersionedTables:
         paths = [f"{self.root}/{r['folder']}/{table}" for r in known if r["version"] >= first and table in r["tables"]]
         schema, keys = self.schemas[table], self.keys[table]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            return self.spark.range(0).where("false").select(*nothing)  # known as empty to the optimizer
         stored = T.StructType([*schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_version", T.IntegerType())])
         rows = self.spark.read.schema(stored).parquet(*paths)
-        if len(paths) > 1:
+        ranges = [r.get("ranges", {}).get(table) for r in known if r["version"] >= first and table in r["tables"]]
+        if len(paths) > 1 and not apart(ranges):
             rest = [F.col(f.name) for f in stored.fields if f.name not in keys]
-            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select(*keys, "_row.*")
+            rows = rows.repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select(*keys, "_row.*")
         return rows.where("not _gone").select(*schema.fieldNames())
 
     def begin(self, batch: str) -> Stage:
@@ -85,7 +96,7 @@ class Stage:
     """A version that is being written."""
 
     def __init__(self, store: VersionedTables, batch: str, version: int):
-        self.store, self.batch, self.version, self.tables = store, batch, version, []
+        self.store, self.batch, self.version, self.tables, self.ranges = store, batch, version, [], {}
         self.folder = f"deltas/{version:09d}-{uuid.uuid4().hex}"
 
     def put(self, table: str, rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
@@ -99,12 +110,17 @@ class Stage:
         path = f"{store.root}/{self.folder}/{table}"
         out.withColumn("_version", F.lit(self.version)).write.mode("error").parquet(path)
         self.tables.append(table)
-        return store.spark.read.parquet(path)
+        written = store.spark.read.parquet(path)
+        if isinstance(schema[keys[0]].dataType, T.LongType):
+            least, most, nulls = written.agg(F.min(keys[0]), F.max(keys[0]), F.count_if(F.col(keys[0]).isNull())).first()
+            if not nulls:
+                self.ranges[table] = [least, most]
+        return written
 
     def commit(self, base: bool = False) -> int:
         """Rename the manifest to the version's name; a Conflict if that version exists by now."""
         store = self.store
-        row = {"version": self.version, "batch": self.batch, "folder": self.folder, "tables": self.tables, "base": base}
+        row = {"version": self.version, "batch": self.batch, "folder": self.folder, "tables": self.tables, "ranges": self.ranges, "base": base}
         sc = store.spark.sparkContext
         conf, fs = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs
         draft, final = store._path(f"{store.root}/{self.folder}/manifest"), store._path(f"{store.root}/_versions/{self.version:09d}.json")

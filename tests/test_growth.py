@@ -138,3 +138,52 @@ def test_best_rows_are_tied_to_twelve_places(spark, monkeypatch):
         monkeypatch.setattr(audit, "selective", lambda *_: by_prefix)  # noqa: B023
         found = {r.id: (r.other, round(r.score, 9)) for r in audit.best_similar(rows, "id", "q", 0.5).collect()}
         assert found == {0: (1, 0.7), 1: (0, 0.7), 2: (0, 0.6)}
+
+
+def test_deltas_apart_are_read_without_a_merge(spark, tmp_path):
+    """Results of batches have other keys each: no shuffle; where keys may meet, the newest row wins."""
+    tables = promotion.open_store(spark, str(tmp_path / "store"))
+    rows = lambda at, why: spark.range(*at).select(F.col("id").alias("ord"), *[F.lit(None).alias(c) for c in ("concept", "statement", "promoted", "n")], F.lit(why).alias("reason"))
+    for why, at in {"a": (0, 5), "none": (0, 0), "b": (5, 9)}.items():
+        stage = tables.begin(why)
+        stage.put("results", rows(at, why))
+        stage.commit()
+    found = tables.read("results")
+    assert "Aggregate" not in plan(found) and sorted((r.ord, r.reason) for r in found.collect()) == [(i, "a" if i < 5 else "b") for i in range(9)]
+    stage = tables.begin("c")
+    stage.put("results", rows((4, 6), "c"), rows((8, 9), "c"))
+    stage.commit()
+    assert sorted((r.ord, r.reason) for r in tables.read("results").collect()) == [*[(i, "a") for i in range(4)], (4, "c"), (5, "c"), (6, "b"), (7, "b")]
+    assert len(tables.read("results", 3).collect()) == 9
+
+
+def test_promotion_joins_only_valid_requests(spark, monkeypatch, tmp_path):
+    """Faulty requests, of which one concept may have most, are not shuffled to the queue; queued names meet Python once."""
+    passes = {}
+    keep = promotion.materialize
+    monkeypatch.setattr(promotion, "materialize", lambda df, name: (passes.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    tables = promotion.open_store(spark, str(tmp_path / "store"))
+    promotion.enqueue(tables, "queue", spark.createDataFrame([("CPU。",), (" ",), ("two words",), ("CPU",)], "concept string"))
+    said = [("", "は、速いである。"), ("CPU", "CPUは速い"), ("CPU", "CPUは、速いである。"), ("CPU", "CPUは、重いである。"), ("GPU", "GPUは、速いである。"), ("two words", "two wordsは、速いである。"), (None, None)]
+    promotion.promote(tables, "p", spark.createDataFrame([(i, *r) for i, r in enumerate(said)], "ord long, concept string, statement string"))
+    assert [(r.ord, r.concept, r.status) for r in tables.read("queue").select(F.lit(0).alias("ord"), "concept", "status").orderBy("concept").collect()] == [(0, "CPU", "promoted"), (0, "two words", "pending")]
+    form = "statement must use semantic proposition form: XはYである"
+    want = [(False, "concept must be non-empty", 0), (False, form, 0), (True, promotion.PROMOTED, 1), (False, promotion.NO_REQUEST, 0), (False, promotion.NO_REQUEST, 0), (False, promotion.NOT_ROUTED, 1), (False, form, 0)]
+    assert [(r.promoted, r.reason, r.n) for r in tables.read("results").orderBy("ord").collect()] == want
+    assert passes["queue-names"].count("ArrowEvalPython") == passes["read-requests"].count("ArrowEvalPython") == 1
+    assert "Filter" not in passes["queue-names"]
+    judged = passes["judged-requests"]
+    assert "Python" not in judged and "isnull(fault" in judged  # only rows without fault are joined
+
+
+def test_compiled_propositions_are_the_same(spark):
+    said = ["Aは、xであり、yである。", "Aはx であり ，, y\u3000であり、x である", "Aはであり、である", "はxである", "AはBはcである", "Aはx", "Aである", "", None, "A\nは\n、x\nyである！", "Aは、、である"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string")
+    want = [(r.i, r.p and r.p.subject, r.p and r.p["values"]) for r in rows.select("i", grammar.decomposed(F.col("t")).alias("p")).orderBy("i").collect()]
+    found = grammar.with_decomposed(rows, "t")
+    assert [(r.i, r.subject, r["values"]) for r in found.orderBy("i").collect()] == want
+    assert [w[1:] for w in want[:5]] == [("A", ["x", "y"]), ("A", ["x", "y"]), ("A", []), (None, None), ("A", ["Bはc"])]
+    assert "lambda" not in plan(found.select("subject")) and "RLIKE" not in plan(rows.select(grammar.predicate_type_of(F.col("t"))))
+    kinds = {"演算装 置。": "definition", "装置\u0085": "definition", "装置だ": "property", "鳥の一種だ": "definition", "計算ができる": "capability", "GPUを利用する装置": "relation", "": "property"}
+    values = spark.createDataFrame([(v,) for v in kinds], "v string")
+    assert {r.v: r.k for r in values.select("v", grammar.predicate_type_of(F.col("v")).alias("k")).collect()} == kinds
