@@ -223,6 +223,46 @@ def test_joins_in_blocks_lose_no_pair(spark, monkeypatch):
     assert found[True] == found[False] and all(len(f) > 100 for f in found[True])
 
 
+def test_conflicts_in_blocks_are_those_of_difflib(spark, monkeypatch):
+    """Three blocks, prompts of one and of several words of bits, answers on both sides of difflib's 200 characters and
+    missing ones, code points beyond 16 bits, keys that are no numbers; texts are compared without Python."""
+    import difflib
+    import random
+
+    from lorespark.operators import audit
+
+    rng = random.Random(6)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    prompts = {word("abcdefgh日😀", rng.randint(1, 11)) for _ in range(560)}
+    for n in (40, 64, 65, 130, 200, 260):
+        base = word("abcdefgh日😀", n)
+        prompts |= {base} | {base[:i] + word("abc", k) + base[i + k :] for i, k in ((3, n // 3), (n // 2, n // 3), (n // 4, n // 2))}
+    common = [word("ab  cdefghijklmnopqrstuvwxyz😀", 30) for _ in range(12)]
+    long = lambda: "".join(rng.choice(common)[: rng.randint(3, 30)] + word("eeetaoinshr", 9) for _ in range(rng.randint(1, 14)))
+    answers = [long() for _ in range(90)] + [None, "", "a"]
+    rows = [(f"k{i:04}", p, rng.choice(answers)) for i, p in enumerate(sorted(prompts, key=lambda p: word("abcd", 8)))]
+    df = spark.createDataFrame(rows, "id string, q string, a string")
+    monkeypatch.setattr(audit, "selective", lambda *_: False)
+    found = audit.near_conflicts(df, "id", "q", "a", 0.6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    clean = lambda t: "".join((t or "").split())
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    known, want = {}, set()
+    for i, (a, p, v) in enumerate(rows):
+        for b, q, w in rows[i + 1 :]:
+            if 2 * min(len(p), len(q)) >= 0.6 * (len(p) + len(q)) and (by_prompt := ratio(p, q)) >= 0.6:
+                if (v, w) not in known:
+                    known[v, w] = ratio(clean(v), clean(w))
+                if known[v, w] < 0.45:
+                    want.add((a, b, by_prompt, known[v, w]))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 1000 and sum(len(p) > 30 for a, p, _ in rows if any(a in w for w in want)) > 5
+    empty = audit.near_conflicts(df.where("q = ''"), "id", "q", "a", 0.6)
+    assert empty.columns == found.columns and not empty.collect()
+
+
 def test_low_thresholds_go_by_blocks(spark):
     from lorespark.operators import audit
 
